@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .lm_scoring import op10_lm_scoring
+from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
+from .token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_best_fit_packing,
+        op4_token_files,
         op8_quality_rules,
         op9_quality_classifier,
         op10_lm_scoring,
