@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op6_benchmark_decontamination
+from .license_scan import op5_license_scan
 from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op4_token_files,
+        op5_license_scan,
+        op6_benchmark_decontamination,
         op8_quality_rules,
         op9_quality_classifier,
         op10_lm_scoring,
