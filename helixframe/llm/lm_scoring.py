@@ -30,16 +30,34 @@ PRIOR = 100.0
 START = np.uint64(0)
 
 
-def cells(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word cells, the cells of the words before them, pair cells, and document bounds."""
+def cells(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary cell of each word, and the documents' bounds in them."""
     low = chunk.lower
-    _, _, bounds = low.words
-    word = low.word_hashes % np.uint64(WORD_CELLS - 1) + np.uint64(1)
+    return (low.word_hashes % np.uint64(WORD_CELLS - 1) + np.uint64(1)).astype(np.uint16), low.words[2]
+
+
+def events(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the words, of the words before them (START for a document's first), and of the pairs."""
+    word = word.astype(np.uint64)
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[bounds[:-1][np.diff(bounds) > 0]] = START
     pair = mixed(before * np.uint64(WORD_CELLS) + word) % np.uint64(PAIR_CELLS)
-    return word.astype(np.int64), before.astype(np.int64), pair.astype(np.int64), bounds
+    return word.astype(np.int64), before.astype(np.int64), pair.astype(np.int64)
+
+
+def as_cells(docs: DataFrame, key: str) -> DataFrame:
+    """Key and the text's vocabulary cells, two bytes for each word."""
+    source = texts(docs, key)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                word, bounds = cells(chunk)
+                raw = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(word.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), raw], names=[key, "cells"])
+
+    return source.mapInArrow(encode, f"`{key}` {source.schema[0].dataType.simpleString()}, cells binary")
 
 
 @dataclass
@@ -57,13 +75,14 @@ class Bigram:
 
 
 def count(docs: DataFrame) -> tuple[Bigram, Bigram]:
-    """Target and background counts from (is_target, text) rows, in one pass."""
+    """Target and background counts from (is_target, cells) rows, in one pass."""
     one = 2 * WORD_CELLS + PAIR_CELLS
 
     def update(batch: pa.RecordBatch, total: np.ndarray) -> None:
         wanted = np.array(batch.column(0)).astype(bool)
         for chunk in chunks(batch.column(1), 2 << 20):
-            word, before, pair, bounds = cells(chunk)
+            bounds = chunk.offsets // 2
+            word, before, pair = events(chunk.data.view("<u2"), bounds)
             every = np.concatenate([word, WORD_CELLS + before, 2 * WORD_CELLS + pair])
             total[one:] += np.bincount(every, minlength=one)
             mine = np.repeat(wanted[chunk.first : chunk.first + chunk.n], np.diff(bounds))
@@ -79,7 +98,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     spark = docs.sparkSession
     good = labels.filter(F.col(label) == 1).select(F.col(key).alias("_good")).distinct()
     source = texts(docs, key)
-    marked = source.join(good, F.col(key) == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("is_target"), "text")
+    # the labels grow with the documents, so the join is never a broadcast; it moves cells, not texts
+    marked = as_cells(docs, key).join(good.hint("merge"), F.col(key) == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("is_target"), "cells")
     models = spark.sparkContext.broadcast(count(marked))
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double"
 
@@ -87,7 +107,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
         for batch in batches:
             counts, sums = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
             for chunk in chunks(batch.column(1)):
-                word, before, pair, bounds = cells(chunk)
+                word, bounds = cells(chunk)
+                word, before, pair = events(word, bounds)
                 counts.append(np.diff(bounds))
                 loss = [np.concatenate([[0.0], np.cumsum(m.losses(word, before, pair), dtype=np.float64)]) for m in models.value]
                 sums.append(np.stack([x[bounds[1:]] - x[bounds[:-1]] for x in loss]))
