@@ -12,12 +12,14 @@ from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
+from .secret_scan import op3_secret_scan
 from .token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_secret_scan,
         op4_token_files,
         op5_license_scan,
         op6_benchmark_decontamination,
