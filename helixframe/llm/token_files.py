@@ -8,9 +8,10 @@ CHECKPOINT_STEPS steps the decoder's states and its place in the stream are kept
 block decode independently; the ids and the payload each carry a CRC-32. The container is Parquet
 (committed by Spark, so lost tasks leave no partial files), one row per block.
 
-The ids come from the library alone. A text is a sequence of units (blanks, then a word); the
-pre-tokenizer never joins characters across units, so each distinct short unit is encoded once per
-worker and looked up by hash after that. Texts with blanks outside ASCII are encoded whole.
+The ids come from the library alone. A text is a sequence of units: blanks and a word, the word cut
+where marks follow a Latin letter (an apostrophe apart). The pre-tokenizer never joins characters
+across units, so each distinct short unit is encoded once per worker and looked up by hash after
+that. Texts with blanks outside ASCII are encoded whole.
 
 Defined results: null text is empty and yields the end id alone; repeated doc_ids are kept, ordered
 by their ids' bytes; a null doc_id sorts first; an empty table writes an empty file.
@@ -36,9 +37,14 @@ SCALE_BITS = 18
 LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 400_000
 LONGEST_UNIT = 64
+ENCODE_BYTES = 1 << 20
 LOW = np.uint64(1 << 31)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)) if c != 0x27]] = True
 
 
 def _odd_blanks(chunk: Chunk) -> np.ndarray:
@@ -56,6 +62,19 @@ def _odd_blanks(chunk: Chunk) -> np.ndarray:
     return hits[chunk.offsets[1:]] > hits[chunk.offsets[:-1]]
 
 
+def _mark_cuts(chunk: Chunk) -> np.ndarray:
+    """Places where marks follow a Latin letter: a border of the pre-tokenizer whatever comes next."""
+    d = chunk.data
+    if len(d) < 2:
+        return np.zeros(0, np.int64)
+    letter = _LETTER[d]
+    letter[1:] |= (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+    border = letter[:-1] & _MARK[d[1:]]
+    inner = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < len(d))]
+    border[inner - 1] = False
+    return np.flatnonzero(border) + 1
+
+
 class Encoder:
     """The library's ids for many texts, each distinct short unit encoded once."""
 
@@ -81,19 +100,26 @@ class Encoder:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint16)
 
     def _learn(self, hashes: list[int], units: list[bytes]) -> None:
-        blank_first = [u[0] in b" \t\n\v\f\r" and u[-1] not in b" \t\n\v\f\r" for u in units]
-        plain = [i for i, ok in enumerate(blank_first) if ok]
-        found: dict[int, np.ndarray] = {}
+        """Encode units: those of blanks and a word in one go, as their joint text has just these units."""
+        plain = [i for i, u in enumerate(units) if u[0] in b" \t\n\v\f\r" and u[-1] not in b" \t\n\v\f\r"]
+        rest = sorted({*range(len(units))} - {*plain})
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         if plain:
             ids = self.whole(b"".join(units[i] for i in plain))
             ends = np.cumsum(self.lengths[ids])
             cuts = np.cumsum([len(units[i]) for i in plain])
             at = np.searchsorted(ends, cuts)
-            if ends[-1] == cuts[-1] and (ends[np.minimum(at, len(ends) - 1)] == cuts).all():
-                found = dict(zip(plain, np.split(ids, at[:-1] + 1)))
-        parts = [found[i] if i in found else self.whole(u) for i, u in enumerate(units)]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        need, more = int(counts.sum()), len(parts)
+            if len(ends) and ends[-1] == cuts[-1] and (ends[at] == cuts).all():
+                parts, sizes = [ids], [np.diff(at, prepend=-1)]
+            else:
+                plain, rest = [], list(range(len(units)))
+        for i in rest:
+            parts.append(self.whole(units[i]))
+            sizes.append(np.array([len(parts[-1])]))
+        counts = np.concatenate(sizes).astype(np.int64)
+        hashes = [hashes[i] for i in [*plain, *rest]]
+        need, more = int(counts.sum()), len(counts)
         while self.used + need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.n + more > len(self.starts):
@@ -113,7 +139,7 @@ class Encoder:
         last = chunk.offsets[:-1].copy()
         last[counts > 0] = ends[bounds[1:][counts > 0] - 1]
         tails = np.flatnonzero(last < chunk.offsets[1:])
-        stops = np.sort(np.concatenate([ends, chunk.offsets[1:][tails]]))
+        stops = np.sort(np.concatenate([ends, chunk.offsets[1:][tails], _mark_cuts(chunk)]))
         owner = np.searchsorted(chunk.offsets[1:], stops)
         unit_bounds = np.searchsorted(owner, np.arange(chunk.n + 1))
         begins = np.empty_like(stops)
@@ -133,9 +159,8 @@ class Encoder:
         if len(new):
             raw = chunk.data.tobytes()
             at = np.flatnonzero(fast)[firsts[new]]
-            base = self.n
             self._learn(values[new].tolist(), [raw[a:b] for a, b in zip(begins[at].tolist(), stops[at].tolist())])
-            index[new] = np.arange(base, base + len(new))
+            index[new] = np.fromiter(map(get, values[new].tolist()), np.int64, len(new))
         slot = index[back]
         lens = np.zeros(len(stops), np.int64)
         lens[fast] = self.counts[slot]
@@ -172,7 +197,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = tool.encode(chunk)
                 raw = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(bounds)), raw], names=[key, "n_tokens", "ids"])
