@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op6_benchmark_decontamination
+from .jaccard_join import op2_ngram_jaccard_join
 from .license_scan import op5_license_scan
 from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_ngram_jaccard_join,
         op3_secret_scan,
         op4_token_files,
         op5_license_scan,
