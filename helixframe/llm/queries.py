@@ -14,6 +14,7 @@ from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secret_scan import op3_secret_scan
+from .substring_dedup import op7_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_files,
         op5_license_scan,
         op6_benchmark_decontamination,
+        op7_substring_dedup,
         op8_quality_rules,
         op9_quality_classifier,
         op10_lm_scoring,
