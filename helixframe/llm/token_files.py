@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, chunks, mixed, span_hash
@@ -37,7 +37,7 @@ SCALE_BITS = 18
 LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
-CACHE_UNITS = 400_000
+CACHE_UNITS = 3_000_000
 LONGEST_UNIT = 64
 ENCODE_BYTES = 1 << 20
 LOW = np.uint64(1 << 31)
@@ -92,14 +92,33 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.old = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.starts, self.counts, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.starts, self.counts, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Slots of unit hashes, -1 where unknown, from two sorted arrays, a large and a recent one."""
+        out = np.full(len(values), -1, np.int64)
+        for keys, slots in (self.old, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+                out = np.where(keys[at] == values, slots[at], out)
+        return out
+
+    def remember(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        def union(a: tuple, b: tuple) -> tuple:
+            keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+            order = np.argsort(keys, kind="stable")
+            return keys[order], values[order]
+
+        self.new = union(self.new, (hashes, slots.astype(np.int32)))
+        if len(self.new[0]) > 20_000 + len(self.old[0]) // 8:
+            self.old, self.new = union(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint16)
 
-    def _learn(self, hashes: list[int], units: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         """Encode units: those of blanks and a word in one go, as their joint text has just these units."""
         plain = [i for i, u in enumerate(units) if u[0] in b" \t\n\v\f\r" and u[-1] not in b" \t\n\v\f\r"]
         rest = sorted({*range(len(units))} - {*plain})
@@ -118,7 +137,7 @@ class Encoder:
             parts.append(self.whole(units[i]))
             sizes.append(np.array([len(parts[-1])]))
         counts = np.concatenate(sizes).astype(np.int64)
-        hashes = [hashes[i] for i in [*plain, *rest]]
+        hashes = hashes[[*plain, *rest]]
         need, more = int(counts.sum()), len(counts)
         while self.used + need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -127,12 +146,12 @@ class Encoder:
         self.pool[self.used : self.used + need] = np.concatenate(parts)
         self.starts[self.n : self.n + more] = self.used + np.cumsum(counts) - counts
         self.counts[self.n : self.n + more] = counts
-        self.known.update(zip(hashes, range(self.n, self.n + more)))
+        self.remember(hashes, np.arange(self.n, self.n + more))
         self.used, self.n = self.used + need, self.n + more
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the chunk, each followed by the end id, and the texts' bounds in them."""
-        if len(self.known) > CACHE_UNITS:
+        if self.n > CACHE_UNITS:
             self.clear()
         _, ends, bounds = chunk.words
         counts = np.diff(bounds)
@@ -153,14 +172,13 @@ class Encoder:
         fast = ~direct[owner] if len(owner) else np.zeros(0, bool)
         keys = mixed(span_hash(chunk.prefix, begins[fast], stops[fast]) + sizes[fast].astype(np.uint64))
         values, firsts, back = np.unique(keys, return_index=True, return_inverse=True)
-        get = self.known.get
-        index = np.fromiter((get(h, -1) for h in values.tolist()), np.int64, len(values))
+        index = self.find(values)
         new = np.flatnonzero(index < 0)
         if len(new):
             raw = chunk.data.tobytes()
             at = np.flatnonzero(fast)[firsts[new]]
-            self._learn(values[new].tolist(), [raw[a:b] for a, b in zip(begins[at].tolist(), stops[at].tolist())])
-            index[new] = np.fromiter(map(get, values[new].tolist()), np.int64, len(new))
+            self._learn(values[new], [raw[a:b] for a, b in zip(begins[at].tolist(), stops[at].tolist())])
+            index[new] = self.find(values[new])
         slot = index[back]
         lens = np.zeros(len(stops), np.int64)
         lens[fast] = self.counts[slot]
@@ -170,7 +188,7 @@ class Encoder:
             per_doc[i] = len(ids)
         out_bounds = np.concatenate([[0], np.cumsum(per_doc + 1)])
         out = np.full(out_bounds[-1], END_ID, np.uint16)
-        n = self.counts[slot]
+        n = self.counts[slot].astype(np.int64)
         skipped = np.cumsum(n) - n
         source = np.arange(n.sum()) - np.repeat(skipped - self.starts[slot], n)
         fast_bounds = np.concatenate([[0], np.cumsum(np.where(direct, 0, per_doc))])
@@ -329,13 +347,19 @@ def write_token_file(ids: DataFrame, frequencies: Frequencies, path: str, key: s
     ids.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(frequencies.freq) if f], "id int, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
 
 
-def read_token_file(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """Key, start, n_tokens and ids (32-bit little-endian) of each document, decoded from the file."""
+def read_token_file(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
+    """Key, start, n_tokens and ids (32-bit little-endian) of each document, decoded from the file.
+
+    With digest, ids_crc32 (of those bytes) instead of the ids.
+    """
     rows = spark.read.parquet(f"{path}/frequencies").collect()  # at most one row for each id of the vocabulary
     freq = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     freq[[r.id for r in rows]] = [r.freq for r in rows]
     shared = spark.sparkContext.broadcast(Frequencies(freq))
     blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks")
+    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row for each shard
+    ends = np.cumsum([r.n for r in sizes])
+    before = {r.shard: int(end - r.n) for r, end in zip(sizes, ends)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,30 +370,29 @@ def read_token_file(spark: SparkSession, path: str, key: str = "doc_id") -> Data
                 if zlib.crc32(ids.astype("<u2").tobytes()) != r["ids_crc32"]:
                     raise ValueError(f"shard {r['shard']}, block {r['block']}: the ids' checksum differs")
                 bounds = np.concatenate([[0], np.cumsum(r["lengths"])])
-                raw = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                wide = ids.astype("<u4")
+                if digest:
+                    last = pa.array([zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+                else:
+                    last = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * (len(bounds) - 1), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + bounds[:-1]), pa.array(np.diff(bounds)), raw],
-                    names=["shard", key, "start", "n_tokens", "ids"],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(before[r["shard"]] + r["start"] + bounds[:-1]), pa.array(np.diff(bounds)), last],
+                    names=[key, "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
-    decoded = blocks.mapInArrow(decode, f"shard int, `{key}` long, start long, n_tokens long, ids binary")
-    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))  # one row for each shard
-    return decoded.join(offsets, "shard").select(key, (F.col("_before") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return blocks.mapInArrow(decode, f"`{key}` long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
-def token_round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", path: str | None = None) -> DataFrame:
+def token_round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", path: str | None = None, digest: bool = False) -> DataFrame:
     """Encode docs, write the token file, and return what is read back from it."""
     spark = docs.sparkSession
     ids = written(tokenized(docs, tokenizer, key), "ids")
     path = path or fresh_path(spark, "tokens")
     write_token_file(ids, Frequencies(scaled(id_counts(ids, encoder(tokenizer).size))), path, key)
-    return read_token_file(spark, path, key)
+    return read_token_file(spark, path, key, digest)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    back = token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
