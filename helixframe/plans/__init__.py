@@ -1,4 +1,7 @@
 """Named queries over the driver's tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import views  # noqa: F401  (views come first: the checks are built from them)
+from . import interval_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
