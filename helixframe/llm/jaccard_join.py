@@ -6,12 +6,14 @@ sets with Jaccard >= 4/5 share a shingle among the first n - ceil(4n/5) + 1 of e
 are posted. Classes that share a posted shingle form a group; groups with the same members are one.
 
 Links are sought so that none between different components is lost and pairs inside one are not all
-made. Two rounds compare, per group and size band, one class of each component with the band's least
-class and that of the band below. Then groups that still span components are searched whole: members
-outside the group's commonest component against all members of other components, in tiles of one size
-band each, by bitmaps. A bitmap is the parity of the shingles hashed to each bit; its width follows
-the size band and a wider one folds to a narrower. The differing bits never exceed the symmetric
-difference, so they bound the overlap from above; survivors get an exact sorted-array intersection.
+made. A group is dealt into tiles of about TILE classes. Round 1 compares each tile's bitmaps, by
+size, and takes a forest over the pairs that may link, the likeliest first; round 2 does so with one
+class of each component that a group still holds. Then groups that still span components are
+searched whole: members outside the group's commonest component against all members of other
+components, tile by tile and size band by size band. A bitmap is the parity of the shingles hashed to
+each bit; its width follows the set's size and a wider one folds to a narrower. The differing bits
+never exceed the symmetric difference, so they bound the overlap from above; survivors get an exact
+sorted-array intersection, for which the compressed texts lie in a table bucketed by class.
 
 Defined results: null or empty text has no shingles and stands alone; repeated rows share a class;
 a null doc_id never is a component_id unless all of its component's are null; other columns are
@@ -20,6 +22,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ TILE = 256
 FLUSH = 1 << 20
 HOT_LEVEL = 13
 PARTITION_POSTINGS = 2_000_000
-ROUNDS = 2
+BITS_EACH = 4
 _POSTED = "bucket int, payload binary"
 
 
@@ -123,7 +126,7 @@ _ROW = np.dtype([("h", "<u8"), ("cls", "<u8"), ("n", "<u4"), ("hot", "?")])
 
 
 def groups(postings: DataFrame, partitions: int) -> DataFrame:
-    """gid, cls, n: classes that share a posted shingle; one gid for each distinct member list."""
+    """gid, tile, cls, n: classes that share a posted shingle; one gid for each distinct member list."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column(1)]
@@ -144,18 +147,23 @@ def groups(postings: DataFrame, partitions: int) -> DataFrame:
         first[np.unique(names, return_index=True)[1]] = True
         keep = np.repeat(wanted & (first | hot), counts)
         gid = np.repeat(names, counts)[keep].view(np.int64)
+        # tiles of a group; those of a hot shingle's buckets must differ
+        tiles = np.repeat(-(-counts // TILE), counts).astype(np.uint64)
+        apart = np.repeat(np.where(hot, mixed(rows["cls"][heads]) >> np.uint64(34), np.uint64(0)), counts)
+        tile = (mixed(rows["cls"]) % tiles + apart)[keep].astype(np.int64)
         out = rows[keep]
         for a in range(0, len(out), 100_000):
             part = out[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gid[a : a + 100_000]), pa.array(part["cls"].view(np.int64)), pa.array(part["n"].astype(np.int64))], names=["gid", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(gid[a : a + 100_000]), pa.array(tile[a : a + 100_000]), pa.array(part["cls"].view(np.int64)), pa.array(part["n"].astype(np.int64))], names=["gid", "tile", "cls", "n"])
 
-    return postings.repartition(partitions, "bucket").mapInArrow(gather, "gid long, cls long, n long").distinct()
+    return postings.repartition(partitions, "bucket").mapInArrow(gather, "gid long, tile long, cls long, n long").distinct()
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Parity of the shingles at each bit; 64 bits times the power of two at or above n / 64."""
-    words = 1 << max(0, (len(values) - 1)).bit_length() >> 6 if len(values) > 64 else 1
-    words = max(1, words)
+    """Parity of the shingles at each bit; the least power-of-two width of BITS_EACH bits a shingle or more."""
+    words = 1
+    while words * 64 < BITS_EACH * len(values):
+        words *= 2
     bit = mixed(values) & np.uint64(words * 64 - 1)
     odd = np.bincount(bit.astype(np.int64), minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -194,6 +202,13 @@ def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str)
     return both.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """df as a table bucketed by a column, so that joins on it don't shuffle it; and the table's name."""
+    name = f"helixframe_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
 def _decoded(batch_ids: list, batch_raw: list, cache: dict[int, np.ndarray]) -> None:
     new = {c: r for c, r in zip(batch_ids, batch_raw) if c not in cache}
     if not new:
@@ -205,28 +220,6 @@ def _decoded(batch_ids: list, batch_raw: list, cache: dict[int, np.ndarray]) ->
     cache.update(zip(new, (values[a:b] for a, b in zip(bounds[:-1], bounds[1:]))))
 
 
-def linked(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """(a, b) of those pairs of classes whose sets have Jaccard >= 4/5: bitmaps first, then exactly."""
-    bits = stored.select("cls", "n", "bits")
-    left = pairs.join(bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma")), "a")
-    both = left.join(bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "b")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, ma, nb, mb = (batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "na", "ma", "nb", "mb"))
-            keep = []
-            for i, (x, y, p, q) in enumerate(zip(ma, mb, na.to_pylist(), nb.to_pylist())):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64)[None], np.frombuffer(y.as_buffer(), np.uint64)[None]
-                words = min(u.shape[1], v.shape[1])
-                if may_link(p, q, int(np.bitwise_count(folded(u, words) ^ folded(v, words)).sum())):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
-
-    near = both.mapInArrow(bound, "a long, b long")
-    return exact(near, stored)
-
-
 def exact(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """(a, b) of those pairs whose exact intersection is large enough."""
     body = stored.select("cls", "packed")
@@ -252,18 +245,79 @@ def exact(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of classes to try, from gid, cls, n, comp: each component's least class with the band's least."""
-    banded = members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.3))))
-    each = banded.groupBy("gid", "band", "comp").agg(F.min(F.struct("n", "cls")).alias("r"))
-    least = each.groupBy("gid", "band").agg(F.min(F.struct("r", "comp")).alias("h"))
-    tried = [each.join(least.withColumn("band", F.col("band") + step), ["gid", "band"]) for step in (0, 1)]
-    return _ordered(tried[0].unionByName(tried[1]).filter("comp <> h.comp").select(F.col("r.cls").alias("a"), F.col("h.r.cls").alias("b"), F.col("r.n").alias("na"), F.col("h.r.n").alias("nb")))
+def _side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, sizes, components and bitmaps of a tile, by size, folded to its narrowest bitmap's width."""
+    rows.sort(key=lambda r: (r["n"], r["cls"]))
+    narrow = min(len(r["bits"]) for r in rows) // 8
+    maps = np.concatenate([folded(np.frombuffer(r["bits"], np.uint64)[None], narrow) for r in rows])
+    return np.array([r["cls"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), maps
+
+
+def _by_width(rows: list[dict]) -> list[list[dict]]:
+    """A tile's rows in runs that a link can't leave downwards, so that bitmaps are folded little."""
+    rows.sort(key=lambda r: (r["n"], r["cls"]))
+    runs: list[list[dict]] = []
+    for r in rows:
+        if not runs or 5 * runs[-1][-1]["n"] < 4 * r["n"]:
+            runs.append([])
+        runs[-1].append(r)
+    return runs
+
+
+def forest(rows: list[dict]) -> list[tuple[int, int]]:
+    """A forest over the pairs of a tile that may link and aren't in one component, least differing bits first."""
+    out: list[tuple[int, int]] = []
+    for run in _by_width(rows):
+        if len(run) < 2:
+            continue
+        cls, n, comp, maps = _side(run)
+        top = np.searchsorted(n, n * 5 // 4, "right")
+        found = []
+        for i in range(len(cls) - 1):
+            if top[i] > i + 1:
+                j = np.arange(i + 1, top[i])
+                differing = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+                keep = may_link(n[i], n[j], differing) & (comp[j] != comp[i])
+                if keep.any():
+                    found.append(np.stack([np.full(int(keep.sum()), i), j[keep], differing[keep] * 10_000 // (n[i] + n[j[keep]])], 1))
+        if not found:
+            continue
+        parent = {c: c for c in comp.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        edges = np.concatenate(found)
+        for i, j, _ in edges[np.argsort(edges[:, 2], kind="stable")].tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j]))))
+    return out
+
+
+def forest_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pairs to verify, from gid, tile, cls, n, comp: a forest of each tile."""
+    rows = F.collect_list(F.struct("cls", "n", "comp", "bits"))
+    tiles = members.join(stored.select("cls", "bits"), "cls").groupBy("gid", "tile").agg(rows.alias("rows")).filter(F.size("rows") > 1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({p for rows in batch.column(0) for p in forest(rows.as_py())})
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return tiles.select("rows").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    near = pairs.filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def representatives(members: DataFrame) -> DataFrame:
+    """One class of each component of the groups that hold several, dealt into tiles anew."""
+    each = members.groupBy("gid", "comp").agg(F.min(F.struct(F.xxhash64("cls"), "cls", "n")).alias("r"))
+    counts = each.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    tile = F.pmod(F.xxhash64("r.cls", F.lit(2)), F.ceil(F.col("k") / TILE))
+    return each.join(counts, "gid").select("gid", tile.alias("tile"), F.col("r.cls").alias("cls"), F.col("r.n").alias("n"), "comp")
 
 
 def tile_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
@@ -276,21 +330,14 @@ def tile_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
     every = banded.groupBy("gid", "band", "tile").agg(packed.alias("right"))
     odd = banded.filter("comp <> main").groupBy("gid", "band", "tile").agg(packed.alias("left"))
     reach = odd.select("gid", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "left")
-    tiles = reach.join(every.select("gid", "band", "right"), ["gid", "band"])
-
-    def side(rows: list[dict]) -> tuple:
-        words = max(len(r["bits"]) for r in rows) // 8
-        narrow = min(len(r["bits"]) for r in rows) // 8
-        maps = [folded(np.frombuffer(r["bits"], np.uint64)[None], narrow) for r in rows] if words > narrow else [np.frombuffer(r["bits"], np.uint64)[None] for r in rows]
-        return np.array([r["cls"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), np.concatenate(maps)
+    tiles = reach.join(every.select("gid", "band", "right"), ["gid", "band"]).select("left", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(batch.schema.get_field_index(n)) for n in ("left", "right"))
             out = [np.zeros((0, 2), np.int64)]
-            for x, y in zip(left, right):
-                c1, n1, k1, m1 = side(x.as_py())
-                c2, n2, k2, m2 = side(y.as_py())
+            for x, y in zip(batch.column(0), batch.column(1)):
+                c1, n1, k1, m1 = _side(x.as_py())
+                c2, n2, k2, m2 = _side(y.as_py())
                 words = min(m1.shape[1], m2.shape[1])
                 m1, m2 = folded(m1, words), folded(m2, words)
                 for i in range(len(c1)):
@@ -314,7 +361,7 @@ def with_components(members: DataFrame, links: list[DataFrame]) -> tuple[DataFra
         edges = edges.unionByName(more)
     found = connected_components(edges, "a", "b")
     joined = members.join(found.withColumnRenamed("id", "cls"), "cls", "left")
-    return joined.select("gid", "cls", "n", F.coalesce("component", "cls").alias("comp")), found
+    return joined.select("gid", "tile", "cls", "n", F.coalesce("component", "cls").alias("comp")), found
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -327,13 +374,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     partitions = max(width, -(-(total // 5) // PARTITION_POSTINGS))
     levels = frequency_levels(docs, bits)
     members = written(groups(posted(docs, levels, bits, 8 * partitions), partitions), "groups")
-    stored = written(stored_sets(docs, named, members.select("cls").distinct(), key), "sets")
+    stored, name = bucketed(stored_sets(docs, named, members.select("cls").distinct(), key), "cls", partitions)
     links: list[DataFrame] = []
-    for _ in range(ROUNDS):
-        current, _found = with_components(members, links)
-        links.append(written(linked(star_pairs(current), stored), "links"))
-    current, _found = with_components(members, links)
-    links.append(written(exact(tile_pairs(written(current, "members"), stored), stored), "links"))
+    tried: list[DataFrame] = []
+    for choose in (lambda m: forest_pairs(m, stored), lambda m: forest_pairs(representatives(m), stored), lambda m: tile_pairs(m, stored)):
+        current = written(with_components(members, links)[0], "members")
+        pairs = choose(current)
+        for done in tried:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        tried.append(written(pairs, "pairs"))
+        links.append(written(exact(tried[-1], stored), "links"))
+    spark.sql(f"DROP TABLE {name}")
     _, found = with_components(members, links)
     least = named.groupBy("cls").agg(F.min(key).alias("_least")).join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     by_component = least.groupBy("component").agg(F.min("_least").alias("_component_id"))
