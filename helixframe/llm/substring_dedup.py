@@ -35,9 +35,9 @@ from .shared import table, texts, written
 LENGTH = 100
 GRAM = 40
 REACH = LENGTH - GRAM
-CHUNK = 2 << 20
-FLUSH = 400_000
-EDGE_FLUSH = 20_000
+CHUNK = 1 << 20
+FLUSH = 200_000
+EDGE_FLUSH = 10_000
 MOST_CONTEXTS = 8
 NULL_ID = -(1 << 63)
 _SECOND = byte_values(91)
@@ -80,9 +80,9 @@ def triggers(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     first = starts[new]
     last = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1])
     t = np.empty(len(first), np.int64)
-    for a in range(0, len(first), 1 << 16):
-        rows = first[a : a + (1 << 16), None] + np.arange(REACH + 1)
-        t[a : a + (1 << 16)] = first[a : a + (1 << 16)] + np.argmin(h[rows], axis=1)
+    for a in range(0, len(first), 1 << 14):
+        rows = first[a : a + (1 << 14), None] + np.arange(REACH + 1)
+        t[a : a + (1 << 14)] = first[a : a + (1 << 14)] + np.argmin(h[rows], axis=1)
     tied = np.flatnonzero(last > t)
     if len(tied):
         more = []
