@@ -40,7 +40,7 @@ TILE = 256
 FLUSH = 1 << 20
 HOT_LEVEL = 13
 PARTITION_POSTINGS = 2_000_000
-BITS_EACH = 4
+BITS_EACH = 2
 _POSTED = "bucket int, payload binary"
 
 
@@ -149,7 +149,7 @@ def groups(postings: DataFrame, partitions: int) -> DataFrame:
         gid = np.repeat(names, counts)[keep].view(np.int64)
         # tiles of a group; those of a hot shingle's buckets must differ
         tiles = np.repeat(-(-counts // TILE), counts).astype(np.uint64)
-        apart = np.repeat(np.where(hot, mixed(rows["cls"][heads]) >> np.uint64(34), np.uint64(0)), counts)
+        apart = np.repeat(np.where(hot, (mixed(rows["cls"][heads]) >> np.uint64(34)) + np.uint64(1), np.uint64(0)), counts)
         tile = (mixed(rows["cls"]) % tiles + apart)[keep].astype(np.int64)
         out = rows[keep]
         for a in range(0, len(out), 100_000):
@@ -182,8 +182,8 @@ def may_link(n1: np.ndarray, n2: np.ndarray, differing: np.ndarray) -> np.ndarra
     return 9 * ((n1 + n2 - differing) // 2) >= 4 * (n1 + n2)
 
 
-def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """cls, n, bitmap and the compressed text of one row of each wanted class."""
+def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
+    """cls, n, bitmap and the compressed text of one row of each wanted class, dealt by class."""
     source = texts(docs, key)
     kind = source.schema[0].dataType.simpleString()
 
@@ -199,13 +199,13 @@ def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str)
     rows = source.mapInArrow(pack, f"`{key}` {kind}, cls long, n long, bits binary, packed binary").withColumnRenamed(key, "_row")
     chosen = named.groupBy("cls").agg(F.min(key).alias("_first")).join(wanted.hint("merge"), "cls", "left_semi")
     both = rows.join(chosen.withColumnRenamed("cls", "_cls").hint("merge"), (F.col("cls") == F.col("_cls")) & F.col("_row").eqNullSafe(F.col("_first")))
-    return both.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("packed").alias("packed"))
+    return both.select("cls", "n", "bits", "packed").repartition(buckets, "cls").dropDuplicates(["cls"])
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
-    """df as a table bucketed by a column, so that joins on it don't shuffle it; and the table's name."""
+    """df, dealt by a column, as a table bucketed by it, so that joins on it don't shuffle it; and the table's name."""
     name = f"helixframe_{uuid.uuid4().hex}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
     return df.sparkSession.table(name), name
 
 
@@ -264,9 +264,13 @@ def _by_width(rows: list[dict]) -> list[list[dict]]:
     return runs
 
 
-def forest(rows: list[dict]) -> list[tuple[int, int]]:
-    """A forest over the pairs of a tile that may link and aren't in one component, least differing bits first."""
+def forest(rows: list[dict]) -> tuple[list[tuple[int, int]], bool]:
+    """A forest over the pairs of a tile that may link and aren't in one component, least differing bits first.
+
+    And whether it holds all such pairs.
+    """
     out: list[tuple[int, int]] = []
+    every = 0
     for run in _by_width(rows):
         if len(run) < 2:
             continue
@@ -291,25 +295,34 @@ def forest(rows: list[dict]) -> list[tuple[int, int]]:
             return x
 
         edges = np.concatenate(found)
+        every += len(edges)
         for i, j, _ in edges[np.argsort(edges[:, 2], kind="stable")].tolist():
             a, b = root(int(comp[i])), root(int(comp[j]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j]))))
-    return out
+    return out, every == len(out)
 
 
 def forest_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs to verify, from gid, tile, cls, n, comp: a forest of each tile."""
+    """Pairs to verify, from gid, tile, cls, n, comp: a forest of each tile; and gids (a, b null) that need more."""
     rows = F.collect_list(F.struct("cls", "n", "comp", "bits"))
-    tiles = members.join(stored.select("cls", "bits"), "cls").groupBy("gid", "tile").agg(rows.alias("rows")).filter(F.size("rows") > 1)
+    tiles = members.join(stored.select("cls", "bits"), "cls").groupBy("gid", "tile").agg(rows.alias("rows"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = sorted({p for rows in batch.column(0) for p in forest(rows.as_py())})
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            pairs: set[tuple[int, int]] = set()
+            open_: set[int] = set()
+            for gid, tile, rows in zip(*(batch.column(i) for i in range(3))):
+                found, whole = forest(rows.as_py())
+                pairs.update(found)
+                if tile.as_py() or not whole:
+                    open_.add(gid.as_py())
+            gids = [None] * len(pairs) + sorted(open_)
+            ends = [[*(p[k] for p in sorted(pairs)), *[None] * len(open_)] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gids, *ends)], names=["gid", "a", "b"])
 
-    return tiles.select("rows").mapInArrow(compare, "a long, b long").distinct()
+    return tiles.mapInArrow(compare, "gid long, a long, b long").distinct()
 
 
 def representatives(members: DataFrame) -> DataFrame:
@@ -374,16 +387,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     partitions = max(width, -(-(total // 5) // PARTITION_POSTINGS))
     levels = frequency_levels(docs, bits)
     members = written(groups(posted(docs, levels, bits, 8 * partitions), partitions), "groups")
-    stored, name = bucketed(stored_sets(docs, named, members.select("cls").distinct(), key), "cls", partitions)
+    stored, name = bucketed(stored_sets(docs, named, members.select("cls").distinct(), key, partitions), "cls", partitions)
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
-    for choose in (lambda m: forest_pairs(m, stored), lambda m: forest_pairs(representatives(m), stored), lambda m: tile_pairs(m, stored)):
-        current = written(with_components(members, links)[0], "members")
-        pairs = choose(current)
+
+    def verify(pairs: DataFrame) -> None:
         for done in tried:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tried.append(written(pairs, "pairs"))
         links.append(written(exact(tried[-1], stored), "links"))
+
+    # a group of one tile (0) whose forest holds all its possible links is settled by verifying those
+    first = written(forest_pairs(with_components(members, links)[0], stored), "forest")
+    verify(first.filter("gid is null").select("a", "b"))
+    members = written(members.join(first.filter("gid is not null").select("gid"), "gid", "left_semi"), "open")
+    current = written(with_components(members, links)[0], "members")
+    verify(forest_pairs(representatives(current), stored).filter("gid is null").select("a", "b"))
+    current = written(with_components(members, links)[0], "members")
+    verify(tile_pairs(current, stored))
     spark.sql(f"DROP TABLE {name}")
     _, found = with_components(members, links)
     least = named.groupBy("cls").agg(F.min(key).alias("_least")).join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
