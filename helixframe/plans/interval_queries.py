@@ -6,7 +6,7 @@ from ..operators import intervals as iv
 from ..operators import sequences as sq
 from .registry import query
 
-UNION = """{name}0 AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM {src} WHERE lo < hi),
+UNION = """{name}0 AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM (SELECT DISTINCT {keys}, lo, hi FROM {src}) WHERE lo < hi),
 {name}1 AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM {name}0),
 {name} AS (SELECT {keys}, min(lo) AS lo, max(hi) AS hi FROM {name}1 GROUP BY {keys}, g)"""
 
@@ -30,7 +30,7 @@ def _(v):
 
 @query("ivl_order", "SELECT id, lo, hi, row_number() OVER (ORDER BY id, lo, hi) AS place FROM (SELECT DISTINCT id, lo, hi FROM {ivl})")
 def _(v):
-    return v.ivl.distinct().orderBy("id", "lo", "hi").selectExpr("id", "lo", "hi", "row_number() OVER (ORDER BY id, lo, hi) AS place")
+    return v.ivl.distinct().orderBy("id", "lo", "hi").selectExpr("id", "lo", "hi", "CAST(row_number() OVER (ORDER BY id, lo, hi) AS BIGINT) AS place")
 
 
 @query("ivl_length", "WITH " + united("u", "{ivl}") + " SELECT id, CAST(sum(hi - lo) AS BIGINT) AS length FROM u GROUP BY id")
@@ -87,9 +87,9 @@ def _(v):
     return iv.subtract(whole, whole.selectExpr("gene", "lo + 10 AS lo", "lo + 15 AS hi"), ("gene",))
 
 
-_MINUS = """WITH ev AS (SELECT id, lo AS at, 1 AS da, 0 AS db FROM {A} UNION ALL SELECT id, hi, -1, 0 FROM {A} UNION ALL SELECT id, lo, 0, 1 FROM {B} UNION ALL SELECT id, hi, 0, -1 FROM {B}),
-net AS (SELECT id, at, sum(da) AS da, sum(db) AS db FROM ev GROUP BY id, at),
-sw AS (SELECT id, at AS lo, lead(at) OVER (PARTITION BY id ORDER BY at) AS hi, sum(da) OVER (PARTITION BY id ORDER BY at) AS ca, sum(db) OVER (PARTITION BY id ORDER BY at) AS cb FROM net),
+_MINUS = """WITH ev AS (SELECT id, lo AS x, 1 AS da, 0 AS db FROM {A} UNION ALL SELECT id, hi, -1, 0 FROM {A} UNION ALL SELECT id, lo, 0, 1 FROM {B} UNION ALL SELECT id, hi, 0, -1 FROM {B}),
+net AS (SELECT id, x, sum(da) AS da, sum(db) AS db FROM ev GROUP BY id, x),
+sw AS (SELECT id, x AS lo, lead(x) OVER (PARTITION BY id ORDER BY x) AS hi, sum(da) OVER (PARTITION BY id ORDER BY x) AS ca, sum(db) OVER (PARTITION BY id ORDER BY x) AS cb FROM net),
 seg AS (SELECT id, lo, hi FROM sw WHERE ca > 0 AND cb = 0 AND hi IS NOT NULL), """ + united("u", "seg") + " SELECT id, lo, hi FROM u"
 
 
