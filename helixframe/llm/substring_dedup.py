@@ -5,7 +5,8 @@ the least hash. So every 100-byte string holds a trigger, the same in all its co
 cut texts into phrases whatever stands around them. The strings that one trigger serves form its
 context. Per trigger hash (`grouped`): a context seen before is a repeat as a whole; a hash with one
 context needs nothing more; a hash with several has edges, where copies begin or end, and only the
-first of each context is looked at byte by byte.
+first of each context is looked at byte by byte, and only where a hash of the bytes that all strings
+of a range hold is met twice.
 
 Those contexts are cut at their trigger into what precedes (the phrase suffix, the dictionary side)
 and what follows (the parse side). Both sides are suffix-sorted with common-prefix lengths, and a
@@ -42,13 +43,20 @@ MOST_CONTEXTS = 8
 NULL_ID = -(1 << 63)
 _SECOND = byte_values(91)
 _SECOND_POWERS = Powers(0xD1342543DE82EF95)
-_TRIGGER = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("t", "<i4"), ("before", "u1"), ("least", "u1"), ("many", "?")])
+RANGES = ((0, 20), (20, 40), (40, REACH + 1))  # of the trigger's distance from a string's start
+_RAW = {"h": 6, "f": 8, "g": 8, "c": 4, "k0": 2, "k1": 2, "k2": 2, "tag": 2}
+_TRIGGER = np.dtype([("h", "<u8"), ("c", "<u4"), ("k0", "<u2"), ("k1", "<u2"), ("k2", "<u2"), ("doc", "<i8"), ("tag", "<i2"), ("t", "<i4"), ("before", "u1"), ("least", "u1"), ("many", "?")])
 _EDGE = np.dtype([("t", "<i4"), ("before", "<i4"), ("least", "<i4")])
-_WINDOW = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("p", "<i4")])
+_WINDOW = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("tag", "<i2"), ("p", "<i4")])
 MARKS, EDGES, PACKED = 0, 1, 2
 _STEP = "kind int, part int, doc long, tag long, payload binary"
 
 
+def row_tags(chunk: Chunk) -> np.ndarray:
+    """A hash of each text, to tell rows apart that share a doc_id."""
+    return (mixed(span_hash(chunk.prefix, chunk.offsets[:-1], chunk.offsets[1:])) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+
+
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     out, have = h, 1
@@ -125,27 +133,35 @@ def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(rows: np.ndarray, names: tuple[str, ...]) -> bytes:
-    """A structured array by columns, the regular ones compressed."""
+    """A structured array by columns: hashes as they are, the regular ones by differences and compressed."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    parts = [np.ascontiguousarray(rows[n]).tobytes() if n in ("h", "c", "f", "g") else squeeze(_delta(rows[n])) for n in names]
+    parts = []
+    for n in names:
+        values = np.ascontiguousarray(rows[n])
+        if n in _RAW:
+            parts.append(values.view(np.uint8).reshape(len(rows), -1)[:, : _RAW[n]].tobytes())
+        else:
+            parts.append(squeeze(_delta(values)))
     return np.array([len(rows), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
 
 def _delta(values: np.ndarray) -> bytes:
-    wide = values.astype(np.int64)
-    return np.diff(wide, prepend=np.int64(0)).tobytes() if values.dtype.itemsize > 1 else values.tobytes()
+    return np.diff(values.astype(np.int64), prepend=np.int64(0)).tobytes() if values.dtype.itemsize > 1 else values.tobytes()
 
 
 def _rows(raw: bytes, kind: np.dtype, names: tuple[str, ...]) -> np.ndarray:
     head = np.frombuffer(raw, "<i8", 1 + len(names))
-    out = np.zeros(int(head[0]), kind)
+    n_rows = int(head[0])
+    out = np.zeros(n_rows, kind)
     unpack = zstandard.ZstdDecompressor().decompress
     at = 8 * (1 + len(names))
     for n, size in zip(names, head[1:].tolist()):
         piece = raw[at : at + size]
         at += size
-        if n in ("h", "c", "f", "g"):
-            out[n] = np.frombuffer(piece, np.uint64)
+        if n in _RAW:
+            wide = np.zeros((n_rows, kind[n].itemsize), np.uint8)
+            wide[:, : _RAW[n]] = np.frombuffer(piece, np.uint8).reshape(n_rows, -1)
+            out[n] = wide.view(kind[n]).ravel()
         elif kind[n].itemsize > 1:
             out[n] = np.cumsum(np.frombuffer(unpack(piece), np.int64))
         else:
@@ -164,7 +180,9 @@ def _dealt(rows: np.ndarray, key: np.ndarray, buckets: int, names: tuple[str, ..
 
 def _repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by (h, context, doc, t), and which are the first of their context."""
-    shape = rows["c"] ^ mixed(rows["before"].astype(np.uint64) * np.uint64(256) + rows["least"])
+    shape = rows["c"].astype(np.uint64) << np.uint64(16) | rows["before"].astype(np.uint64) << np.uint64(8) | rows["least"]
+    for k in ("k0", "k1", "k2"):
+        shape = mixed(shape + rows[k])
     order = np.lexsort((rows["t"], rows["tag"], rows["doc"], shape, rows["h"]))
     rows, shape = rows[order], shape[order]
     first = np.ones(len(rows), bool)
@@ -189,6 +207,25 @@ def _edges(rows: np.ndarray) -> list[tuple]:
     return [(EDGES, int(rows["doc"][a]) % 9973, int(rows["doc"][a]), int(rows["tag"][a]), cut[a:b].tobytes()) for a, b in zip(heads, np.append(heads[1:], len(rows)))]
 
 
+def _shared_ranges(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows cut to the ranges in which another context of their group has the same bytes around the trigger.
+
+    A group that some task has cut short (many) keeps whole rows: its other contexts aren't here.
+    """
+    many = np.bincount(group, rows["many"])[group] > 0
+    out = [rows[many]]
+    rest, of = rows[~many], group[~many]
+    for i, (low, high) in enumerate(RANGES):
+        meets = (rest["least"] < high) & (rest["before"] >= low)
+        some, key = rest[meets], of[meets].astype(np.int64) << 16 | rest[f"k{i}"][meets]
+        _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+        some = some[counts[back] > 1]
+        some["least"] = np.maximum(some["least"], low)
+        some["before"] = np.minimum(some["before"], high - 1)
+        out.append(some)
+    return np.concatenate(out)
+
+
 def _same_place(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Rows that stand at the very place (doc and offset) of their context's first: copies of one doc_id."""
     lead = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
@@ -221,10 +258,14 @@ def parsed(source: DataFrame, buckets: int) -> DataFrame:
                 if not len(t):
                     continue
                 doc = np.searchsorted(chunk.offsets, t, "right") - 1
-                tags = span_hash(chunk.prefix, chunk.offsets[:-1], chunk.offsets[1:]).view(np.int64)
+                tags = row_tags(chunk)
                 rows = np.zeros(len(t), _TRIGGER)
-                rows["h"] = h[t]
-                rows["c"] = mixed(span_hash(chunk.prefix, lo, hi + LENGTH) ^ np.uint64(0xA5A5))
+                rows["h"] = h[t] & np.uint64((1 << 48) - 1)
+                rows["c"] = mixed(span_hash(chunk.prefix, lo, hi + LENGTH) ^ np.uint64(0xA5A5)) >> np.uint64(32)
+                for i, (low, high) in enumerate(RANGES):
+                    meets = (t - hi < high) & (t - lo >= low)
+                    at = t[meets]
+                    rows[f"k{i}"][meets] = mixed(span_hash(chunk.prefix, at - low, at + LENGTH + 1 - high)) >> np.uint64(48)
                 rows["doc"], rows["tag"] = ids[chunk.first + doc], tags[doc]
                 rows["t"], rows["before"], rows["least"] = t - chunk.offsets[doc], t - lo, t - hi
                 held.append(rows)
@@ -260,7 +301,7 @@ def grouped(steps: DataFrame, partitions: int) -> DataFrame:
         rows, first = rows[~again], first[~again]
         group_of = np.cumsum(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])) - 1
         wanted = (np.bincount(group_of, first)[group_of] > 1) | (np.bincount(group_of, rows["many"])[group_of] > 0)
-        yield from _batch(_edges(rows[wanted]))
+        yield from _batch(_edges(_shared_ranges(rows[wanted], group_of[wanted])))
 
     return steps.repartition(partitions, "part").mapInArrow(group, _STEP)
 
@@ -435,7 +476,7 @@ def packed_texts(source: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for chunk in chunks(batch.column(1), CHUNK):
-                tags = span_hash(chunk.prefix, chunk.offsets[:-1], chunk.offsets[1:]).view(np.int64)
+                tags = row_tags(chunk).astype(np.int64)
                 raw = [squeeze(chunk.text(i)) for i in range(chunk.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(tags), pa.array(raw, pa.binary())], names=["doc", "tag", "packed"])
 
