@@ -323,8 +323,12 @@ def corpus_order(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(out)
 
 
-def settled(edges: np.ndarray, bodies: list[bytes], doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the strings of some edges in (doc, t) order: the first of each class as fingerprints, and the repeats as rows."""
+def settled(edges: np.ndarray, bodies: list[bytes], doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of some edges in (doc, t) order: the first of each class as fingerprints, and the repeats as rows.
+
+    And for each first a hash of the bytes that its range's strings share, so that an edge's strings go
+    to few tasks, and equal ones to the same.
+    """
     n = len(edges)
     before, after = np.zeros((n, REACH), np.uint8), np.zeros((n, LENGTH), np.uint8)
     for i, (t, back, least) in enumerate(edges.tolist()):
@@ -336,7 +340,7 @@ def settled(edges: np.ndarray, bodies: list[bytes], doc: np.ndarray, tag: np.nda
     whole = np.concatenate([before[:, ::-1], after], axis=1).ravel()
     first_prefix = prefix_hash(whole)
     second_prefix = prefix_hash(whole, _SECOND, _SECOND_POWERS)
-    firsts, repeats = [], []
+    firsts, cores, repeats = [], [], []
     for o in range(REACH + 1):
         live = np.flatnonzero((edges["least"] <= o) & (o <= edges["before"]))
         if not len(live):
@@ -353,7 +357,10 @@ def settled(edges: np.ndarray, bodies: list[bytes], doc: np.ndarray, tag: np.nda
         rows["f"] = mixed(span_hash(first_prefix, start, start + LENGTH))
         rows["g"] = mixed(span_hash(second_prefix, start, start + LENGTH, _SECOND_POWERS))
         firsts.append(rows[~again])
-    return np.concatenate(firsts), np.concatenate(repeats)
+        low, high = next(r for r in RANGES if r[0] <= o < r[1])
+        trigger = live[~again] * (REACH + LENGTH) + REACH
+        cores.append(mixed(span_hash(first_prefix, trigger - low, trigger + LENGTH + 1 - high)))
+    return np.concatenate(firsts), np.concatenate(cores), np.concatenate(repeats)
 
 
 def _window_marks(rows: np.ndarray) -> list[tuple]:
@@ -400,9 +407,9 @@ def resolved(rows: DataFrame, buckets: int) -> DataFrame:
             doc, tag = (np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (0, 1))
             order = np.lexsort((edges["t"], doc))
             bodies = [x[3] for x, n in zip(held, sizes) for _ in range(n)]
-            firsts, repeats = settled(edges[order], [bodies[i] for i in order], doc[order], tag[order])
+            firsts, cores, repeats = settled(edges[order], [bodies[i] for i in order], doc[order], tag[order])
             out = [(LATE, None, d, t, None, None, None, None, m, None) for d, t, m in _window_marks(repeats)]
-            out += [(WINDOWS, part, None, None, None, None, None, None, None, raw) for _, part, _, _, raw in _dealt(firsts, firsts["f"], buckets, _WINDOW.names, PACKED)]
+            out += [(WINDOWS, part, None, None, None, None, None, None, None, raw) for _, part, _, _, raw in _dealt(firsts, cores, buckets, _WINDOW.names, PACKED)]
             for i in range(0, len(out), 5_000):
                 yield _made(out[i : i + 5_000])
 
