@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,153 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component"))
     alone = loops.select(F.col("a").alias("id"), F.col("a").alias("component"))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots).unionByName(alone).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def components_with_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) for every node, isolated ones included."""
+    found = connected_components(edges)
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def simple_edges(edges: DataFrame) -> DataFrame:
+    """Undirected edges once, src < dst, no loops."""
+    return edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def density(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, n, m, density = 2m / (n (n - 1)); null for one node."""
+    n = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    m = simple_edges(edges).join(components, F.col("src") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    both = n.join(m, "component", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    return both.withColumn("density", F.when(F.col("n") > 1, F.lit(2).cast("double") * F.col("m") / (F.col("n") * (F.col("n") - 1))))
+
+
+def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    e = simple_edges(edges)
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def representative(grouped: DataFrame) -> DataFrame:
+    """One node of each group: reference first, then degree, length, and order (id, is_ref, degree, len, grp)."""
+    best = F.max(F.struct(F.col("is_ref"), F.col("degree"), F.col("len"), (-F.col("id")).alias("o"))).alias("b")
+    return grouped.groupBy("grp").agg(best).select("grp", (-F.col("b.o")).alias("id"))
+
+
+def label_components(components: DataFrame, prefix: str = "LD_") -> DataFrame:
+    """Labels numbered by the order of the components' least nodes; the number of components sorts in one task."""
+    roots = components.select("component").distinct()
+    numbered = roots.withColumn("label", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy("component"))))
+    return components.join(numbered, "component").select("id", "label")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4) -> DataFrame:
+    """(id, grp): dense components whole, sparse ones split by deterministic modularity moves.
+
+    One component is one task, so this is for components of bounded size; grp is the least member.
+    """
+    comp = components_with_nodes(nodes, edges)
+    dense = density(comp, edges).select("component", F.coalesce(F.col("density") >= least_density, F.lit(True)).alias("whole"))
+    marked = comp.join(dense, "component")
+    whole = marked.filter("whole").select("id", F.col("component").alias("grp"))
+    rest = simple_edges(edges).join(marked.filter("not whole").select(F.col("id").alias("src"), "component"), "src")
+
+    def split(key: tuple, part):
+        import pandas as pd
+
+        near: dict[int, set[int]] = {}
+        for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        total = 2 * len(part)
+        home = {v: v for v in near}
+        weight = {v: len(near[v]) for v in near}
+        moved = True
+        while moved:
+            moved = False
+            for v in sorted(near):
+                weight[home[v]] -= len(near[v])
+                links: dict[int, int] = {}
+                for u in near[v]:
+                    links[home[u]] = links.get(home[u], 0) + 1
+                gain = {c: k - len(near[v]) * weight[c] / total for c, k in links.items()}
+                stay = gain.get(home[v], -len(near[v]) * weight[home[v]] / total)
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if gain[best] > stay + 1e-12:
+                    home[v], moved = best, True
+                weight[home[v]] += len(near[v])
+        least: dict[int, int] = {}
+        for v in sorted(near):
+            least.setdefault(home[v], v)
+        return pd.DataFrame({"id": sorted(near), "grp": [least[home[v]] for v in sorted(near)]})
+
+    return whole.unionByName(rest.groupBy("component").applyInPandas(split, "id long, grp long"))
+
+
+def longest_per_component(components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """component, id of the longest node, and _InRef or _OutRef by whether any member is a reference."""
+    joined = components.join(nodes, "id")
+    best = joined.groupBy("component").agg(F.max(F.struct("len", (-F.col("id")).alias("o"))).alias("b"), F.bool_or("is_ref").alias("ref"))
+    return best.select("component", (-F.col("b.o")).alias("id"), F.when(F.col("ref"), "_InRef").otherwise("_OutRef").alias("tag"))
+
+
+def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100, max_rounds: int = 50) -> DataFrame:
+    """Genes left after dropping, per component and round, the last gene with under `least` own bases.
+
+    genes (id, len); regions (id, other, lo, hi): stretches of id identical to stretches of other.
+    """
+    from .intervals import union
+
+    alive = genes
+    for _ in range(max_rounds):
+        ids = alive.select("id")
+        here = regions.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other")
+        shared = union(here, ["id"]).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
+        low = alive.join(shared, "id").filter(F.col("len") - F.col("b") < least).select("id")
+        links = here.join(low, "id", "left_semi").join(low.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+        drop = cut_lineage(components_with_nodes(low, links).groupBy("component").agg(F.max("id").alias("id")).select("id"), "drop")
+        if drop.isEmpty():
+            return alive
+        alive = cut_lineage(alive.join(drop, "id", "left_anti"), "alive")
+    raise RuntimeError("redundancy peel did not settle")
+
+
+def trim_segments(segments: DataFrame, links: DataFrame, drop: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Contract the dropped segments: every predecessor linked to every successor, orientations kept.
+
+    links (id1, dir1, id2, dir2). Each round contracts an independent set, the dropped segments that
+    have no dropped neighbour of smaller id, which leaves the same links as one at a time.
+    """
+    names = ["id1", "dir1", "id2", "dir2"]
+    left = drop.select("id").distinct()
+    links = cut_lineage(links.select(names).distinct(), "links")
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return segments.join(drop.select("id"), "id", "left_anti"), links
+        a, b = left.select(F.col("id").alias("id1")), left.select(F.col("id").alias("id2"))
+        between = links.join(a, "id1", "left_semi").join(b, "id2", "left_semi").filter("id1 <> id2")
+        larger = between.select(F.greatest("id1", "id2").alias("id")).distinct()
+        now = cut_lineage(left.join(larger, "id", "left_anti"), "now")
+        gone1, gone2 = now.select(F.col("id").alias("id1")), now.select(F.col("id").alias("id2"))
+        into = links.join(gone2, "id2", "left_semi").filter("id1 <> id2").select(F.col("id1").alias("u"), F.col("dir1").alias("du"), F.col("id2").alias("x"))
+        out = links.join(gone1, "id1", "left_semi").filter("id1 <> id2").select(F.col("id1").alias("x"), F.col("id2").alias("w"), F.col("dir2").alias("dw"))
+        made = into.join(out, "x").select(F.col("u").alias("id1"), F.col("du").alias("dir1"), F.col("w").alias("id2"), F.col("dw").alias("dir2"))
+        kept = links.join(gone1, "id1", "left_anti").join(gone2, "id2", "left_anti").select(names)
+        links = cut_lineage(kept.unionByName(made).distinct(), "links")
+        left = cut_lineage(left.join(now, "id", "left_anti"), "left")
+    raise RuntimeError("trimming did not settle")
+
+
+def links_from_walks(walks: DataFrame, column: str = "walk") -> DataFrame:
+    """Distinct oriented links of walks like >1>2<3."""
+    steps = F.regexp_extract_all(F.col(column), F.lit("([<>][^<>,]+)"), F.lit(1))
+    pairs = F.arrays_zip(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))).alias("a"), F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))).alias("b"))
+    sign = lambda c: F.when(F.substring(c, 1, 1) == ">", "+").otherwise("-")
+    name = lambda c: F.expr(f"substring({c}, 2)")
+    rows = walks.select(F.explode(F.split(F.col(column), ",")).alias(column)).select(F.explode(pairs).alias("p"))
+    return rows.select(name("p.a").alias("id1"), sign(F.col("p.a")).alias("dir1"), name("p.b").alias("id2"), sign(F.col("p.b")).alias("dir2")).distinct()
+
+
+def segments_from_walks(walks: DataFrame, segments: DataFrame, column: str = "walk") -> DataFrame:
+    ids = walks.select(F.explode(F.regexp_extract_all(F.col(column), F.lit("[<>]([^<>,]+)"), F.lit(1))).alias("id")).distinct()
+    return segments.join(ids, "id", "left_semi")
