@@ -13,7 +13,7 @@ from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
-from .secret_scan import op3_secret_scan
+from .secret_scan import BASE, RULES, op3_secret_scan
 from .substring_dedup import op7_substring_dedup
 from .token_files import op4_token_files
 
@@ -32,4 +32,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_lm_scoring,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """The rules' spans by split lengths: what lies before the i-th match is its place."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, p, g FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, "
+            f"string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d)"
+        )
+        parts[-1] = f"SELECT rid, rank, kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM ({parts[-1]}) WHERE length(g[i]) >= {rule.least}"
+    listed = "string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(a + n AS BIGINT)), ',' ORDER BY a, rank)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(parts) + ") "
+        f"SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (WHERE rank < {len(BASE)}), '')) AS base_sha256, coalesce({listed} FILTER (WHERE rank IS NOT NULL), '') AS spans FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id"
+    )
+
+
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS l FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(l) AS sh FROM l), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.r = e.a)
+SELECT l.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM l LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM r GROUP BY id) c ON c.id = l.doc_id"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
