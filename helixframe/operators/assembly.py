@@ -141,7 +141,7 @@ def reorder_contigs(coords: DataFrame, contigs: DataFrame, chromosomes: DataFram
     place = F.coalesce(F.floor((-F.col("b.long.s") - F.col("b.long.e")) / 2), F.lit(0)).cast("long")
     strand = F.when(F.col("b.plus") > F.col("b.total") - F.col("b.plus"), "F").otherwise("R")
     rows = joined.select("asm", "qry", "ord", F.coalesce("b.ref", "first_ref").alias("ref"), place.alias("place"), strand.alias("strand")).join(refs, "ref")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("asm").orderBy("ref_ord", "place", "ord"))).drop("ref_ord", "ord")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("asm").orderBy("ref_ord", "place", "ord")).cast("long")).drop("ref_ord", "ord")
 
 
 def last_rows(lines: DataFrame, key: str = "file", order: str = "line") -> DataFrame:

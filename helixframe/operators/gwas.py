@@ -168,8 +168,8 @@ def ld_prune(pairs: DataFrame, sites: DataFrame) -> DataFrame:
                 kept.add(v)
         return pd.DataFrame({"variant": ordered, "kept": [v in kept for v in ordered]})
 
-    where = sites.select(F.col("variant").alias("a"), "chrom")
-    return sites.groupBy("chrom").cogroup(pairs.join(where, "a").groupBy("chrom")).applyInPandas(prune, "variant long, kept boolean")
+    where = sites.select(F.col("variant").alias("a"), F.col("chrom").alias("of_chrom"))
+    return sites.groupBy("chrom").cogroup(pairs.join(where, "a").groupBy("of_chrom")).applyInPandas(prune, "variant long, kept boolean")
 
 
 def merge_types(**matrices: DataFrame) -> DataFrame:
@@ -281,4 +281,25 @@ def neighbour_joining(distances: DataFrame, most: int = 2_000) -> list[tuple[int
     return out
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "pd", "F", "Column", "DataFrame", "Window", "Sequence", "cut_lineage")]
+
+def principal_components(similarity: DataFrame, n: int = 4, most: int = 3_000) -> DataFrame:
+    """sample, pc1 .. pcn from a symmetric (a, b, k) similarity of a bounded number of samples.
+
+    The matrix is centred and decomposed on the driver; each vector's largest entry is positive.
+    """
+    import numpy as np
+
+    rows = similarity.limit(most * most + 1).collect()
+    ids = sorted({r.a for r in rows} | {r.b for r in rows})
+    if len(ids) > most:
+        raise ValueError(f"more than {most} samples")
+    at = {s: i for i, s in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    for r in rows:
+        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.k
+    m = m - m.mean(0) - m.mean(1)[:, None] + m.mean()
+    _, vectors = np.linalg.eigh(m)
+    top = vectors[:, ::-1][:, :n]
+    top = top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
+    columns = ", ".join(f"pc{i + 1} double" for i in range(top.shape[1]))
+    return similarity.sparkSession.createDataFrame([(s, *map(float, row)) for s, row in zip(ids, top)], f"sample long, {columns}")

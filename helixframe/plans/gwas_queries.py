@@ -52,7 +52,7 @@ def _(v):
     return gw.genomic_inflation(v.assoc)
 
 
-@query("permute_phenotypes", "SELECT perm, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS total FROM {customer}, unnest(range(1, 6)) t(perm) GROUP BY perm")
+@query("permute_phenotypes", "SELECT CAST(perm AS INTEGER) AS perm, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS total FROM {customer}, unnest(range(1, 6)) t(perm) GROUP BY perm")
 def _(v):
     rows = gw.permute(v.customer.selectExpr("c_custkey AS strain", "c_acctbal AS value"), 5, 11)
     return rows.groupBy("perm").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
@@ -165,7 +165,7 @@ def _(v):
     return gw.join_multiallelic(gw.split_multiallelic(v.part.selectExpr("p_partkey AS site", "'G' AS ref", "concat('A,', p_brand, ',C') AS alts"))).select("site", "alts")
 
 
-@query("multiallelic_atomize", "SELECT site, i, r, a FROM (SELECT p_partkey AS site, unnest(range(1, 5)) AS i, unnest(['A', 'C', 'G', 'T']) AS r, unnest(['A', CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'T' END, 'C', 'T']) AS a FROM {part}) WHERE r <> a")
+@query("multiallelic_atomize", "SELECT site, CAST(i AS INTEGER) AS i, r, a FROM (SELECT p_partkey AS site, unnest(range(1, 5)) AS i, unnest(['A', 'C', 'G', 'T']) AS r, unnest(['A', CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'T' END, 'C', 'T']) AS a FROM {part}) WHERE r <> a")
 def _(v):
     return gw.atomize(v.part.selectExpr("p_partkey AS site", "'ACGT' AS ref", "concat('A', CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'T' END, 'CT') AS alt"))
 
@@ -212,3 +212,9 @@ def _(v):
     k = gw.kinship(dosage(v)).filter("a < b").selectExpr("a", "b", "1 - k AS d")
     joins = gw.neighbour_joining(k)
     return k.sparkSession.createDataFrame([(a, b, round(x, 9), round(y, 9)) for a, b, x, y in joins], "a long, b long, da double, db double")
+
+
+@query("pca")
+def _(v):
+    parts = gw.principal_components(gw.kinship(dosage(v)), 4)
+    return parts.select("sample", *(F.round(f"pc{i}", 6).alias(f"pc{i}") for i in range(1, 5)))

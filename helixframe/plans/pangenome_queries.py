@@ -85,7 +85,7 @@ def _(v):
     return pg.representative_sequences(v.dna.select("id", "seq"), v.nation.selectExpr("CAST(n_nationkey AS BIGINT) AS gene", "n_name AS gene_id"))
 
 
-@query("cnv_mask_identical", "SELECT strain, gene, count(*) AS n, sum(depth) AS depth FROM {depth} d WHERE NOT EXISTS (SELECT 1 FROM {nation} WHERE concat('g', n_nationkey * 3) = gene AND pos > n_nationkey * 10 AND pos <= n_nationkey * 10 + 300) GROUP BY ALL")
+@query("cnv_mask_identical", "SELECT strain, gene, count(*) AS n, CAST(sum(depth) AS BIGINT) AS depth FROM {depth} d WHERE NOT EXISTS (SELECT 1 FROM {nation} WHERE concat('g', n_nationkey * 3) = gene AND pos > n_nationkey * 10 AND pos <= n_nationkey * 10 + 300) GROUP BY ALL")
 def _(v):
     regions = v.nation.selectExpr("concat('g', n_nationkey * 3) AS gene", "n_nationkey * 10 AS lo", "n_nationkey * 10 + 300 AS hi")
     return pg.mask_identical(v.depth, regions).groupBy("strain", "gene").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depth"))
@@ -107,7 +107,7 @@ def _(v):
     return pg.call_copies(pg.normalise_depth(v.depth), F.lit(2), threshold=0.9).select("strain", "gene", "cn")
 
 
-@query("cnv_union_matrix", "SELECT strain, gene, sum(depth) AS depth FROM {depth} GROUP BY ALL")
+@query("cnv_union_matrix", "SELECT strain, gene, CAST(sum(depth) AS BIGINT) AS depth FROM {depth} GROUP BY ALL")
 def _(v):
     parts = [v.depth.filter(F.col("strain") == f"st{i}") for i in range(8)]
     out = parts[0]

@@ -23,7 +23,7 @@ VIEWS |= {
         CASE WHEN l_returnflag = 'R' THEN l_orderkey % 11 * 25 + 1 ELSE l_orderkey % 11 * 25 + CAST(l_quantity AS BIGINT) * 4 END AS send,
         l_tax AS evalue, l_extendedprice AS bitscore, 560 + l_partkey % 400 % 7 * 40 AS qlen, 460 + l_suppkey % 100 % 5 * 40 AS slen,
         CAST(l_quantity AS BIGINT) * 2 AS qcovs, l_orderkey * 8 + l_linenumber AS o1 FROM {lineitem}""",
-    "hit": "SELECT *, row_number() OVER (ORDER BY o1, qseqid, sseqid, pident, qstart, qend, sstart, send, evalue, bitscore, qcovs) AS ord FROM {hit_raw}",
+    "hit": "SELECT *, CAST(row_number() OVER (ORDER BY o1, qseqid, sseqid, pident, qstart, qend, sstart, send, evalue, bitscore, qcovs) AS BIGINT) AS ord FROM {hit_raw}",
     "node": "SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS len, p_brand = 'Brand#2' AS is_ref FROM {part}",
     "edge": "SELECT p_partkey AS src, p_partkey * 7 % 2000 AS dst FROM {part} WHERE p_size > 40 AND p_partkey <> p_partkey * 7 % 2000 AND p_partkey * 7 % 2000 IN (SELECT p_partkey FROM {part})",
     "sv": """SELECT event_id, CASE event_type WHEN 'click' THEN 'INS' WHEN 'view' THEN 'DEL' WHEN 'signup' THEN 'DUP' WHEN 'purchase' THEN 'INV' ELSE 'TRA' END AS type,
