@@ -199,7 +199,8 @@ o AS (SELECT id, t[1] AS chrom, t[2] AS pos, t[3] AS chrom2, t[4] AS pos2, great
 
 def tra(v):
     rows = vr.order_breakpoints(svs(v).filter("type = 'TRA'").withColumnRenamed("variant", "id"))
-    return vr.translocation_length(rows, v.sv.select("chrom").distinct().withColumn("size", F.lit(110_000))).select("id", "chrom", "pos", "chrom2", "pos2", "length")
+    names = v.sv.select("chrom").union(v.sv.select("mate_chrom")).distinct()
+    return vr.translocation_length(rows, names.withColumn("size", F.lit(110_000))).select("id", "chrom", "pos", "chrom2", "pos2", "length")
 
 
 @query("tra_order_breakpoints", TRA + " SELECT id, chrom, pos, chrom2, pos2 FROM o")
