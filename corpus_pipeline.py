@@ -16,7 +16,7 @@ from helixframe.llm.jaccard_join import jaccard_components
 from helixframe.llm.packing import packed, word_tokens
 from helixframe.llm.quality_rules import quality_filter
 from helixframe.llm.secret_scan import redacted
-from helixframe.llm.shared import table, written
+from helixframe.llm.shared import forget, mark, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +67,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents, every stage written and read again."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(spark, since, but=1)  # the stage's own tables and the stage before it are read no more
     return docs
 
 

@@ -25,8 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, remembered for `forget`."""
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def mark() -> int:
+    """How many paths have been given out."""
+    return len(_PATHS)
+
+
+def forget(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete what was written since a mark, but for the last `but` paths. Nothing lazy may still need it."""
+    last = len(_PATHS) - but
+    for path in _PATHS[since:last]:
+        remove(spark, path)
+    del _PATHS[since:last]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
