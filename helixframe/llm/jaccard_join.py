@@ -328,7 +328,8 @@ def forest_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
 def representatives(members: DataFrame) -> DataFrame:
     """One class of each component of the groups that hold several, dealt into tiles anew."""
     each = members.groupBy("gid", "comp").agg(F.min(F.struct(F.xxhash64("cls"), "cls", "n")).alias("r"))
-    counts = each.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    each = written(each, "each")
+    counts = written(each.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "counts")  # written, so that a large group's side of the join can be split
     tile = F.pmod(F.xxhash64("r.cls", F.lit(2)), F.ceil(F.col("k") / TILE))
     return each.join(counts, "gid").select("gid", tile.alias("tile"), F.col("r.cls").alias("cls"), F.col("r.n").alias("n"), "comp")
 
@@ -337,6 +338,7 @@ def tile_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
     """All pairs across components that some group holds and that the bitmaps leave possible, from gid, cls, n, comp."""
     sizes = members.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("k"))
     spread = sizes.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total")).filter("comps > 1")
+    spread = written(spread, "spread")  # likewise
     open_ = members.join(spread, "gid").join(stored.select("cls", "bits"), "cls")
     banded = open_.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.3)))).withColumn("tile", F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / TILE)))
     packed = F.collect_list(F.struct("cls", "n", "comp", "bits"))
