@@ -16,7 +16,7 @@ from helixframe.llm.jaccard_join import jaccard_components
 from helixframe.llm.packing import packed, word_tokens
 from helixframe.llm.quality_rules import quality_filter
 from helixframe.llm.secret_scan import redacted
-from helixframe.llm.shared import forget, mark, table, written
+from helixframe.llm.shared import forget, free_name, mark, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of least doc_id of each component of the 4/5 Jaccard graph."""
     found = jaccard_components(docs).select("doc_id", "component_id")
     kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
-    ids = kept.select(F.col("doc_id").alias("_kept"))
-    stay = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs, "_kept")
+    ids = kept.select(F.col("doc_id").alias(name))
+    stay = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
     if kept.filter("count > 1").isEmpty():
         return stay
     return stay.dropDuplicates(["doc_id"])
@@ -37,17 +38,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter(F.size("hits") == 0).drop("hits")
+    found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size(found.columns[-1]) == 0).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced and n_chars set anew where the text changed."""
-    before = docs.withColumn("_text", F.col("text")) if "n_chars" in docs.columns else docs
-    clean = redacted(before)
     if "n_chars" not in docs.columns:
-        return clean
+        return redacted(docs)
+    old = free_name(docs, "_text")
+    clean = redacted(docs.withColumn(old, F.col("text")))
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_text")), F.col("n_chars")).otherwise(size)).select(docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(old)), F.col("n_chars")).otherwise(size)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

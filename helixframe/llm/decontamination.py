@@ -11,7 +11,7 @@ each block is one more pass over the documents.
 
 Defined results: null or empty text has no hits; items under MIN_ITEM code points, empty or null are
 not searched; repeated items are hits of their own; repeated rows are judged alike; with an empty
-benchmark nothing is hit; the documents' own columns pass through, a column named `hits` is refused.
+benchmark nothing is hit; the documents' own columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import _LOWER, _WHITE, chunks
-from .shared import table
+from .shared import free_name, table
 
 ERROR_RATE = 0.05
 MIN_ITEM = 16
@@ -145,11 +145,12 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", block_chars: int
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with one more column, hits: the items found in each text, with distance and place."""
-    if "hits" in docs.columns:
-        raise ValueError("docs already has a column named hits")
+    """docs with one more, last column: the items found in each text, with distance and place.
+
+    It is named hits, or hits_1 and so on where docs has that name already.
+    """
     spark = docs.sparkSession
-    out = docs.withColumn("hits", F.array().cast(_HIT))
+    out = docs.withColumn(free_name(docs, "hits"), F.array().cast(_HIT))
     for ids, items in item_blocks(benchmark, block_chars=block_chars):
         shared = spark.sparkContext.broadcast(Items(ids, items, rate))
 

@@ -28,7 +28,7 @@ from re import _constants as C, _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_name, table, written
 
 MOST_ALTERNATIVES = 64
 MOST_TERMS = 4
@@ -155,28 +155,31 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def with_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """docs with one more column, secrets: all spans by start, then in the rules' order."""
-    if "secrets" in docs.columns:
-        raise ValueError("docs already has a column named secrets")
+    """docs with one more, last column: all spans by start, then in the rules' order.
+
+    It is named secrets, or secrets_1 and so on where docs has that name already.
+    """
+    name, maybe, kinds, own = (free_name(docs, n) for n in ("secrets", "_maybe", "_kinds", "_key"))
     queries = fewer({k: q for k, q in queries_of(rules).items() if q})
     wanted = sorted({t for qs in queries.values() for q in qs for t in q})
     body = F.coalesce(F.col(text), F.lit(""))
-    key = F.xxhash64(body).alias("_key")
-    index = written(docs.select(key, F.explode(postings(body, wanted)).alias("trigram")).distinct(), "postings")
+    key = F.xxhash64(body)
+    index = written(docs.select(key.alias("_key"), F.explode(postings(body, wanted)).alias("trigram")).distinct(), "postings")
     seen = {r.trigram: r["count"] for r in index.groupBy("trigram").count().collect()}  # at most one row for each query trigram
     anchors = sorted({min(q, key=lambda t: (seen.get(t, 0), t)) for qs in queries.values() for q in qs})
-    keyed = docs.withColumn("_maybe", reduce(Column.__or__, (F.contains(F.lower(body), F.lit(t)) for t in anchors), F.lit(False)))
-    some = keyed.filter("_maybe").select("*", key).join(candidates(index, queries), "_key", "left")
-    none = keyed.filter("not _maybe").withColumn("_kinds", F.lit(None).cast("array<string>"))
+    keyed = docs.withColumn(maybe, reduce(Column.__or__, (F.contains(F.lower(body), F.lit(t)) for t in anchors), F.lit(False)))
+    found = candidates(index, queries).withColumnsRenamed({"_key": own, "_kinds": kinds})
+    some = keyed.filter(F.col(maybe)).withColumn(own, key).join(found, own, "left")
+    none = keyed.filter(~F.col(maybe)).withColumn(kinds, F.lit(None).cast("array<string>"))
     rank = {rule.kind: i for i, rule in enumerate(rules)}
 
     def verified(frame: DataFrame, chosen: Sequence[Rule]) -> DataFrame:
         empty = F.array().cast(_SPANS)
-        parts = [spans(body, r) if r.kind not in queries else F.when(F.array_contains("_kinds", r.kind), spans(body, r)).otherwise(empty) for r in chosen]
+        parts = [spans(body, r) if r.kind not in queries else F.when(F.array_contains(kinds, r.kind), spans(body, r)).otherwise(empty) for r in chosen]
         place = F.create_map(*(F.lit(x) for kind in rank.items() for x in kind))
         every = F.transform(F.concat(empty, *parts), lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
         ordered = F.transform(F.array_sort(every), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        return frame.select(*docs.columns, ordered.alias("secrets"))
+        return frame.select(*docs.columns, ordered.alias(name))
 
     return verified(some, rules).unionByName(verified(none, [r for r in rules if r.kind not in queries]))
 
@@ -184,6 +187,7 @@ def with_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
 def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every secret in the text replaced by a mark; overlapping spans become one."""
     found = with_secrets(docs, rules, text)
+    secrets = found.columns[-1]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(state: Column, s: Column) -> Column:
@@ -191,8 +195,8 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
         new = F.when(s["start"] >= state["at"], F.concat(state["done"], before, F.lit(mark))).otherwise(state["done"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("done"))
 
-    clean = F.aggregate("secrets", start, step, lambda state: F.concat(state["done"], F.substring(F.col(text), state["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).drop("secrets")
+    clean = F.aggregate(secrets, start, step, lambda state: F.concat(state["done"], F.substring(F.col(text), state["at"] + 1, F.length(text))))
+    return found.withColumn(text, F.when(F.size(secrets) > 0, clean).otherwise(F.col(text))).drop(secrets)
 
 
 def listed(found: Column) -> Column:

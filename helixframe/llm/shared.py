@@ -139,6 +139,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the first of name_1, name_2, ... that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    names = (name if not i else f"{name}_{i}" for i in range(len(taken) + 1))
+    return next(n for n in names if n.lower() not in taken)
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns an operator reads, text last; null texts become empty."""
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
