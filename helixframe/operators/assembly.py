@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import center, union
+from .intervals import binned_overlaps, center, union
 
 
 def _ref(coords: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,7 +52,8 @@ def contigs_to_coverage(coords: DataFrame, contigs: DataFrame, chromosomes: Data
     parts = union(_ref(coords, ["asm", "ref", "qry"]), ["asm", "ref", "qry"]).join(ranked.select("asm", "qry", "rank"), ["asm", "qry"])
     cuts = parts.select("asm", "ref", F.explode(F.array("lo", "hi")).alias("x")).distinct()
     segments = cuts.withColumn("y", F.lead("x").over(Window.partitionBy("asm", "ref").orderBy("x"))).filter("y is not null")
-    first = segments.join(parts.select("asm", "ref", "lo", "hi", "rank"), ["asm", "ref"]).filter("lo <= x and y <= hi").groupBy("asm", "ref", "x", "y").agg(F.min("rank").alias("rank"))
+    pairs = binned_overlaps(segments.select("asm", "ref", F.col("x").alias("lo"), F.col("y").alias("hi")), parts.select("asm", "ref", "lo", "hi", "rank"), ["asm", "ref"], 2_000)
+    first = pairs.groupBy("asm", "ref", F.col("lo").alias("x"), F.col("hi").alias("y")).agg(F.min("b_rank").alias("rank"))
     genome = chromosomes.agg(F.sum("len").alias("genome"))
     gained = first.groupBy("asm", "rank").agg(F.sum(F.col("y") - F.col("x")).alias("gain"))
     running = Window.partitionBy("asm").orderBy("rank")

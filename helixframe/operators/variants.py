@@ -14,8 +14,8 @@ SPAN_TYPES = ("DEL", "DUP", "CONTR", "INV")
 
 def unpack_id(df: DataFrame, column: str = "id") -> DataFrame:
     """n, type, chrom, pos, len from ids n_TYPE_chrom_pos_len_L."""
-    part = lambda i: F.split_part(F.col(column), F.lit("_"), F.lit(i))
-    return df.withColumns({"n": part(1).cast("long"), "type": part(2), "chrom": part(3), "pos": part(4).cast("long"), "len": part(5).cast("long")})
+    parts = F.from_csv(F.col(column), "n long, type string, chrom string, pos long, len long, tail string", {"sep": "_"})
+    return df.withColumn("_p", parts).select(*df.columns, "_p.n", "_p.type", "_p.chrom", "_p.pos", "_p.len")
 
 
 def compose_id(n: Column, kind: Column, chrom: Column, pos: Column, size: Column) -> Column:
