@@ -37,7 +37,7 @@ from .shared import dense_sum, table, texts, written
 
 WIDTH = 5
 TILE = 256
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 HOT_LEVEL = 13
 PARTITION_POSTINGS = 2_000_000
 BITS_EACH = 2
@@ -85,7 +85,9 @@ def posted(docs: DataFrame, levels: np.ndarray, bits: int, buckets: int) -> Data
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(held)
-        rows = rows[np.unique(rows[["h", "cls"]], return_index=True)[1]]
+        rows = rows[np.lexsort((rows["cls"], rows["h"]))]
+        again = (rows["h"][1:] == rows["h"][:-1]) & (rows["cls"][1:] == rows["cls"][:-1])
+        rows = rows[np.concatenate([[True], ~again])]
         level = shared.value[(rows["h"] >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
         salts = np.left_shift(1, np.maximum(level - HOT_LEVEL, 0)).astype(np.uint64)
         bucket = (mixed(rows["h"] + mixed(rows["cls"]) % salts) % np.uint64(buckets)).astype(np.int64)
