@@ -1,10 +1,16 @@
 """Operator 10, LM scoring: cross-entropy difference between a target and a background model.
 
-Both models are bigram models smoothed by a Dirichlet prior of the unigrams, over one shared vocabulary:
-words hash to 2**16 vocabulary cells and pairs of cells to 2**21 pair cells, so a model's size is
-fixed whatever the corpus. The background counts every word of every text, the target those of the
-documents that the labels call good. Per token, loss = -ln p; a document's score is its mean target
-loss minus its mean background loss, so a lower score means more like the target.
+Both models are bigram models smoothed by a Dirichlet prior of the unigrams, over the vocabulary of the
+corpus: every distinct word and every distinct pair of words is counted for itself, under a 64-bit hash.
+The background counts every word of every text, the target those of the documents that the labels call
+good. Per token, loss = -ln p; a document's score is its mean target loss minus its mean background
+loss, so a lower score means more like the target.
+
+Nothing that grows with the corpus is broadcast or collected. Documents are packed into units of about
+UNIT_TOKENS words. A unit asks for its distinct words and pairs, once each and dealt by ranges of their
+hashes; whoever holds a range adds up what all units say and answers each unit in the order of its
+keys; the answers meet the unit again, which scores its documents. A frequent word or pair costs one
+row's share for each unit, however often it occurs.
 
 Defined results: null or empty text has n_tokens 0 and null losses and score; without any target
 document the target model is uniform; repeated rows score alike, each counted; labels without a
@@ -14,83 +20,158 @@ document are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Chunk, chunks, mixed
-from .shared import dense_sum, table, texts
+from .kernel import chunks, mixed
+from .shared import table, texts, written
 
-WORD_CELLS = 1 << 16
-PAIR_CELLS = 1 << 21
+UNIT_TOKENS = 1 << 21
+RANGE_TOKENS = 1 << 20
+WORDS_SHARE = 8
 PRIOR = 100.0
 START = np.uint64(0)
+_ASKED = "unit long, range int, payload binary, counts binary"
+_ANSWER = "unit long, range int, counts binary, n_words long"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane, compressed."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
+
+
+class Unit:
+    """Some documents' words as places in their sorted vocabulary (place 0 is START), and their distinct pairs."""
+
+    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> None:
+        self.vocabulary, self.word = vocabulary, word.astype(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(lengths)])
+        self.before = np.zeros_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[self.bounds[:-1][lengths > 0]] = 0
+        size = len(vocabulary)
+        pairs, self.pair = np.unique(self.before * size + self.word, return_inverse=True)
+        self.pair_before, self.pair_word = pairs // size, pairs % size
+        names = mixed(mixed(vocabulary[self.pair_before] + np.uint64(1)) * np.uint64(3) + vocabulary[self.pair_word])
+        self.order = np.argsort(names)
+        self.pair_keys = names[self.order]
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its occurrences and those as a context, of each pair key its own; target's first, then all."""
+        mine = np.repeat(target, np.diff(self.bounds))
+        size = len(self.vocabulary)
+        words = [np.bincount(x, minlength=size) for x in (self.word[mine], self.word, self.before[mine], self.before)]
+        pairs = [np.bincount(x, minlength=len(self.order))[self.order] for x in (self.pair[mine], self.pair)]
+        return np.stack(words), np.stack(pairs)
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], n_words: int) -> np.ndarray:
+        """Summed loss of each document by both models, from the counts of the whole corpus."""
+        out = np.zeros((2, len(self.bounds) - 1))
+        for model in range(2):
+            mine = np.empty(len(self.order))
+            mine[self.order] = pairs[model]
+            single = (words[model][self.pair_word] + 1.0) / (totals[model] + n_words)
+            loss = -np.log((mine + PRIOR * single) / (words[2 + model][self.pair_before] + PRIOR))
+            sums = np.concatenate([[0.0], np.cumsum(loss[self.pair])])
+            out[model] = sums[self.bounds[1:]] - sums[self.bounds[:-1]]
+        return out
+
+
+def units(docs: DataFrame, key: str) -> DataFrame:
+    """The units of (key, is_target, text) rows; a text is never cut."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        made = 0
+
+        def unit() -> pa.RecordBatch:
+            names = pa.concat_arrays([h[0] for h in held])
+            target, lengths, hashes = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            vocabulary, word = np.unique(np.append(hashes, START), return_inverse=True)
+            arrays = [
+                pa.array([first + made]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([len(hashes)]), pa.array([int(lengths[target].sum())]),
+                *(pa.array([x], pa.binary()) for x in (pack(target), pack(lengths), pack_sorted(vocabulary), pack(word[:-1].astype(np.uint32)))),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names=["unit", "names", "n_tokens", "n_target", "target", "lengths", "vocabulary", "words"])
 
-
-def cells(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The vocabulary cell of each word, and the documents' bounds in them."""
-    low = chunk.lower
-    return (low.word_hashes % np.uint64(WORD_CELLS - 1) + np.uint64(1)).astype(np.uint16), low.words[2]
-
-
-def events(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the words, of the words before them (START for a document's first), and of the pairs."""
-    word = word.astype(np.uint64)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[bounds[:-1][np.diff(bounds) > 0]] = START
-    pair = mixed(before * np.uint64(WORD_CELLS) + word) % np.uint64(PAIR_CELLS)
-    return word.astype(np.int64), before.astype(np.int64), pair.astype(np.int64)
-
-
-def as_cells(docs: DataFrame, key: str) -> DataFrame:
-    """Key and the text's vocabulary cells, two bytes for each word."""
-    source = texts(docs, key)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                word, bounds = cells(chunk)
-                raw = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(word.astype("<u2"))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), raw], names=[key, "cells"])
+            wanted = np.array(batch.column(1)).astype(bool)
+            for chunk in chunks(batch.column(2)):
+                low = chunk.lower
+                rows = slice(chunk.first, chunk.first + chunk.n)
+                held.append((batch.column(0)[rows], wanted[rows], np.diff(low.words[2]).astype(np.int64), low.word_hashes))
+                if sum(len(h[3]) for h in held) >= UNIT_TOKENS:
+                    yield unit()
+                    held, made = [], made + 1
+        if held:
+            yield unit()
 
-    return source.mapInArrow(encode, f"`{key}` {source.schema[0].dataType.simpleString()}, cells binary")
+    kind = docs.schema[0].dataType.simpleString()
+    return docs.mapInArrow(build, f"unit long, names array<{kind}>, n_tokens long, n_target long, target binary, lengths binary, vocabulary binary, words binary")
 
 
-@dataclass
-class Bigram:
-    """Counts of words, of contexts and of pairs, as 32-bit floats."""
+def opened(row: dict) -> Unit:
+    return Unit(unpack_sorted(row["vocabulary"]), unpack(row["words"], np.uint32), unpack(row["lengths"], np.int64))
 
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """-ln p of each word after the one before it, a Dirichlet prior of the unigram model added."""
-        single = (self.words[word] + 1.0) / (float(self.words.sum()) + WORD_CELLS)
-        return -np.log((self.pairs[pair] + PRIOR * single) / (self.contexts[before] + PRIOR))
+def asked(found: DataFrame, ranges: int) -> DataFrame:
+    """Keys and counts of every unit, dealt by ranges of the keys: pairs from 0 up, words from -1 down."""
 
-
-def count(docs: DataFrame) -> tuple[Bigram, Bigram]:
-    """Target and background counts from (is_target, cells) rows, in one pass."""
-    one = 2 * WORD_CELLS + PAIR_CELLS
-
-    def update(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        wanted = np.array(batch.column(0)).astype(bool)
-        for chunk in chunks(batch.column(1), 2 << 20):
-            bounds = chunk.offsets // 2
-            word, before, pair = events(chunk.data.view("<u2"), bounds)
-            every = np.concatenate([word, WORD_CELLS + before, 2 * WORD_CELLS + pair])
-            total[one:] += np.bincount(every, minlength=one)
-            mine = np.repeat(wanted[chunk.first : chunk.first + chunk.n], np.diff(bounds))
-            if mine.any():
-                total[:one] += np.bincount(every[np.tile(mine, 3)], minlength=one)
-
-    sums = dense_sum(docs, 2 * one, update).astype(np.float32)
-    return tuple(Bigram(*np.split(part, [WORD_CELLS, 2 * WORD_CELLS])) for part in (sums[:one], sums[one:]))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                unit = opened(row)
+                words, pairs = unit.counts(unpack(row["target"], bool))
+                out: list[tuple[int, bytes, bytes]] = []
+                for keys, counts, parts, sign in ((unit.pair_keys, pairs, ranges, 1), (unit.vocabulary, words, -(-ranges // WORDS_SHARE), -1)):
+                    cuts = np.searchsorted(keys, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(keys)]
+                    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if a < b:
+                            out.append((i if sign > 0 else -1 - i, pack_sorted(keys[a:b]), pack(counts[:, a:b].ravel())))
+                place, payload, counts = zip(*out)
+                arrays = [pa.array([row["unit"]] * len(out)), pa.array(place, pa.int32()), pa.array(payload, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["unit", "range", "payload", "counts"])
+
+    return found.select("unit", "target", "lengths", "vocabulary", "words").mapInArrow(ask, _ASKED)
+
+
+def answer(asking: pa.Table) -> pa.Table:
+    """The sums over all units of one range's counts, for each unit in the order of its keys; n_words stands once."""
+    place = asking.column("range")[0].as_py()
+    keys = [unpack_sorted(x.as_py()) for x in asking.column("payload")]
+    sizes = [len(k) for k in keys]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([unpack(x.as_py(), np.int64).reshape(-1, n) for x, n in zip(asking.column("counts"), sizes)], axis=1)
+    sums = [np.bincount(at, row, minlength=len(distinct)).astype(np.int64) for row in counts]
+    whole = np.stack([s[at] for s in sums])
+    parts = np.split(whole, np.cumsum(sizes)[:-1], axis=1)
+    n_words = int((sums[1] > 0).sum()) if place < 0 else 0
+    return pa.table({
+        "unit": asking.column("unit"), "range": asking.column("range"), "counts": pa.array([pack(p.ravel()) for p in parts], pa.binary()),
+        "n_words": pa.array([n_words, *[0] * (len(sizes) - 1)], pa.int64()),
+    })
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -98,27 +179,35 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
     spark = docs.sparkSession
     good = labels.filter(F.col(label) == 1).select(F.col(key).alias("_good")).distinct()
     source = texts(docs, key)
-    # the labels grow with the documents, so the join is never a broadcast; it moves cells, not texts
-    marked = as_cells(docs, key).join(good.hint("merge"), F.col(key) == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("is_target"), "cells")
-    models = spark.sparkContext.broadcast(count(marked))
-    schema = f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
-            for chunk in chunks(batch.column(1)):
-                word, bounds = cells(chunk)
-                word, before, pair = events(word, bounds)
-                counts.append(np.diff(bounds))
-                loss = [np.concatenate([[0.0], np.cumsum(m.losses(word, before, pair), dtype=np.float64)]) for m in models.value]
-                sums.append(np.stack([x[bounds[1:]] - x[bounds[:-1]] for x in loss]))
-            n, total = np.concatenate(counts), np.concatenate(sums, axis=1)
+    # the labels grow with the documents, so the join is never a broadcast
+    marked = source.join(good.hint("merge"), F.col(key) == F.col("_good"), "left").select(key, F.col("_good").isNotNull().alias("is_target"), "text")
+    found = written(units(marked, key), "units")
+    total, target_total = (x or 0 for x in found.agg(F.sum("n_tokens"), F.sum("n_target")).first())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
+    answers = written(asked(found, ranges).groupBy("range").applyInArrow(answer, _ANSWER), "answers")
+    n_words = answers.agg(F.sum("n_words")).first()[0] or 0
+    kind = source.schema[0].dataType.simpleString()
+
+    def score(asking: pa.Table, told: pa.Table) -> pa.Table:
+        outs = []
+        by_place = dict(zip(told.column("range").to_pylist(), told.column("counts").to_pylist()))
+        for at in range(asking.num_rows):
+            row = asking.slice(at, 1)
+            unit = opened(row.drop_columns(["names"]).to_pylist()[0])
+            words, pairs = (
+                np.concatenate([np.zeros((width, 0), np.int64), *(unpack(by_place[i], np.int64).reshape(width, -1) for i in places)], axis=1)
+                for width, places in ((4, sorted((i for i in by_place if i < 0), reverse=True)), (2, sorted(i for i in by_place if i >= 0)))
+            )
+            n = np.diff(unit.bounds)
             with np.errstate(invalid="ignore", divide="ignore"):
-                mean = total / n
-            arrays = [batch.column(0), pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_tokens", "target_loss", "background_loss"])
-
-    return source.mapInArrow(score, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+                mean = unit.losses(words, pairs, (target_total, total), n_words) / n
+            names = row.column("names").combine_chunks().flatten()
+            outs.append(pa.table([names, pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)], names=[key, "n_tokens", "target_loss", "background_loss"]))
+        return pa.concat_tables(outs)
+
+    schema = f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double"
+    scored = found.select("unit", "names", "lengths", "vocabulary", "words").groupBy("unit").cogroup(answers.select("unit", "range", "counts").groupBy("unit")).applyInArrow(score, schema)
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

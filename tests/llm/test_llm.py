@@ -457,6 +457,48 @@ def test_cross_entropy_difference(spark, data, empty):
     assert lm_scoring.cross_entropy_difference(data[1], labels).count() == len(data[0])
 
 
+def brute_losses(found, good):
+    """Mean target and background loss by plain dictionaries over the words themselves."""
+    models = []
+    vocabulary = set()
+    for wanted in (lambda i: i in good, lambda i: True):
+        words, contexts, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+        for i, text in found:
+            seen = WORD.findall((text or "").translate(LOWER))
+            vocabulary.update(seen)
+            if wanted(i):
+                words.update(seen)
+                contexts.update([None, *seen][: len(seen)])
+                pairs.update(zip([None, *seen], seen))
+        models.append((words, contexts, pairs, sum(words.values())))
+    out = []
+    for i, text in found:
+        seen = WORD.findall((text or "").translate(LOWER))
+        row = [i, len(seen)]
+        for words, contexts, pairs, total in models:
+            p = [(pairs[a, b] + 100.0 * (words[b] + 1) / (total + len(vocabulary))) / (contexts[a] + 100.0) for a, b in zip([None, *seen], seen)]
+            row.append(-float(np.log(p).mean()) if p else None)
+        out.append(tuple(row))
+    return out
+
+
+def test_every_word_and_pair_is_counted_for_itself(spark, data, monkeypatch):
+    """More distinct words than 2**16, and units and ranges far smaller than the corpus."""
+    draw = random.Random(9)
+    wide = [(i, " ".join(f"w{draw.randrange(200_000)}" for _ in range(2_000))) for i in range(60)]
+    for limit, found in ((1 << 12, wide), (200, [(r[0], r[1]) for r in data[0]])):
+        monkeypatch.setattr(lm_scoring, "UNIT_TOKENS", limit)
+        monkeypatch.setattr(lm_scoring, "RANGE_TOKENS", limit)
+        docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame([(i, int(i < 10)) for i in range(70)], "doc_id long, quality int")
+        order = lambda r: tuple((x is not None, x) for x in r)
+        got = sorted((tuple(r)[:4] for r in lm_scoring.cross_entropy_difference(docs, labels).collect()), key=order)
+        want = sorted(brute_losses(found, set(range(10))), key=order)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        for g, w in zip(got, want):
+            assert g[2:] == (pytest.approx(w[2], rel=1e-9), pytest.approx(w[3], rel=1e-9)) if w[1] else g[2:] == (None, None)
+
+
 # --- the pipeline
 
 
