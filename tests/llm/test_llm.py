@@ -403,6 +403,25 @@ def test_quality_counts(data, empty):
     assert quality_rules.quality_filter(empty).count() == 0
 
 
+def test_perplexity_finds_junk_in_every_language(spark):
+    """Junk in a tenth of each language's texts, which the model of all texts has learned, goes; clean texts stay."""
+    draw = random.Random(4)
+    found, junk = [], set()
+    for number, (lang, letters) in enumerate([("en", "etaoinshrdlu"), ("es", "eaosnrlóñíciu"), ("de", "enisratdhulcäö")]):
+        words = ["".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(3_000)]
+        for i in range(300):
+            text = [draw.choice(words) for _ in range(draw.randint(80, 600))]
+            if i % 10 == 0:
+                junk.add(1000 * number + i)
+                text = [w + draw.choice(["***", "$$$", "%%%", "&&&", "###"]) for w in text] if i % 20 else [w + " |" for w in text]
+            found.append((1000 * number + i, " ".join(text), lang))
+    docs = spark.createDataFrame(found, "doc_id long, text string, lang string").repartition(4)
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs, "doc_id").filter("kept").collect()}
+    assert not kept & junk
+    assert len(kept) >= 0.99 * (len(found) - len(junk))
+    assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == kept
+
+
 def test_kneser_ney_sums_to_one():
     draw = np.random.default_rng(1)
     counts = np.zeros(quality_rules.CELLS, np.int64)
