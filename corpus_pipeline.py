@@ -1,9 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-Quality rules reject documents; of each group of near duplicates the least doc_id stays; documents
-that hold a benchmark item go; secrets in texts are replaced by a mark; what is left is packed.
-Null doc_ids are kept apart: a null-id document stays if its group has no other id. Empty tables
-give empty results; further columns of documents pass through all stages but the last.
+Quality rules reject documents; of each group of near duplicates one row of the least doc_id stays;
+documents that hold a benchmark item go; secrets in texts are replaced by a mark; what is left is
+packed. A null doc_id comes after all others: a null-id document stays if its group has no other id.
+Unlike texts that share a doc_id, null or not, are groups of their own. Empty tables give empty results; further columns of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.decontamination import benchmark_hits
-from helixframe.llm.jaccard_join import jaccard_components
+from helixframe.llm.jaccard_join import jaccard_classes, with_class
 from helixframe.llm.packing import packed, word_tokens
 from helixframe.llm.quality_rules import quality_filter
 from helixframe.llm.secret_scan import redacted
@@ -25,15 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of the 4/5 Jaccard graph."""
-    found = jaccard_components(docs).select("doc_id", "component_id")
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count(), "kept")
-    name = free_name(docs, "_kept")
-    ids = kept.select(F.col("doc_id").alias(name))
-    stay = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
-    if kept.filter("count > 1").isEmpty():
-        return stay
-    return stay.dropDuplicates(["doc_id"])
+    """One row of each component of the 4/5 Jaccard graph, of its least doc_id, and each text without shingles."""
+    named, of_class = jaccard_classes(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("first")
+    chosen = named.filter("n_shingles > 0").join(of_class.select("cls", "component"), "cls").groupBy("component").agg(first)
+    kept = written(chosen.select("first.doc_id", "first.cls"), "kept")
+    name, cls = free_name(docs, "_kept"), free_name(docs, "_class")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():  # then the id alone names a row
+        ids = kept.select("doc_id").unionByName(named.filter("n_shingles = 0").select("doc_id")).withColumnRenamed("doc_id", name)
+        return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+    classed = with_class(docs, cls)
+    ids = kept.select(F.col("doc_id").alias(name), F.col("cls").alias(f"{name}_class"))
+    same = (F.col(cls) == F.col(f"{name}_class")) & F.col("doc_id").eqNullSafe(F.col(name))
+    stay = classed.join(ids.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", cls])
+    return stay.unionByName(classed.filter(F.col(cls).isNull())).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

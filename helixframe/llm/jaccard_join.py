@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import connected_components
 from .kernel import Chunk, chunks, mixed, per_document_sets
@@ -68,6 +69,20 @@ def named_sets(docs: DataFrame, key: str) -> DataFrame:
     return source.mapInArrow(name, f"`{key}` {source.schema[0].dataType.simpleString()}, n_shingles long, cls long")
 
 
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """docs with one more, last column of that name: the text's class, null without shingles."""
+    where = docs.columns.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(where).fill_null("")):
+                values, bounds = sets_of(chunk)
+                found = pa.array(classes_of(values, bounds), mask=np.diff(bounds) == 0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(chunk.first, chunk.n).columns, found], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def frequency_levels(docs: DataFrame, bits: int) -> np.ndarray:
     """Binary logarithm of how many documents hold a shingle of each of 2**bits cells."""
 
@@ -383,6 +398,13 @@ def with_components(members: DataFrame, links: list[DataFrame]) -> tuple[DataFra
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, one row per row of docs."""
+    named, of_class = jaccard_classes(docs, key)
+    own = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("_component_id"))
+    return named.join(of_class, "cls").select(key, "n_shingles", own.alias("component_id"))
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """key, n_shingles and cls of every row; cls, component (a class of it) and _component_id of every class."""
     spark = docs.sparkSession
     named = written(named_sets(docs, key), "named")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
@@ -413,9 +435,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     _, found = with_components(members, links)
     least = named.groupBy("cls").agg(F.min(key).alias("_least")).join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     by_component = least.groupBy("component").agg(F.min("_least").alias("_component_id"))
-    of_class = least.join(by_component, "component").select("cls", "_component_id")
-    own = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("_component_id"))
-    return named.join(of_class, "cls").select(key, "n_shingles", own.alias("component_id"))
+    return named, least.join(by_component, "component").select("cls", "component", "_component_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -521,6 +521,30 @@ def test_every_word_and_pair_is_counted_for_itself(spark, data, monkeypatch):
 # --- the pipeline
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark, empty):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    say = lambda: [f"w{draw.randrange(9_999)}" for _ in range(80)]
+    near = lambda words: [*words[:40], "changed", *words[41:]]
+    a, b, c, d, e, f, g, h = (say() for _ in range(8))
+    found = [
+        (None, a), (None, b), (None, near(b)), (None, c),  # unlike null-id texts, and one near copy among them
+        (5, d), (None, near(d)),  # a null-id near copy of an id'd document
+        (7, e), (7, f), (7, e),  # unlike texts of one id, one of them twice
+        (1, g), (7, near(g)),  # an id kept elsewhere
+        (8, h), (9, near(h)),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w), 1) for i, w in found], "doc_id long, text string, cls int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = collections.Counter((r.doc_id, r.text.split()[0]) for r in got.collect())
+    assert kept == {(None, a[0]): 1, (None, b[0]): 1, (None, c[0]): 1, (5, d[0]): 1, (7, e[0]): 1, (7, f[0]): 1, (1, g[0]): 1, (8, h[0]): 1}
+    lone = docs.filter("doc_id in (8, 9)").unionByName(spark.createDataFrame([(3, "", 1), (None, None, 1)], docs.schema))
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_duplicates(spark, lone, "").collect()) == [0, 3, 8]
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
 def test_pipeline(spark, data, empty, tmp_path):
     import corpus_pipeline
 
