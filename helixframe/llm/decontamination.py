@@ -3,8 +3,9 @@
 A text within k edits of an item of m code points holds at least one of k + 1 pieces of the item
 unchanged. The pieces of all items form one automaton; a text is walked once, each piece hit gives a
 diagonal, and the merged windows around an item's diagonals are verified with Myers' bit-parallel
-edit distance (whole item against any substring of the window). Before comparing, A-Z are
-lower-cased and each ASCII blank becomes a space, so that places stay those of the text.
+edit distance (whole item against any substring of the window). Before comparing, the case of all
+letters is folded on both sides and each ASCII blank becomes a space. Folding may lengthen a text (a
+sharp s becomes ss); lengths and budgets are those of folded items, places those of the text as it is.
 
 The items are read in blocks of at most BLOCK_CHARS characters, so what is broadcast is bounded;
 each block is one more pass over the documents.
@@ -34,8 +35,21 @@ _HIT = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 _PLAIN = np.where(_WHITE, np.uint8(0x20), _LOWER)
 
 
+def folded(text: str) -> str:
+    """Case folded code point by code point; a dotless i, whose capital is I, becomes i."""
+    return text.lower() if text.isascii() else text.casefold().replace("\u0131", "i")
+
+
 def plain(text: str) -> str:
-    return _PLAIN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode()
+    return folded(_PLAIN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode())
+
+
+def unfolded(text: str, hits: list[dict]) -> list[dict]:
+    """Hits whose places in the folded text become those of the text itself."""
+    lengths = [len(c.casefold()) for c in text]
+    at = np.repeat(np.arange(len(text)), lengths).tolist()
+    place = lambda h: {"start": at[h["start"]], "end": at[h["end"] - 1] + 1} if h["start"] < h["end"] else {}
+    return [h | place(h) for h in hits]
 
 
 def budget(length: int, rate: float = ERROR_RATE) -> int:
@@ -164,7 +178,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
                 for chunk in chunks(column.fill_null("")):
                     data = _PLAIN[chunk.data].tobytes()
                     for i, (a, b) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
-                        if b > a and (hits := tool.hits(data[a:b].decode())):
+                        raw = data[a:b].decode()
+                        searched = folded(raw)
+                        if b > a and (hits := tool.hits(searched)):
+                            if len(searched) != len(raw):
+                                hits = unfolded(raw, hits)
                             found[chunk.first + i] = [*(found[chunk.first + i] or []), *hits]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.schema.field(batch.num_columns - 1).type)], schema=batch.schema)
 

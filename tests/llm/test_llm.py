@@ -333,6 +333,18 @@ def test_decontamination(spark, data, empty):
     assert decontamination.benchmark_hits(docs, benchmark.limit(0)).filter(F.size("hits") > 0).count() == 0
 
 
+def test_case_costs_no_edits(spark):
+    """Shouted copies of items rich in accents and sharp s are found at distance 0, at their own places."""
+    draw = random.Random(6)
+    say = lambda n: " ".join("".join(draw.choices("aeßéñöçıΣςσ", k=draw.randint(2, 8))) for _ in range(n))
+    items = [say(30) for _ in range(8)]
+    found = [(i, say(20) + " | ", f(item), " | " + say(20)) for i, (item, f) in enumerate(zip(items, [str.upper, str.lower, str.title, str] * 2))]
+    docs = spark.createDataFrame([(i, "".join(parts)) for i, *parts in found], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, h.item_id): (h.distance, h.start, h.end) for r in decontamination.benchmark_hits(docs, benchmark).collect() for h in r.hits}
+    assert got == {(i, i): (0, len(before), len(before) + len(item)) for i, before, item, _ in found}
+
+
 # --- 7, substrings
 
 
