@@ -6,6 +6,14 @@ The background counts every word of every text, the target those of the document
 good. Per token, loss = -ln p; a document's score is its mean target loss minus its mean background
 loss, so a lower score means more like the target.
 
+No document is scored by counts of its own: they are taken out of both models first, so a labelled
+document scores like an unlabelled one of its kind. Its copies are other documents and stay in.
+
+The models are matched in size: the background's log probabilities are expected values over all ways to
+thin the corpus' tokens to the target's number, each token kept with the same probability (`expected_log`).
+All documents are counted and none is drawn; a background as large as the corpus would know more words
+and pairs than the target for its size alone, and every document would score above 0.
+
 Nothing that grows with the corpus is broadcast or collected. Documents are packed into units of about
 UNIT_TOKENS words. A unit asks for its distinct words and pairs, once each and dealt by ranges of their
 hashes; whoever holds a range adds up what all units say and answers each unit in the order of its
@@ -13,7 +21,7 @@ keys; the answers meet the unit again, which scores its documents. A frequent wo
 row's share for each unit, however often it occurs.
 
 Defined results: null or empty text has n_tokens 0 and null losses and score; without any target
-document the target model is uniform; repeated rows score alike, each counted; labels without a
+document both models are uniform and every score is 0; repeated rows score alike, each counted; labels without a
 document are ignored; an empty table gives an empty result.
 """
 
@@ -34,6 +42,7 @@ UNIT_TOKENS = 1 << 21
 RANGE_TOKENS = 1 << 20
 WORDS_SHARE = 8
 PRIOR = 100.0
+DIRECT = 64.0
 START = np.uint64(0)
 _ASKED = "unit long, range int, payload binary, counts binary"
 _ANSWER = "unit long, range int, counts binary, n_words long"
@@ -82,17 +91,63 @@ class Unit:
         pairs = [np.bincount(x, minlength=len(self.order))[self.order] for x in (self.pair[mine], self.pair)]
         return np.stack(words), np.stack(pairs)
 
-    def losses(self, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], n_words: int) -> np.ndarray:
-        """Summed loss of each document by both models, from the counts of the whole corpus."""
-        out = np.zeros((2, len(self.bounds) - 1))
-        for model in range(2):
-            mine = np.empty(len(self.order))
-            mine[self.order] = pairs[model]
-            single = (words[model][self.pair_word] + 1.0) / (totals[model] + n_words)
-            loss = -np.log((mine + PRIOR * single) / (words[2 + model][self.pair_before] + PRIOR))
-            sums = np.concatenate([[0.0], np.cumsum(loss[self.pair])])
-            out[model] = sums[self.bounds[1:]] - sums[self.bounds[:-1]]
+    def losses(self, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], n_words: int, target: np.ndarray) -> np.ndarray:
+        """Summed loss of each document by both models, from the counts of the whole corpus without the document's own."""
+        n_docs, size = len(self.bounds) - 1, len(self.vocabulary)
+        lengths = np.diff(self.bounds)
+        owner = np.repeat(np.arange(n_docs), lengths)
+        entries, mine = np.unique(owner * len(self.order) + self.pair, return_counts=True)
+        doc, pair = entries // len(self.order), entries % len(self.order)
+        word, before = self.pair_word[pair], self.pair_before[pair]
+        own = [(mine, lengths[doc], *(_sums_by(doc * size + x, mine) for x in (word, before)))]
+        own.insert(0, tuple(x * target[doc] for x in own[0]))  # a document outside the target has nothing there
+        out = np.zeros((2, n_docs))
+        for model, (of_pair, of_all, of_word, of_context) in enumerate(own):
+            rate = 1.0 if not model else totals[0] / max(totals[1], 1)
+            count = np.empty(len(self.order), np.int64)
+            count[self.order] = pairs[model]
+            single = (rate * (words[model][word] - of_word) + 1.0) / (rate * (totals[model] - of_all) + n_words)
+            joint = expected_log(count[pair] - of_pair, rate, PRIOR * single)
+            context = expected_log(words[2 + model][before] - of_context, rate, np.full(len(doc), PRIOR))
+            out[model] = np.bincount(doc, mine * (context - joint), minlength=n_docs)
+        return out
+
+
+def _sums_by(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row the sum of the counts of all rows with its key."""
+    _, at = np.unique(key, return_inverse=True)
+    return np.bincount(at, counts)[at].astype(np.int64)
+
+
+def expected_log(count: np.ndarray, rate: float, extra: np.ndarray) -> np.ndarray:
+    """Mean of ln(X + extra), X binomial: `count` tokens each kept with probability `rate`.
+
+    Summed term by term where the mean of X + extra is under DIRECT; beyond that by moments up to the
+    fourth, which leaves an error under 1e-5.
+    """
+    if rate >= 1.0:
+        return np.log(count + extra)
+    mean = rate * count
+    middle = mean + extra
+    spread = mean * (1 - rate)
+    third, fourth = spread * (1 - 2 * rate), spread * (1 + 3 * (count - 2) * rate * (1 - rate))
+    out = np.log(middle) - spread / (2 * middle**2) + third / (3 * middle**3) - fourth / (4 * middle**4)
+    live = np.flatnonzero((middle < DIRECT) & (count > 0) & (rate > 0))
+    if not len(live):
         return out
+    n, a = count[live].astype(np.float64), extra[live]
+    log_p, odds = n * np.log1p(-rate), np.log(rate) - np.log1p(-rate)
+    total, k = np.exp(log_p) * np.log(a), 0
+    left = np.arange(len(live))
+    while True:
+        left = left[(n[left] > k) & (k < rate * n[left] + 10 * np.sqrt(rate * n[left]) + 20)]
+        if not len(left):
+            break
+        log_p[left] += np.log((n[left] - k) / (k + 1)) + odds
+        k += 1
+        total[left] += np.exp(log_p[left]) * np.log(k + a[left])
+    out[live] = total
+    return out
 
 
 def units(docs: DataFrame, key: str) -> DataFrame:
@@ -193,20 +248,21 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, key: str = "doc
         by_place = dict(zip(told.column("range").to_pylist(), told.column("counts").to_pylist()))
         for at in range(asking.num_rows):
             row = asking.slice(at, 1)
-            unit = opened(row.drop_columns(["names"]).to_pylist()[0])
+            raw = row.drop_columns(["names"]).to_pylist()[0]
+            unit, unit_target = opened(raw), unpack(raw["target"], bool)
             words, pairs = (
                 np.concatenate([np.zeros((width, 0), np.int64), *(unpack(by_place[i], np.int64).reshape(width, -1) for i in places)], axis=1)
                 for width, places in ((4, sorted((i for i in by_place if i < 0), reverse=True)), (2, sorted(i for i in by_place if i >= 0)))
             )
             n = np.diff(unit.bounds)
             with np.errstate(invalid="ignore", divide="ignore"):
-                mean = unit.losses(words, pairs, (target_total, total), n_words) / n
+                mean = unit.losses(words, pairs, (target_total, total), n_words, unit_target) / n
             names = row.column("names").combine_chunks().flatten()
             outs.append(pa.table([names, pa.array(n), *(pa.array(m, mask=n == 0) for m in mean)], names=[key, "n_tokens", "target_loss", "background_loss"]))
         return pa.concat_tables(outs)
 
     schema = f"`{key}` {kind}, n_tokens long, target_loss double, background_loss double"
-    scored = found.select("unit", "names", "lengths", "vocabulary", "words").groupBy("unit").cogroup(answers.select("unit", "range", "counts").groupBy("unit")).applyInArrow(score, schema)
+    scored = found.select("unit", "names", "target", "lengths", "vocabulary", "words").groupBy("unit").cogroup(answers.select("unit", "range", "counts").groupBy("unit")).applyInArrow(score, schema)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
