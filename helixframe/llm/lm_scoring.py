@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import chunks, mixed
 from .shared import table, texts, written
+from .vocabulary import pack, pack_sorted, unpack, unpack_sorted
 
 UNIT_TOKENS = 1 << 21
 RANGE_TOKENS = 1 << 20
@@ -48,25 +48,6 @@ _ASKED = "unit long, range int, payload binary, counts binary"
 _ANSWER = "unit long, range int, counts binary, n_words long"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Values byte plane by byte plane, compressed."""
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
-
-
 class Unit:
     """Some documents' words as places in their sorted vocabulary (place 0 is START), and their distinct pairs."""
 

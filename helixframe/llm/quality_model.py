@@ -1,16 +1,19 @@
 """Operator 9, quality classifier: random-indexing word vectors and a two-layer numpy network.
 
-Tokens are runs of letters, digits and non-ASCII characters, or runs of other marks. A token hashes
-to one of BUCKETS buckets; each bucket has a fixed ternary index vector. Random indexing adds to a
-bucket's context vector the index vectors of its left and right neighbours, over all texts
-(dense_sum, integers, so the sums don't depend on task order). A document is the mean of its tokens'
-scaled context vectors. A hidden layer of tanh units and a sigmoid are fitted on the driver by full
-batch Adam on a bounded sample of labelled rows (MAX_FIT_ROWS, those with the smallest hash), and a
-temperature is fitted on a part of that sample that the network hasn't seen.
-
-Defined results: null or empty text is the zero vector and still gets a score; a label whose
-document is missing is ignored; without any usable label, or with one class only, the score is that
-class' share (0.5 without labels); repeated rows score alike; an empty table gives an empty result.
+Tokens are runs of letters, digits and non-ASCII characters, or runs of other marks. Spark counts them
+over all texts; each of the WORDS most frequent has a vector of its own, and the others, which are too
+rare for one, share TAIL vectors by their hashes. Every vector has a fixed ternary index vector. Random
+indexing adds to a word's context vector the index vectors of its neighbours up to WINDOW places away,
+over all texts (dense_sum, integers, so the sums don't depend on task order). A document is the mean of
+its tokens' scaled context vectors. A hidden layer of tanh units and a sigmoid are fitted on the driver
+by full batch Adam on a bounded sample of labelled rows (MAX_FIT_ROWS, those with the smallest hash, then
+the smallest key), and a temperature is fitted on a part of that sample that the network hasn't seen.
+
+Defined results: null or empty text is the zero vector and still gets a score; a text of any length is
+pooled whole; a label whose document is missing is ignored, of several labels of one document the
+greatest counts; without any usable label, or with one class only, the score is that class' share (0.5
+without labels); repeated rows score alike; a score of exactly 0.5 predicts 1; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .kernel import Chunk, chunks, mixed, span_hash
 from .shared import dense_sum, table, texts, written
+from .vocabulary import places, vocabulary
 
-BUCKETS = 1 << 13
+WORDS = 1 << 14
+TAIL = 1 << 11
+WINDOW = 2
 DIMS = 32
 NONZERO = 4
 MAX_FIT_ROWS = 20_000
@@ -40,18 +46,18 @@ for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _KIND[_low:_high] = 1
 
 
-def index_vectors(buckets: int = BUCKETS, dims: int = DIMS) -> np.ndarray:
-    """A sparse ternary vector for each bucket, from hashes alone."""
-    out = np.zeros((buckets, dims), np.int8)
-    rows = np.arange(buckets, dtype=np.uint64)
+def index_vectors(size: int, dims: int = DIMS) -> np.ndarray:
+    """A sparse ternary vector for each place, from hashes alone."""
+    out = np.zeros((size, dims), np.int8)
+    rows = np.arange(size, dtype=np.uint64)
     for k in range(NONZERO):
         draw = mixed(rows * np.uint64(8) + np.uint64(k + 1))
-        out[np.arange(buckets), (draw % np.uint64(dims)).astype(int)] = np.where(draw >> np.uint64(63), 1, -1)
+        out[np.arange(size), (draw % np.uint64(dims)).astype(int)] = np.where(draw >> np.uint64(63), 1, -1)
     return out
 
 
 def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the tokens in order, and the documents' bounds in them."""
+    """Hashes of the tokens in order, and the documents' bounds in them."""
     low = chunk.lower
     kind = _KIND[low.data]
     size = len(kind)
@@ -62,62 +68,69 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = cuts[:-1], cuts[1:]
     real = kind[starts] > 0 if size else np.zeros(0, bool)
     starts, ends = starts[real], ends[real]
-    value = mixed(span_hash(low.prefix, starts, ends) + (ends - starts).astype(np.uint64))
-    return (value % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts, chunk.offsets)
+    return mixed(span_hash(low.prefix, starts, ends) + (ends - starts).astype(np.uint64)), np.searchsorted(starts, chunk.offsets)
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x (DIMS + 1) integers: summed neighbours of each bucket, and its count."""
-    index = index_vectors()
-    wide = DIMS + 1
+def placed(chunk: Chunk, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens' vectors: the vocabulary's in its order, then the tail's."""
+    hashes, bounds = tokens(chunk)
+    at = places(known, hashes)
+    return np.where(at < len(known), at, len(known) + (hashes % np.uint64(TAIL)).astype(np.int64)), bounds
+
+
+def context_sums(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """For each vector the sum of its neighbours' index vectors."""
+    size = len(known) + TAIL
+    index = index_vectors(size)
+    shared = docs.sparkSession.sparkContext.broadcast((known, index))
 
     def update(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        grid = total.reshape(BUCKETS, wide)
+        words, fixed = shared.value
+        grid = total.reshape(size, DIMS)
         for chunk in chunks(batch.column(0), 1 << 20):
-            bucket, bounds = tokens(chunk)
-            n = len(bucket)
+            place, bounds = placed(chunk, words)
+            n = len(place)
             if not n:
                 continue
-            first, last = np.zeros(n, bool), np.zeros(n, bool)
-            first[bounds[:-1][np.diff(bounds) > 0]] = True
-            last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-            own = index[bucket]
+            doc = np.repeat(np.arange(chunk.n), np.diff(bounds))
+            own = fixed[place]
             around = np.zeros((n, DIMS), np.int8)
-            around[1:] += own[:-1] * ~first[1:, None]
-            around[:-1] += own[1:] * ~last[:-1, None]
-            order = np.argsort(bucket, kind="stable")
-            ranked = bucket[order]
+            for far in range(1, WINDOW + 1):
+                same = (doc[far:] == doc[:-far])[:, None]
+                around[far:] += own[:-far] * same
+                around[:-far] += own[far:] * same
+            order = np.argsort(place, kind="stable")
+            ranked = place[order]
             heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            grid[ranked[heads], :DIMS] += np.add.reduceat(around[order], heads, axis=0, dtype=np.int64)
-            grid[ranked[heads], DIMS] += np.diff(np.concatenate([heads, [n]]))
+            grid[ranked[heads]] += np.add.reduceat(around[order], heads, axis=0, dtype=np.int64)
 
-    return dense_sum(texts(docs), BUCKETS * wide, update).reshape(BUCKETS, wide)
+    return dense_sum(texts(docs), size * DIMS, update).reshape(size, DIMS)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """Context vectors of unit length; a bucket without tokens is zero."""
-    vectors = sums[:, :DIMS].astype(np.float64)
+    """Context vectors of unit length; one without neighbours is zero."""
+    vectors = sums.astype(np.float64)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.maximum(length, 1e-9)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, *keys: str) -> DataFrame:
+def pooled(docs: DataFrame, known: np.ndarray, vectors: np.ndarray, *keys: str) -> DataFrame:
     """The key columns and the mean word vector of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast((known, vectors))  # WORDS + TAIL vectors at most
     source = texts(docs, *keys)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), "vector array<float>"])
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words, vectors = shared.value
         for batch in batches:
             out = [np.zeros((0, DIMS), np.float32)]
             for chunk in chunks(batch.column(batch.num_columns - 1), 1 << 20):
-                bucket, bounds = tokens(chunk)
+                place, bounds = placed(chunk, words)
                 counts = np.diff(bounds)
                 mean = np.zeros((chunk.n, DIMS), np.float32)
                 live = counts > 0
                 if live.any():
-                    sums = np.add.reduceat(words[bucket], bounds[:-1][live], axis=0, dtype=np.float64)
+                    sums = np.add.reduceat(vectors[place], bounds[:-1][live], axis=0, dtype=np.float64)
                     mean[live] = sums / counts[live, None]
                 out.append(mean)
             grid = np.concatenate(out)
@@ -193,7 +206,8 @@ def fit_sample(vectors: DataFrame, labels: DataFrame, key: str, label: str, limi
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", limit: int = MAX_FIT_ROWS) -> DataFrame:
     """Key, held_out, score and predicted, one row per row of docs."""
-    vectors = written(pooled(docs, word_vectors(context_sums(docs)), key), "vectors")
+    known, _ = vocabulary(docs, WORDS, tokens)
+    vectors = written(pooled(docs, known, word_vectors(context_sums(docs, known)), key), "vectors")
     net = train(*fit_sample(vectors, labels, key, label, limit))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = vectors.schema[key].dataType.simpleString()

@@ -10,16 +10,23 @@ the rules that they are candidates for. Rules without a mandatory trigram scan e
 alternative's rarest trigram is its anchor: a text without any anchor can't be a candidate and skips
 the join, so few texts are shuffled.
 
+An alternative's query asks for at most MOST_TERMS of its mandatory trigrams, those that most
+alternatives share, and a pattern's expansion stops at MOST_ALTERNATIVES: a query may only get weaker by
+that and let more texts through to be verified, so no match is lost.
+
 Spans are code points, end exclusive, leftmost and non-overlapping per rule: the pieces between
 matches and the matches give the places. Rules with `least` keep matches whose group is long enough.
+Running sums go chunk by chunk (`folded_before`), so a text with very many matches costs little more
+for each than one with few.
 
-Defined results: null text is empty and has no secrets; repeated rows are judged alike; a null
-doc_id is kept; an empty table gives an empty result; other columns pass through `with_secrets`.
+Defined results: null text is empty and has no secrets; a text of any length is scanned whole; repeated
+rows are judged alike; spans that start together are listed in the rules' order; a null doc_id is kept; an
+empty table gives an empty result; other columns, whatever their names, pass through `with_secrets`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -32,6 +39,7 @@ from .shared import free_name, table, written
 
 MOST_ALTERNATIVES = 64
 MOST_TERMS = 4
+CHUNK = 64
 _SPANS = "array<struct<start: int, end: int, kind: string>>"
 
 
@@ -137,21 +145,52 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return met.filter("n = terms").groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunked(values: Column, size: int = CHUNK) -> Column:
+    """An array cut into arrays of `size`."""
+    last = F.floor((F.size(values) - 1) / size).cast("int")
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda c: F.slice(values, c * size + 1, F.lit(size)))
+
+
+def folded_before(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array the fold, from 0, of all before it, chunk by chunk.
+
+    An array in a fold's state is copied at every step, so each state holds a chunk or one value a chunk.
+    """
+
+    def running(part: Column, start: Column) -> Column:
+        state = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, state, lambda s, v: F.struct(step(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def whole(parts: Column) -> Column:
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), step))
+        return bound(running(sums, F.lit(0)), lambda bases: F.flatten(F.transform(parts, lambda part, i: running(part, F.get(bases, i)))))
+
+    return bound(values, lambda given: bound(chunked(given), whole))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, kind>> of a rule's matches; one pass over texts without any."""
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
-    size = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else lengths
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
-    rows = F.arrays_zip(lengths.alias("n"), F.slice(between, 1, F.greatest(F.size(lengths), F.lit(0))).alias("gap"), size.alias("size"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+    pattern = F.lit(rule.pattern)
+    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    size = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else None
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
 
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + row["gap"]
-        end = begin + row["n"]
-        here = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(row["size"] >= rule.least, F.concat(state["found"], here)).otherwise(state["found"]).alias("found"))
+    def placed(n: Column) -> Column:
+        whole = F.zip_with(n, F.slice(gaps, 1, F.size(n)), lambda x, gap: x + gap)
+        ends = bound(whole, lambda w: F.zip_with(folded_before(w, lambda at, v: at + v), w, lambda at, v: at + v))
+        both = F.zip_with(ends, n, lambda end, x: F.struct((end - x).alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind")))
+        if size is None:
+            return both
+        long = F.zip_with(both, size, lambda s, x: F.struct(s.alias("s"), (x >= rule.least).alias("long")))
+        return F.transform(F.filter(long, lambda p: p["long"]), lambda p: p["s"])
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(rows, start, step, lambda state: state["found"])).otherwise(F.array().cast(_SPANS))
+    return F.when(F.rlike(text, pattern), bound(lengths, placed).cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
 def with_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -188,15 +227,21 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
     """docs with every secret in the text replaced by a mark; overlapping spans become one."""
     found = with_secrets(docs, rules, text)
     secrets = found.columns[-1]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(F.col(text), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        new = F.when(s["start"] >= state["at"], F.concat(state["done"], before, F.lit(mark))).otherwise(state["done"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("done"))
-
-    clean = F.aggregate(secrets, start, step, lambda state: F.concat(state["done"], F.substring(F.col(text), state["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size(secrets) > 0, clean).otherwise(F.col(text))).drop(secrets)
+    body, last = F.col(text), F.array_max(F.col(secrets)["end"])
+
+    def pieces(rows: Column) -> Column:
+        """What the spans of a chunk leave and put, from the text between the places reached before and after it."""
+        first = F.element_at(rows, 1)["at"]
+        region = F.substring(body, first + 1, F.array_max(rows["end"]) - first)
+        cut = lambda part: F.transform(
+            rows, lambda r: F.when(r["start"] >= r["at"], F.concat(F.substring(part, r["at"] - first + 1, r["start"] - r["at"]), F.lit(mark))).otherwise("")
+        )
+        return F.array_join(bound(region, cut), "")
+
+    reached = folded_before(F.transform(F.col(secrets), lambda s: s["end"]), lambda at, end: F.greatest(at, end))
+    rows = F.zip_with(reached, F.col(secrets), lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+    clean = F.concat(F.array_join(bound(rows, lambda r: F.transform(chunked(r), pieces)), ""), F.substring(body, last + 1, F.length(body)))
+    return found.withColumn(text, F.when(F.size(secrets) > 0, clean).otherwise(body)).drop(secrets)
 
 
 def listed(found: Column) -> Column:

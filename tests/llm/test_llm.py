@@ -234,6 +234,31 @@ def test_redaction(spark):
     assert got == {1: "a [secret] b", 2: "none", 3: None}
 
 
+def brute_redacted(text, rules):
+    spans = sorted((m.start(), m.end()) for rule in rules for m in re.compile(rule.pattern, re.ASCII).finditer(text) if len(m.group(rule.group)) >= rule.least)
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than several chunks hold, of kinds that overlap, between letters of two and four bytes."""
+    draw = random.Random(12)
+    found = []
+    for n in (1, 63, 64, 65, 129, 5_000):
+        words = ["".join(draw.choices("0123456789abcdef", k=draw.choice([20, 26, 40]))) for _ in range(n)]
+        found.append((n, " é ".join(draw.choice(["", "token=", "\U0001f600 password: "]) + w for w in words)))
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    for r in secret_scan.with_secrets(docs).select("text", secret_scan.listed(F.col("secrets")).alias("s")).collect():
+        assert r.s == brute_secrets(r.text, secret_scan.RULES)
+    texts = dict(found)
+    for r in secret_scan.redacted(docs).collect():
+        assert r.text == brute_redacted(texts[r.doc_id], secret_scan.RULES)
+
+
 # --- 4, token files
 
 
@@ -435,12 +460,116 @@ def test_perplexity_finds_junk_in_every_language(spark):
     assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == kept
 
 
+def folded_text(text):
+    plain = "".join("0" if c in "0123456789" else " " if c in "\t\v\f\r" else c for c in clean(text).translate(LOWER))
+    return re.sub("([\x00-/:-`{-\x7f])\\1+", r"\1", plain)
+
+
+def test_code_points_and_symbols():
+    raw = [clean(r[1]).encode() for r in rows()]
+    chunk = kernel.Chunk(0, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    points, bounds = quality_rules.code_points(chunk)
+    assert ["".join(map(chr, points[a:b])) for a, b in zip(bounds[:-1], bounds[1:])] == [folded_text(r.decode()) for r in raw]
+
+
+def brute_kneser_ney(texts, letters, order):
+    """p(symbol | context) by dictionaries; a symbol outside is None, the start is ""."""
+    symbol = lambda c: c if c in letters else None
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = [""] * (order - 1) + [symbol(c) for c in t]
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        grams[n].update(g[1:] for g in grams[n + 1])
+    cuts = [quality_rules.discounts(np.array(list(g.values()) or [0])) for g in grams]
+    stats = []
+    for g, cut in zip(grams, cuts):
+        by_context = collections.defaultdict(lambda: [0, 0.0])
+        for k, c in g.items():
+            by_context[k[:-1]][0] += c
+            by_context[k[:-1]][1] += min(cut[min(c, 3)], c)
+        stats.append(by_context)
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(letters) + 1)
+        n = len(gram)
+        if gram[:-1] not in stats[n]:
+            return p(gram[1:])
+        total, spare = stats[n][gram[:-1]]
+        c = grams[n][gram]
+        return max(c - cuts[n][min(c, 3)], 0) / total + spare / total * p(gram[1:])
+
+    def log_perplexity(t):
+        padded = [""] * (order - 1) + [symbol(c) for c in t]
+        return -sum(math.log(p(tuple(padded[i : i + order]))) for i in range(len(t))) / len(t)
+
+    return p, log_perplexity
+
+
+def letters_of(texts, most):
+    counts = collections.Counter(c for t in texts for c in t)
+    return set(sorted(counts, key=lambda c: (-counts[c], c))[:most])
+
+
 def test_kneser_ney_sums_to_one():
-    draw = np.random.default_rng(1)
-    counts = np.zeros(quality_rules.CELLS, np.int64)
-    counts[draw.integers(0, quality_rules.CELLS, 30_000)] += draw.integers(1, 9, 30_000)
-    table = np.exp(quality_rules.fit(counts).table().astype(np.float64)).reshape(-1, 32)
-    assert np.allclose(table.sum(1), 1, atol=1e-3)
+    texts = [folded_text(r[1]) for r in rows()]
+    letters = letters_of(texts, 9)
+    p, _ = brute_kneser_ney(texts, letters, 3)
+    for context in [("a", "b"), ("", ""), ("e", None), ("q", "q")]:
+        assert sum(p((*context, c)) for c in [*letters, None]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("size", [7, 60])
+def test_perplexities_equal_brute_force(spark, data, monkeypatch, size):
+    """The model of all texts that pass the base rules, without refits: alphabet, counts, fit and search."""
+    monkeypatch.setattr(quality_rules, "REFITS", 0)
+    monkeypatch.setattr(quality_rules, "alphabet", lambda docs, f=quality_rules.alphabet: f(docs, size))
+    got = quality_rules.quality_rules(data[1].withColumn("body", F.col("text")), "doc_id", "body").collect()
+    letters = letters_of([folded_text(r[1]) for r in data[0]], size)
+    passed = [folded_text(r[1]) for r in data[0] if (lambda c: c[0] >= 50 and 100 * c[4] <= 50 * c[0] and 10 * c[2] <= c[0])(brute_counts(r[1]))]
+    _, log_perplexity = brute_kneser_ney(passed, letters, quality_rules.ORDER)
+    for r in got:
+        text = folded_text(r.body)
+        assert r.log_ppl == (pytest.approx(log_perplexity(text), abs=1e-4) if text else None)
+
+
+def lower_quantile(values, share):
+    values = sorted(values)
+    return values[math.ceil(share * len(values)) - 1]
+
+
+def on_grid(x):
+    return math.copysign(math.floor(abs(x) * quality_rules.GRID + 0.5), x) / quality_rules.GRID
+
+
+def test_bands_and_verdicts_equal_brute_force(spark, data):
+    got = quality_rules.quality_rules(data[1].withColumn("body", F.col("text")), "doc_id", "body").collect()
+    by_lang = collections.defaultdict(list)
+    for r in got:
+        if not r.base_failed:
+            by_lang[r.lang].append((r.log_ppl, len(folded_text(r.body))))
+    for r in got:
+        if r.lang not in by_lang or not r.body:
+            assert r.low is None and r.high is None and not r.kept
+            continue
+        middle = lower_quantile([x for x, _ in by_lang[r.lang]], 0.5)
+        far = [(x - middle) * n**0.5 for x, n in by_lang[r.lang]]
+        under, over = max(-lower_quantile(far, 0.25), 0), max(lower_quantile(far, 0.75), 0)
+        reach = [12.0 * max(s / len(folded_text(r.body)) ** 0.5, quality_rules.BAND_FLOOR) for s in (under, over)]
+        assert r.low == pytest.approx(middle - reach[0], abs=1e-6) and r.high == pytest.approx(middle + reach[1], abs=1e-6)
+        assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
+
+
+def test_most_frequent_grams_are_kept_whole(spark, data, monkeypatch):
+    """Under a small bound the kept n-grams are all those from some count on, with their whole counts."""
+    rows_ = quality_rules.written(quality_rules.coded(data[1], quality_rules.alphabet(data[1])), "coded")
+    keys, counts = quality_rules.count_grams(rows_)
+    monkeypatch.setattr(quality_rules, "MOST_GRAMS", 300)
+    some, fewer = quality_rules.count_grams(rows_)
+    every = dict(zip(keys.tolist(), counts.tolist()))
+    assert 0 < len(some) <= 300 and all(every[k] == c for k, c in zip(some.tolist(), fewer.tolist()))
+    assert max([c for k, c in every.items() if k not in set(some.tolist())]) <= 1.1 * min(fewer)
 
 
 # --- 9 and 10, models
