@@ -1,20 +1,17 @@
 """Relational idioms of the genomic scripts on the plain tables, and round trips through the file formats."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut_lineage
 from ..sources import readers
+from ..storage import fresh_path
 from .registry import query
 
 
 def fresh(df: DataFrame, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixframe-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(df.sparkSession, name)
 
 
 @query("rel_join_inner", "SELECT l_orderkey, l_linenumber, l_quantity, o_orderstatus FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey")
