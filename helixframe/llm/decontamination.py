@@ -10,9 +10,13 @@ sharp s becomes ss); lengths and budgets are those of folded items, places those
 The items are read in blocks of at most BLOCK_CHARS characters, so what is broadcast is bounded;
 each block is one more pass over the documents.
 
-Defined results: null or empty text has no hits; items under MIN_ITEM code points, empty or null are
-not searched; repeated items are hits of their own; repeated rows are judged alike; with an empty
-benchmark nothing is hit; the documents' own columns pass through, whatever their names.
+Items under SHORT code points have no budget: they are found where they stand whole, between characters
+that aren't letters or digits, by the same automaton.
+
+Defined results: null or empty text has no hits; a text of any length is searched whole; of an item's
+equally near places the first counts; empty, blank or null items are not searched; repeated items are
+hits of their own; item ids may have any type; repeated rows are judged alike; with an empty benchmark
+nothing is hit; the documents' own columns pass through, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -29,9 +33,8 @@ from .kernel import _LOWER, _WHITE, chunks
 from .shared import free_name, table
 
 ERROR_RATE = 0.05
-MIN_ITEM = 16
+SHORT = 16
 BLOCK_CHARS = 4_000_000
-_HIT = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 _PLAIN = np.where(_WHITE, np.uint8(0x20), _LOWER)
 
 
@@ -89,11 +92,18 @@ def best_match(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     return (best, end) if best <= limit else None
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on across either border of a span that has one inside it."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    right = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not left and not right
+
+
 @dataclass
 class Items:
     """Searchable items and the automaton of their pieces."""
 
-    ids: list[int]
+    ids: list
     texts: list[str]
     rate: float
 
@@ -119,6 +129,11 @@ class Items:
         found = []
         for i, starts in sorted(diagonals.items()):
             pattern, limit = self.texts[i], self.limits[i]
+            if not limit:  # the only piece is the item itself
+                places = (a for a in sorted(starts) if len(pattern) >= SHORT or stands_alone(text, a, a + len(pattern)))
+                if (at := next(places, None)) is not None:
+                    found.append({"item_id": self.ids[i], "distance": 0, "start": at, "end": at + len(pattern)})
+                continue
             best: tuple[int, int, int] | None = None
             for low, high in self._windows(starts, len(pattern) + limit, limit, len(text)):
                 match = best_match(pattern, text[low:high], limit if best is None else best[0] - 1)
@@ -147,9 +162,9 @@ class Items:
             yield low, high
 
 
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark's items in blocks of about block_chars characters."""
-    items = benchmark.filter(F.length("text") >= MIN_ITEM).select(F.col(item_id).alias("id"), "text")
+def item_blocks(benchmark: DataFrame, item_id: str = "item_id", block_chars: int = BLOCK_CHARS, least: int = 1) -> Iterator[tuple[list, list[str]]]:
+    """The benchmark's items of `least` code points or more, in blocks of about block_chars characters."""
+    items = benchmark.filter((F.length("text") >= least) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(F.col(item_id).alias("id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // block_chars)
     for part in range(parts):
@@ -158,14 +173,19 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", block_chars: int
             yield [r.id for r in rows], [plain(r.text) for r in rows]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text", block_chars: int = BLOCK_CHARS, least: int = 1, item_id: str = "item_id"
+) -> DataFrame:
     """docs with one more, last column: the items found in each text, with distance and place.
 
-    It is named hits, or hits_1 and so on where docs has that name already.
+    It is named hits, or hits_1 and so on where docs has that name already. `least` is the caller's
+    choice of the shortest item that counts.
     """
     spark = docs.sparkSession
-    out = docs.withColumn(free_name(docs, "hits"), F.array().cast(_HIT))
-    for ids, items in item_blocks(benchmark, block_chars=block_chars):
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    hit = f"array<struct<item_id: {kind}, distance: int, start: int, end: int>>"
+    out = docs.withColumn(free_name(docs, "hits"), F.array().cast(hit))
+    for ids, items in item_blocks(benchmark, item_id, block_chars, least):
         shared = spark.sparkContext.broadcast(Items(ids, items, rate))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

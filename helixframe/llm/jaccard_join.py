@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import connected_components
 from .kernel import Chunk, chunks, mixed, per_document_sets
-from .shared import dense_sum, table, texts, written
+from .shared import dense_sum, note_table, table, texts, written
 
 WIDTH = 5
 TILE = 256
@@ -222,6 +222,7 @@ def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str,
 def bucketed(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
     """df, dealt by a column, as a table bucketed by it, so that joins on it don't shuffle it; and the table's name."""
     name = f"helixframe_{uuid.uuid4().hex}"
+    note_table(name)
     df.write.bucketBy(buckets, column).sortBy(column).option("compression", "zstd").saveAsTable(name)
     return df.sparkSession.table(name), name
 
@@ -431,7 +432,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Da
     verify(forest_pairs(representatives(current), stored).filter("gid is null").select("a", "b"))
     current = written(with_components(members, links)[0], "members")
     verify(tile_pairs(current, stored))
-    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     _, found = with_components(members, links)
     least = named.groupBy("cls").agg(F.min(key).alias("_least")).join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     by_component = least.groupBy("component").agg(F.min("_least").alias("_component_id"))

@@ -12,9 +12,14 @@ policy (smallest length to open, room left for others) is tried on the histogram
 total after downsizing wins. Last, each bin is downsized to the least permitted length that holds
 its contents. The cost of a bin of c tokens is c + c * c / `attention`.
 
+The number of salts follows the number of pieces. Which length function counts the tokens is the
+caller's; the query counts words.
+
 Defined results: null or empty text is one piece with the end token alone; a text beyond the largest
 permitted length is cut into pieces, all but the last of that length; repeated rows are pieces of
-their own; a null doc_id is packed like any other; an empty table gives an empty result.
+their own; pieces of equal length are ranked by salt, key and piece, so ties fall alike in every run;
+a null doc_id is packed like any other; an empty table gives an empty result; columns that aren't keys
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +31,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import free_name, table, written
 
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 16_384.0
 SALTS = 256
+SALT_ROWS = 1_000_000
 BROADCAST_RUNS = 500_000
 
 
@@ -138,18 +144,24 @@ def plan(histogram: dict[int, int], lengths: Sequence[int] = LENGTHS, attention:
 
 
 def pieces(docs: DataFrame, length: Column, largest: int, *keys: str) -> DataFrame:
-    """Key columns, piece, first_token and n_tokens: texts cut at the largest permitted length."""
-    n = docs.select(*keys, length.cast("long").alias("_n"))
-    cut = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / largest), F.lit(1)).cast("long") - 1)).alias("piece"))
+    """Key columns (as _k0, _k1, ...), piece, first_token and n_tokens: texts cut at the largest permitted length."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    n = docs.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), length.cast("long").alias("_n"))
+    cut = n.select(*own, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / largest), F.lit(1)).cast("long") - 1)).alias("piece"))
     start = F.col("piece") * largest
-    return cut.select(*keys, "piece", start.alias("first_token"), F.least(F.col("_n") - start, F.lit(largest).cast("long")).alias("n_tokens"))
+    return cut.select(*own, "piece", start.alias("first_token"), F.least(F.col("_n") - start, F.lit(largest).cast("long")).alias("n_tokens"))
 
 
 def packed(docs: DataFrame, length: Column, *keys: str, lengths: Sequence[int] = LENGTHS, attention: float = ATTENTION) -> DataFrame:
-    """Key columns, piece, first_token, n_tokens, bin_id, bin_offset and bin_length of every piece."""
+    """Key columns, piece, first_token, n_tokens, bin_id, bin_offset and bin_length of every piece.
+
+    Where a key has the name of one of these, that one gets the next free name: piece_1 and so on.
+    """
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64(*keys, "piece"), F.lit(SALTS)).cast("int").alias("_salt")
-    items = written(pieces(docs, length, max(lengths), *keys).select("*", salt), "pieces")
+    items = written(pieces(docs, length, max(lengths), *keys), "pieces")
+    own = items.columns[: len(keys)]
+    salts = max(SALTS, -(-items.count() // SALT_ROWS))
+    items = items.withColumn("_salt", F.pmod(F.xxhash64(*own, "piece"), F.lit(salts)).cast("int"))
     counts = items.groupBy("n_tokens", "_salt").agg(F.count(F.lit(1)).alias("_count"))
     histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("_count").alias("n")).collect()}  # at most max(lengths) rows
     runs, _ = plan(histogram, lengths, attention)
@@ -159,16 +171,18 @@ def packed(docs: DataFrame, length: Column, *keys: str, lengths: Sequence[int] =
         lookup = F.broadcast(lookup)
     running = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("n_tokens", "_salt", F.coalesce(F.sum("_count").over(running), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("n_tokens", "_salt").orderBy(*keys, "piece")
+    inner = Window.partitionBy("n_tokens", "_salt").orderBy(*own, "piece")
     ranked = items.withColumn("_rank", F.row_number().over(inner) - 1).join(base, ["n_tokens", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     place = ranked.join(lookup, (F.col("n_tokens") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     step = F.col("_rank") - F.col("_start")
-    return place.select(
-        *keys, "piece", "first_token", "n_tokens",
-        (F.col("_bin") + F.floor(step / F.col("_per"))).alias("bin_id"),
-        (F.col("_offset") + step % F.col("_per") * F.col("n_tokens")).alias("bin_offset"),
-        "bin_length",
-    )
+    made = {
+        "piece": F.col("piece"), "first_token": F.col("first_token"), "n_tokens": F.col("n_tokens"),
+        "bin_id": F.col("_bin") + F.floor(step / F.col("_per")),
+        "bin_offset": F.col("_offset") + step % F.col("_per") * F.col("n_tokens"),
+        "bin_length": F.col("bin_length"),
+    }
+    named = docs.select(*keys)
+    return place.select(*(F.col(o).alias(k) for o, k in zip(own, keys)), *(c.alias(free_name(named, n)) for n, c in made.items()))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

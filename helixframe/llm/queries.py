@@ -14,11 +14,25 @@ from .packing import op1_best_fit_packing
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secret_scan import BASE, RULES, op3_secret_scan
+from .shared import Scratch
 from .substring_dedup import op7_substring_dedup
 from .token_files import op4_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def tidy(f: Query) -> Query:
+    """The query with its result written, and every table that it wrote on the way deleted."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Scratch(spark) as scratch:
+            return scratch.hand_out(f(spark, sf_dir), f.__name__)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: tidy(f)
     for f in (
         op1_best_fit_packing,
         op2_ngram_jaccard_join,

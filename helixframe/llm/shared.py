@@ -1,9 +1,7 @@
-"""Spark plumbing of the training-data operators: the shared folder, written tables, dense sums."""
+"""Spark plumbing of the training-data operators: tables, free column names, dense sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,56 +10,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, fresh_path, note_table, written  # noqa: F401
+
 BLOCK_CELLS = 1 << 16
 _BLOCK_SCHEMA = "block int, salt int, payload binary"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-_PATHS: list[str] = []
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for `forget`."""
-    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _PATHS[-1]
-
-
-def mark() -> int:
-    """How many paths have been given out."""
-    return len(_PATHS)
-
-
-def forget(spark: SparkSession, since: int, but: int = 0) -> None:
-    """Delete what was written since a mark, but for the last `but` paths. Nothing lazy may still need it."""
-    last = len(_PATHS) - but
-    for path in _PATHS[since:last]:
-        remove(spark, path)
-    del _PATHS[since:last]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by fresh_path, on whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def _emit(cells: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for block in range(0, len(cells), BLOCK_CELLS):

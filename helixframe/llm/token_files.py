@@ -13,8 +13,13 @@ where marks follow a Latin letter (an apostrophe apart). The pre-tokenizer never
 across units, so each distinct short unit is encoded once per worker and looked up by hash after
 that. Texts with blanks outside ASCII are encoded whole.
 
-Defined results: null text is empty and yields the end id alone; repeated doc_ids are kept, ordered
-by their ids' bytes; a null doc_id sorts first; an empty table writes an empty file.
+Ids take 16 bits on the way where the vocabulary allows it, else 32; a vocabulary may hold at most
+2**SCALE_BITS ids that occur. The number of shards follows from the counted ids.
+
+Defined results: null text is empty and yields the end id alone; a text of any length is one document
+of one block; repeated doc_ids are kept, ordered by their ids' bytes; doc_ids may have any type that can be
+ordered; a null doc_id sorts first; an empty table writes an empty file; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ SCALE_BITS = 18
 LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 26
 CACHE_UNITS = 3_000_000
 LONGEST_UNIT = 64
 ENCODE_BYTES = 1 << 20
@@ -84,8 +90,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        if self.size > 1 << 16:
-            raise ValueError("ids are stored in 16 bits")
+        self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)  # a byte-level token has one character for each byte
@@ -93,7 +98,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.old = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
         self.starts, self.counts, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -116,7 +121,7 @@ class Encoder:
             self.old, self.new = union(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint16)
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
 
     def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         """Encode units: those of blanks and a word in one go, as their joint text has just these units."""
@@ -187,7 +192,7 @@ class Encoder:
         for i, ids in special.items():
             per_doc[i] = len(ids)
         out_bounds = np.concatenate([[0], np.cumsum(per_doc + 1)])
-        out = np.full(out_bounds[-1], END_ID, np.uint16)
+        out = np.full(out_bounds[-1], END_ID, self.kind)
         n = self.counts[slot].astype(np.int64)
         skipped = np.cumsum(n) - n
         source = np.arange(n.sum()) - np.repeat(skipped - self.starts[slot], n)
@@ -209,7 +214,7 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
-    """Key, n_tokens and ids (16-bit little-endian, end id included) of each document."""
+    """Key, n_tokens and ids (little-endian, 16 bits for vocabularies up to 2**16, else 32; end id included)."""
     source = texts(docs, key)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,16 +222,22 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame
         for batch in batches:
             for chunk in chunks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = tool.encode(chunk)
-                raw = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                raw = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer((tool.kind.itemsize * bounds).astype(np.int32)), pa.py_buffer(ids.astype(tool.kind.newbyteorder("<")))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(bounds)), raw], names=[key, "n_tokens", "ids"])
 
     return source.mapInArrow(encode, f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens long, ids binary")
 
 
+def id_kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    kind = id_kind(size)
+
     def update(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for chunk in chunks(batch.column(0)):
-            total += np.bincount(chunk.data.view("<u2"), minlength=size)
+            total += np.bincount(chunk.data.view(kind), minlength=size)
 
     return dense_sum(ids.select("ids"), size, update)
 
@@ -240,7 +251,7 @@ class Frequencies:
     def __post_init__(self) -> None:
         self.freq = self.freq.astype(np.uint64)
         self.first = np.cumsum(self.freq) - self.freq
-        self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint16), self.freq.astype(np.int64))
+        self.slots = np.repeat(np.arange(len(self.freq), dtype=id_kind(len(self.freq))), self.freq.astype(np.int64))
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -257,7 +268,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 def pack(ids: np.ndarray, table: Frequencies) -> dict:
     """One block: word stream, and the decoder's states and places at its start and at each checkpoint."""
     steps = max(1, -(-len(ids) // LANES))
-    grid = np.full(steps * LANES, END_ID, np.uint16)
+    grid = np.full(steps * LANES, END_ID, ids.dtype)
     grid[: len(ids)] = ids
     grid = grid.reshape(steps, LANES)
     state = np.full(LANES, LOW, np.uint64)
@@ -283,7 +294,7 @@ def pack(ids: np.ndarray, table: Frequencies) -> dict:
         "states": np.concatenate(states[::-1]).astype("<u8").tobytes(),
         "places": [total - p for p in places[::-1]],
         "stream": body,
-        "ids_crc32": zlib.crc32(ids.astype("<u2").tobytes()),
+        "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()),
         "payload_crc32": zlib.crc32(body),
     }
 
@@ -312,27 +323,30 @@ def unpack(n_tokens: int, states: bytes, places: list[int], stream: bytes, table
     return ids[: max(0, min(n_tokens - first, len(ids)))]
 
 
-_FILE = "shard int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, states binary, places array<long>, stream binary, ids_crc32 long, payload_crc32 long"
+_FILE = "shard int, block int, start long, n_tokens long, doc_ids array<{}>, lengths array<long>, states binary, places array<long>, stream binary, ids_crc32 long, payload_crc32 long"
 
 
 def write_token_file(ids: DataFrame, frequencies: Frequencies, path: str, key: str = "doc_id") -> None:
     """Write the ids' blocks in ascending order of key, one shard for each range of keys."""
     shared = ids.sparkSession.sparkContext.broadcast(frequencies)
+    wide = id_kind(len(frequencies.freq))
+    file = _FILE.format(ids.schema[key].dataType.simpleString())
 
     def row(shard: int, block: int, start: int, keys: list, parts: list[np.ndarray]) -> pa.RecordBatch:
         made = pack(np.concatenate(parts), shared.value)
         fields = {"shard": shard, "block": block, "start": start, "n_tokens": made["n_tokens"], "doc_ids": keys, "lengths": [len(p) for p in parts]} | {k: made[k] for k in ("states", "places", "stream", "ids_crc32", "payload_crc32")}
-        kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "states": pa.binary(), "places": pa.list_(pa.int64()), "stream": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.int64())) for k, v in fields.items()], names=list(fields))
+        kinds = {"shard": pa.int32(), "block": pa.int32(), "lengths": pa.list_(pa.int64()), "states": pa.binary(), "places": pa.list_(pa.int64()), "stream": pa.binary()}
+        fields["doc_ids"] = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.concat_arrays(keys))
+        return pa.RecordBatch.from_arrays([v if k == "doc_ids" else pa.array([v], kinds.get(k, pa.int64())) for k, v in fields.items()], names=list(fields))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, block, start, keys, parts, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                piece = np.frombuffer(raw.as_buffer(), "<u2")
-                keys.append(doc)
+            for at, raw in enumerate(batch.column(1)):
+                piece = np.frombuffer(raw.as_buffer(), wide)
+                keys.append(batch.column(0).slice(at, 1))
                 parts.append(piece.copy())
                 held += len(piece)
                 if held >= BLOCK_TOKENS:
@@ -341,9 +355,10 @@ def write_token_file(ids: DataFrame, frequencies: Frequencies, path: str, key: s
         if parts:
             yield row(shard, block, start, keys, parts)
 
-    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
+    width = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
     ordered = ids.repartitionByRange(width, key, "n_tokens").sortWithinPartitions(key, "ids").select(key, "ids")
-    ordered.mapInArrow(encode, _FILE).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(encode, file).write.parquet(f"{path}/blocks")
     ids.sparkSession.createDataFrame([(i, int(f)) for i, f in enumerate(frequencies.freq) if f], "id int, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
 
 
@@ -356,18 +371,20 @@ def read_token_file(spark: SparkSession, path: str, key: str = "doc_id", digest:
     freq = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     freq[[r.id for r in rows]] = [r.freq for r in rows]
     shared = spark.sparkContext.broadcast(Frequencies(freq))
-    blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row for each shard
     ends = np.cumsum([r.n for r in sizes])
     before = {r.shard: int(end - r.n) for r, end in zip(sizes, ends)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            names = batch.column(batch.schema.get_field_index("doc_ids"))
+            for at, r in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
                 if zlib.crc32(r["stream"]) != r["payload_crc32"]:
                     raise ValueError(f"shard {r['shard']}, block {r['block']}: the stream's checksum differs")
                 ids = unpack(r["n_tokens"], r["states"], r["places"], r["stream"], shared.value)
-                if zlib.crc32(ids.astype("<u2").tobytes()) != r["ids_crc32"]:
+                if zlib.crc32(ids.astype("<u4").tobytes()) != r["ids_crc32"]:
                     raise ValueError(f"shard {r['shard']}, block {r['block']}: the ids' checksum differs")
                 bounds = np.concatenate([[0], np.cumsum(r["lengths"])])
                 wide = ids.astype("<u4")
@@ -376,11 +393,11 @@ def read_token_file(spark: SparkSession, path: str, key: str = "doc_id", digest:
                 else:
                     last = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(before[r["shard"]] + r["start"] + bounds[:-1]), pa.array(np.diff(bounds)), last],
+                    [names.slice(at, 1).flatten(), pa.array(before[r["shard"]] + r["start"] + bounds[:-1]), pa.array(np.diff(bounds)), last],
                     names=[key, "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
-    return blocks.mapInArrow(decode, f"`{key}` long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
+    return blocks.mapInArrow(decode, f"`{key}` {kind}, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", path: str | None = None, digest: bool = False) -> DataFrame:

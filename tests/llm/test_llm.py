@@ -553,8 +553,8 @@ def test_bands_and_verdicts_equal_brute_force(spark, data):
         if r.lang not in by_lang or not r.body:
             assert r.low is None and r.high is None and not r.kept
             continue
-        middle = lower_quantile([x for x, _ in by_lang[r.lang]], 0.5)
-        far = [(x - middle) * n**0.5 for x, n in by_lang[r.lang]]
+        middle = lower_quantile([on_grid(x) for x, _ in by_lang[r.lang]], 0.5)
+        far = [on_grid((x - middle) * n**0.5) for x, n in by_lang[r.lang]]
         under, over = max(-lower_quantile(far, 0.25), 0), max(lower_quantile(far, 0.75), 0)
         reach = [12.0 * max(s / len(folded_text(r.body)) ** 0.5, quality_rules.BAND_FLOOR) for s in (under, over)]
         assert r.low == pytest.approx(middle - reach[0], abs=1e-6) and r.high == pytest.approx(middle + reach[1], abs=1e-6)
