@@ -2,8 +2,9 @@
 
 Quality rules reject documents; of each group of near duplicates one row of the least doc_id stays;
 documents that hold a benchmark item go; secrets in texts are replaced by a mark; what is left is
-packed. A null doc_id comes after all others: a null-id document stays if its group has no other id.
-Unlike texts that share a doc_id, null or not, are groups of their own. Empty tables give empty results; further columns of documents pass through all stages but the last.
+packed. A benchmark item counts from LEAST_LEAK characters on. A null doc_id comes after all others: a null-id document stays if its group has no other id.
+Unlike texts that share a doc_id, null or not, are groups of their own. Empty tables give empty results;
+further columns of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from helixframe.llm.jaccard_join import jaccard_classes, with_class
 from helixframe.llm.packing import packed, word_tokens
 from helixframe.llm.quality_rules import quality_filter
 from helixframe.llm.secret_scan import redacted
-from helixframe.llm.shared import forget, free_name, mark, table, written
+from helixframe.llm.shared import free_name, table, written
+from helixframe.storage import Scratch
+
+
+LEAST_LEAK = 16  # an item of fewer characters, such as a lone word, is no sign of a leak
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), least=LEAST_LEAK)
     return found.filter(F.size(found.columns[-1]) == 0).select(docs.columns)
 
 
@@ -74,10 +79,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents, every stage written and read again."""
     docs = table(spark, sf_dir, "documents")
-    since = mark()
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        forget(spark, since, but=1)  # the stage's own tables and the stage before it are read no more
+        with Scratch(spark) as stages:  # the table of the stage before is read no more once this one's is written
+            if before is not None:
+                stages.paths.append(before)
+            with Scratch(spark) as own:
+                docs = own.hand_out(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            before = stages.paths.pop()
     return docs
 
 
