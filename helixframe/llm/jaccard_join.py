@@ -15,9 +15,13 @@ each bit; its width follows the set's size and a wider one folds to a narrower.
 never exceed the symmetric difference, so they bound the overlap from above; survivors get an exact
 sorted-array intersection, for which the compressed texts lie in a table bucketed by class.
 
-Defined results: null or empty text has no shingles and stands alone; repeated rows share a class;
-a null doc_id never is a component_id unless all of its component's are null; other columns are
-ignored; an empty table gives an empty result.
+A class is named by 64 bits of its set; a second 64 bits tell when unlike sets share a name, and those
+few are named anew. The sketch's cells are hot by HOT_LEVEL or, where shingles are so many that each cell
+is several shingles', by eight times the mean cell; a hot shingle's postings are dealt to several buckets.
+
+Defined results: null or empty text has no shingles and stands alone; a text of any length is taken
+whole; repeated rows share a class; a null doc_id never is a component_id unless all of its component's
+are null; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import connected_components
 from .kernel import Chunk, chunks, mixed, per_document_sets
-from .shared import dense_sum, note_table, table, texts, written
+from .shared import dense_sum, free_name, note_table, table, texts, written
 
 WIDTH = 5
 TILE = 256
@@ -42,6 +46,7 @@ FLUSH = 1 << 19
 HOT_LEVEL = 13
 PARTITION_POSTINGS = 2_000_000
 BITS_EACH = 2
+SALTS = 32
 _POSTED = "bucket int, payload binary"
 
 
@@ -50,26 +55,52 @@ def sets_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return per_document_sets(values, bounds)
 
 
-def classes_of(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each set, the same for equal sets."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(values * np.uint64(0xD6E8FEB86659FD93)))])
-    return mixed(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+def names_of(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names for each set, the same for equal sets."""
+    sizes = np.diff(bounds).astype(np.uint64)
+    out = []
+    for factor in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(values * np.uint64(factor)))])
+        out.append(mixed(sums[bounds[1:]] - sums[bounds[:-1]] + sizes))
+    return out[0], out[1]
+
+
+def classes_of(values: np.ndarray, bounds: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The class of each set: its first name, or a mix of both where unlike sets share the first (clashes)."""
+    one, two = names_of(values, bounds)
+    if len(clashes):
+        one = np.where(np.isin(one, clashes), mixed(one ^ mixed(two)), one)
+    return one.view(np.int64)
 
 
-def named_sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, n_shingles and class of every row."""
+def named_sets(docs: DataFrame, key: str, clashes: np.ndarray) -> DataFrame:
+    """key, n_shingles, class and second name of every row."""
     source = texts(docs, key)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 values, bounds = sets_of(chunk)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(bounds)), pa.array(classes_of(values, bounds))], names=[key, "n_shingles", "cls"])
+                second = names_of(values, bounds)[1].view(np.int64)
+                arrays = [pa.array(np.diff(bounds)), pa.array(classes_of(values, bounds, clashes)), pa.array(second)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), *arrays], names=[key, "n_shingles", "cls", "second"])
+
+    return source.mapInArrow(name, f"`{key}` {source.schema[0].dataType.simpleString()}, n_shingles long, cls long, second long")
+
 
-    return source.mapInArrow(name, f"`{key}` {source.schema[0].dataType.simpleString()}, n_shingles long, cls long")
+def named_apart(docs: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+    """Names of all rows by 128 bits: first names that unlike sets share (some n**2 / 2**65) are named anew."""
+    clashes = np.zeros(0, np.uint64)
+    while True:
+        named = written(named_sets(docs, key, clashes), "named")
+        twice = named.groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").select("cls").toArrow()
+        if not twice.num_rows:
+            return named.drop("second"), clashes
+        more = np.array(twice.column(0).combine_chunks()).astype(np.int64).view(np.uint64)
+        clashes = np.union1d(clashes, more)
 
 
-def with_class(docs: DataFrame, name: str) -> DataFrame:
+def with_class(docs: DataFrame, name: str, clashes: np.ndarray) -> DataFrame:
     """docs with one more, last column of that name: the text's class, null without shingles."""
     where = docs.columns.index("text")
 
@@ -77,7 +108,7 @@ def with_class(docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(where).fill_null("")):
                 values, bounds = sets_of(chunk)
-                found = pa.array(classes_of(values, bounds), mask=np.diff(bounds) == 0)
+                found = pa.array(classes_of(values, bounds, clashes), mask=np.diff(bounds) == 0)
                 yield pa.RecordBatch.from_arrays([*batch.slice(chunk.first, chunk.n).columns, found], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(name, LongType())]))
@@ -94,7 +125,7 @@ def frequency_levels(docs: DataFrame, bits: int) -> np.ndarray:
     return np.log2(dense_sum(texts(docs), 1 << bits, update) + 1).astype(np.uint8)
 
 
-def posted(docs: DataFrame, levels: np.ndarray, bits: int, buckets: int) -> DataFrame:
+def posted(docs: DataFrame, levels: np.ndarray, bits: int, buckets: int, clashes: np.ndarray, hot_level: int = HOT_LEVEL) -> DataFrame:
     """The first shingles of each set with its class and size, packed by bucket; copies once per flush."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -104,7 +135,7 @@ def posted(docs: DataFrame, levels: np.ndarray, bits: int, buckets: int) -> Data
         again = (rows["h"][1:] == rows["h"][:-1]) & (rows["cls"][1:] == rows["cls"][:-1])
         rows = rows[np.concatenate([[True], ~again])]
         level = shared.value[(rows["h"] >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
-        salts = np.left_shift(1, np.maximum(level - HOT_LEVEL, 0)).astype(np.uint64)
+        salts = np.left_shift(1, np.maximum(level - hot_level, 0)).astype(np.uint64)
         bucket = (mixed(rows["h"] + mixed(rows["cls"]) % salts) % np.uint64(buckets)).astype(np.int64)
         rows["hot"] = salts > 1
         order = np.argsort(bucket, kind="stable")
@@ -126,7 +157,7 @@ def posted(docs: DataFrame, levels: np.ndarray, bits: int, buckets: int) -> Data
                 chosen = place < first[owner]
                 rows = np.empty(int(chosen.sum()), _ROW)
                 rows["h"], rows["hot"] = values[order][chosen], False
-                rows["cls"] = classes_of(values, bounds)[owner[chosen]].view(np.uint64)
+                rows["cls"] = classes_of(values, bounds, clashes)[owner[chosen]].view(np.uint64)
                 rows["n"] = sizes[owner[chosen]]
                 held.append(rows)
                 count += len(rows)
@@ -143,7 +174,11 @@ _ROW = np.dtype([("h", "<u8"), ("cls", "<u8"), ("n", "<u4"), ("hot", "?")])
 
 
 def groups(postings: DataFrame, partitions: int) -> DataFrame:
-    """gid, tile, cls, n: classes that share a posted shingle; one gid for each distinct member list."""
+    """gid, tile, cls, n: classes that share a posted shingle; one gid for each distinct member list.
+
+    A hot shingle's members are dealt to several buckets; one that is alone in its bucket stays only if
+    another bucket holds a member.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column(1)]
@@ -169,11 +204,19 @@ def groups(postings: DataFrame, partitions: int) -> DataFrame:
         apart = np.repeat(np.where(hot, (mixed(rows["cls"][heads]) >> np.uint64(34)) + np.uint64(1), np.uint64(0)), counts)
         tile = (mixed(rows["cls"]) % tiles + apart)[keep].astype(np.int64)
         out = rows[keep]
+        alone = np.repeat(counts == 1, counts)[keep]
         for a in range(0, len(out), 100_000):
             part = out[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gid[a : a + 100_000]), pa.array(tile[a : a + 100_000]), pa.array(part["cls"].view(np.int64)), pa.array(part["n"].astype(np.int64))], names=["gid", "tile", "cls", "n"])
+            columns = [gid[a : a + 100_000], tile[a : a + 100_000], part["cls"].view(np.int64), part["n"].astype(np.int64), part["hot"], alone[a : a + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gid", "tile", "cls", "n", "hot", "alone"])
 
-    return postings.repartition(partitions, "bucket").mapInArrow(gather, "gid long, tile long, cls long, n long").distinct()
+    found = written(postings.repartition(partitions, "bucket").mapInArrow(gather, "gid long, tile long, cls long, n long, hot boolean, alone boolean"), "gathered")
+    names = ["gid", "tile", "cls", "n"]
+    met = found.filter("not alone").select(names)
+    if not found.filter("alone").isEmpty():
+        several = found.filter("hot").groupBy("gid").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gid")
+        met = met.unionByName(found.filter("alone").select(names).join(several, "gid", "left_semi").select(names))
+    return met.distinct()
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -199,7 +242,7 @@ def may_link(n1: np.ndarray, n2: np.ndarray, differing: np.ndarray) -> np.ndarra
     return 9 * ((n1 + n2 - differing) // 2) >= 4 * (n1 + n2)
 
 
-def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
+def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str, buckets: int, clashes: np.ndarray) -> DataFrame:
     """cls, n, bitmap and the compressed text of one row of each wanted class, dealt by class."""
     source = texts(docs, key)
     kind = source.schema[0].dataType.simpleString()
@@ -211,7 +254,7 @@ def stored_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, key: str,
                 values, bounds = sets_of(chunk)
                 raw = [squeeze(chunk.text(i)) for i in range(chunk.n)]
                 maps = [bitmap(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(classes_of(values, bounds)), pa.array(np.diff(bounds)), pa.array(maps, pa.binary()), pa.array(raw, pa.binary())], names=[key, "cls", "n", "bits", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(classes_of(values, bounds, clashes)), pa.array(np.diff(bounds)), pa.array(maps, pa.binary()), pa.array(raw, pa.binary())], names=[key, "cls", "n", "bits", "packed"])
 
     rows = source.mapInArrow(pack, f"`{key}` {kind}, cls long, n long, bits binary, packed binary").withColumnRenamed(key, "_row")
     chosen = named.groupBy("cls").agg(F.min(key).alias("_first")).join(wanted.hint("merge"), "cls", "left_semi")
@@ -358,12 +401,15 @@ def tile_pairs(members: DataFrame, stored: DataFrame) -> DataFrame:
     spread = sizes.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("total")).filter("comps > 1")
     spread = written(spread, "spread")  # likewise
     open_ = members.join(spread, "gid").join(stored.select("cls", "bits"), "cls")
-    banded = open_.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.3)))).withColumn("tile", F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / TILE)))
+    tiles_ = F.ceil(F.col("total") / TILE)
+    banded = open_.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.3)))).withColumn("tiles", tiles_).withColumn("tile", F.pmod(F.xxhash64("cls"), tiles_))
     packed = F.collect_list(F.struct("cls", "n", "comp", "bits"))
     every = banded.groupBy("gid", "band", "tile").agg(packed.alias("right"))
-    odd = banded.filter("comp <> main").groupBy("gid", "band", "tile").agg(packed.alias("left"))
-    reach = odd.select("gid", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "left")
-    tiles = reach.join(every.select("gid", "band", "right"), ["gid", "band"]).select("left", "right")
+    odd = banded.filter("comp <> main").groupBy("gid", "band", "tile", "tiles").agg(packed.alias("left"))
+    # each pair of tiles has a key of its own, so a large group is dealt over all tasks
+    bands = odd.select("gid", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "tiles", "left")
+    reach = bands.select("gid", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "left")
+    tiles = reach.join(every, ["gid", "band", "tile"]).select("left", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,22 +445,44 @@ def with_components(members: DataFrame, links: list[DataFrame]) -> tuple[DataFra
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, one row per row of docs."""
-    named, of_class = jaccard_classes(docs, key)
+    named, of_class, _ = jaccard_classes(docs, key)
     own = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("_component_id"))
     return named.join(of_class, "cls").select(key, "n_shingles", own.alias("component_id"))
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """key, n_shingles and cls of every row; cls, component (a class of it) and _component_id of every class."""
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay: one of each component, of its least key, and each row without shingles.
+
+    A null key comes after all others. Rows that share a key but not a component all stay.
+    """
+    named, of_class, clashes = jaccard_classes(docs, key)
+    first = F.min(F.struct(F.col(key).isNull(), key, "cls")).alias("first")
+    chosen = named.filter("n_shingles > 0").join(of_class.select("cls", "component"), "cls").groupBy("component").agg(first)
+    kept = written(chosen.select(F.col("first").getField(key).alias(key), "first.cls"), "kept")
+    name, cls = free_name(docs, "_kept"), free_name(docs, "_class")
+    if named.groupBy(key).count().filter("count > 1").isEmpty():  # then the key alone names a row
+        ids = kept.select(key).unionByName(named.filter("n_shingles = 0").select(key)).withColumnRenamed(key, name)
+        return docs.join(ids.hint("merge"), docs[key].eqNullSafe(F.col(name)), "left_semi")
+    classed = with_class(docs, cls, clashes)
+    ids = kept.select(F.col(key).alias(name), F.col("cls").alias(f"{name}_class"))
+    same = (F.col(cls) == F.col(f"{name}_class")) & F.col(key).eqNullSafe(F.col(name))
+    stay = classed.join(ids.hint("merge"), same, "left_semi").dropDuplicates([key, cls])
+    return stay.unionByName(classed.filter(F.col(cls).isNull())).select(docs.columns)
+
+
+def jaccard_classes(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """key, n_shingles and cls of every row; cls, component (a class of it) and _component_id of every class; clashes of names."""
     spark = docs.sparkSession
-    named = written(named_sets(docs, key), "named")
+    named, clashes = named_apart(docs, key)
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(max(int(total).bit_length() - 7, 12), 22)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(width, -(-(total // 5) // PARTITION_POSTINGS))
     levels = frequency_levels(docs, bits)
-    members = written(groups(posted(docs, levels, bits, 8 * partitions), partitions), "groups")
-    stored, name = bucketed(stored_sets(docs, named, members.select("cls").distinct(), key, partitions), "cls", partitions)
+    load = max(int(total) >> bits, 1).bit_length()  # of a mean cell: where cells are many shingles' the sketch is coarse, not hot
+    postings = posted(docs, levels, bits, 8 * partitions, clashes, max(HOT_LEVEL, load + 2))
+    members = written(groups(postings, partitions), "groups")
+    stored, name = bucketed(stored_sets(docs, named, members.select("cls").distinct(), key, partitions, clashes), "cls", partitions)
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
 
@@ -434,9 +502,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, Da
     verify(tile_pairs(current, stored))
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     _, found = with_components(members, links)
-    least = named.groupBy("cls").agg(F.min(key).alias("_least")).join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    by_component = least.groupBy("component").agg(F.min("_least").alias("_component_id"))
-    return named, least.join(by_component, "component").select("cls", "component", "_component_id")
+    least = named.groupBy("cls").agg(F.min(key).alias("_least"))
+    linked = written(least.join(found.withColumnRenamed("id", "cls"), "cls"), "linked")
+    # a component may hold very many classes: its least key goes to SALTS places, its classes to one of them each
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    by_component = linked.groupBy("component").agg(F.min("_least").alias("_component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = linked.withColumn("_salt", salt).join(by_component, ["component", "_salt"]).select("cls", "component", "_component_id")
+    alone = least.join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("component"), F.col("_least").alias("_component_id"))
+    return named, met.unionByName(alone), clashes
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

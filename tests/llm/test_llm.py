@@ -124,6 +124,13 @@ def test_packing(data, empty):
     assert packing.packed(empty, packing.word_tokens(), "doc_id").count() == 0
 
 
+def test_packing_of_keys_with_the_names_of_results(spark):
+    docs = spark.createDataFrame([(1, 2, "a b c"), (3, 4, None)], "piece long, n_tokens long, text string")
+    got = packing.packed(docs, packing.word_tokens(), "piece", "n_tokens")
+    assert got.columns == ["piece", "n_tokens", "piece_1", "first_token", "n_tokens_1", "bin_id", "bin_offset", "bin_length"]
+    assert sorted((r.piece, r.n_tokens, r.piece_1, r.n_tokens_1) for r in got.collect()) == [(1, 2, 0, 4), (3, 4, 0, 1)]
+
+
 # --- 2, near duplicates
 
 
@@ -174,6 +181,58 @@ def test_jaccard_near_copies(spark):
     assert got == brute_components(found)
 
 
+@pytest.mark.parametrize("patch", [{"HOT_LEVEL": 1}, {"TILE": 4}, {"HOT_LEVEL": 1, "TILE": 2}])
+def test_jaccard_near_copies_with_hot_shingles_and_many_tiles(spark, monkeypatch, patch):
+    """Salted postings and groups of many tiles lose no link, and lone hot postings make no groups."""
+    draw = random.Random(13)
+    for k, v in patch.items():
+        monkeypatch.setattr(jaccard_join, k, v)
+    words = [f"w{i}" for i in range(900)]
+    found, shared = [], [draw.choice(words) for _ in range(40)]
+    for family in range(5):
+        base = [draw.choice(words) for _ in range(60)]
+        for i in range(12):
+            copy = list(base)
+            for _ in range(draw.randint(0, 3)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            found.append((len(found), " ".join(copy)))
+    for i in range(40):  # most of each text is one passage, and the texts differ by what makes them link or not
+        found.append((len(found), " ".join(shared + [draw.choice(words) for _ in range(draw.randint(1, 25))])))
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
+    assert got == brute_components(found)
+
+
+def test_lone_hot_postings_make_no_groups(spark, monkeypatch):
+    draw = random.Random(14)
+    docs = spark.createDataFrame([(i, " ".join(f"u{draw.randrange(10**9)}" for _ in range(60))) for i in range(50)], "doc_id long, text string")
+    none = np.zeros(0, np.uint64)
+    levels = jaccard_join.frequency_levels(docs, 12)
+    for hot in (13, 0):
+        assert jaccard_join.groups(jaccard_join.posted(docs, levels, 12, 8, none, hot), 4).isEmpty()
+
+
+def test_unlike_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """First names of four bits only: the second name finds the clashes, and they are named anew."""
+    names = jaccard_join.names_of
+
+    def short(values, bounds):
+        one, two = names(values, bounds)
+        return one & np.uint64(15), two
+
+    draw = random.Random(15)
+    texts = [" ".join(f"w{draw.randrange(500)}" for _ in range(30)) for _ in range(60)]
+    found = [(i, t) for i, t in enumerate([*texts, *texts[:20]])]
+    want = brute_components(found)
+    monkeypatch.setattr(jaccard_join, "names_of", short)
+    values = [jaccard_join.sets_of(kernel.Chunk(0, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))) for t in texts]
+    first = [int(jaccard_join.classes_of(*v, np.zeros(0, np.uint64))[0]) for v in values]
+    clashes = np.array(sorted({x for x in first if first.count(x) > 1}), np.uint64)
+    apart = [int(jaccard_join.classes_of(*v, clashes)[0]) for v in values]
+    assert len(set(first)) <= 16 and len(set(apart)) == len(set(texts))
+    assert want == brute_components(found)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_bitmaps_bound_the_overlap(seed):
     draw = np.random.default_rng(seed)
@@ -282,6 +341,22 @@ def test_token_round_trip(spark, data, empty):
     assert token_files.token_round_trip(empty, path).count() == 0
 
 
+def test_token_files_of_string_keys(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none")], "doc_id string, text string")
+    got = token_files.token_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "a", "b"]
+
+
+def test_rans_blocks_of_wide_ids():
+    draw = np.random.default_rng(3)
+    ids = draw.integers(0, 90_000, 5_000).astype(np.uint32)
+    table = token_files.Frequencies(token_files.scaled(np.bincount(ids, minlength=100_000)))
+    made = token_files.pack(ids, table)
+    assert (token_files.unpack(made["n_tokens"], made["states"], made["places"], made["stream"], table) == ids).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 300_001])
 def test_rans_blocks(n):
     draw = np.random.default_rng(n)
@@ -359,6 +434,18 @@ def test_decontamination(spark, data, empty):
     assert decontamination.benchmark_hits(docs, benchmark.limit(0)).filter(F.size("hits") > 0).count() == 0
 
 
+def test_short_items_stand_alone(spark):
+    """Items of a few characters are found whole between borders, whatever the type of their ids."""
+    items = [("a", "Nile delta"), ("b", "blue cat sat on"), ("c", "42"), ("d", " "), ("e", "¿qué?")]
+    texts = ["the NILE DELTA.", "nile deltas", "a blue cat sat on a mat", "4242 and 420", "x 42", "¿QUÉ?no", "blue cat sat only, blue cat sat on", ""]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    hits = decontamination.benchmark_hits(docs, spark.createDataFrame(items, "item_id string, text string")).collect()
+    got = {(r.doc_id, h.item_id, h.start, h.end) for r in hits for h in r.hits}
+    assert got == {("d0", "a", 4, 14), ("d2", "b", 2, 17), ("d4", "c", 2, 4), ("d5", "e", 0, 5), ("d6", "b", 19, 34)}
+    least = decontamination.benchmark_hits(docs, spark.createDataFrame(items, "item_id string, text string"), least=16).collect()
+    assert not any(r.hits for r in least)
+
+
 def test_case_costs_no_edits(spark):
     """Shouted copies of items rich in accents and sharp s are found at distance 0, at their own places."""
     draw = random.Random(6)
