@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.decontamination import benchmark_hits
-from helixframe.llm.jaccard_join import jaccard_classes, with_class
+from helixframe.llm.jaccard_join import one_of_each
 from helixframe.llm.packing import packed, word_tokens
 from helixframe.llm.quality_rules import quality_filter
 from helixframe.llm.secret_scan import redacted
@@ -31,19 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the 4/5 Jaccard graph, of its least doc_id, and each text without shingles."""
-    named, of_class = jaccard_classes(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls")).alias("first")
-    chosen = named.filter("n_shingles > 0").join(of_class.select("cls", "component"), "cls").groupBy("component").agg(first)
-    kept = written(chosen.select("first.doc_id", "first.cls"), "kept")
-    name, cls = free_name(docs, "_kept"), free_name(docs, "_class")
-    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():  # then the id alone names a row
-        ids = kept.select("doc_id").unionByName(named.filter("n_shingles = 0").select("doc_id")).withColumnRenamed("doc_id", name)
-        return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
-    classed = with_class(docs, cls)
-    ids = kept.select(F.col("doc_id").alias(name), F.col("cls").alias(f"{name}_class"))
-    same = (F.col(cls) == F.col(f"{name}_class")) & F.col("doc_id").eqNullSafe(F.col(name))
-    stay = classed.join(ids.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", cls])
-    return stay.unionByName(classed.filter(F.col(cls).isNull())).select(docs.columns)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
