@@ -29,7 +29,7 @@ WIDTH = 5
 BANDS = 96
 CONTAINMENT = 0.8
 
-# Short license statements and the opening words of well-known license texts.
+# Public license statements. Long licenses stand in parts, so that a text that holds one part is found.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "MIT line": "Released under the MIT License.",
@@ -37,13 +37,105 @@ TEMPLATES = {
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "BSD line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
-    "BSD text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "GPL notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "EPL-2.0 notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which "
+        "is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Apache-2.0 notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ),
+    "GPL notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."
+    ),
+    "LGPL notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version."
+    ),
+    "AGPL notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."
+    ),
+    "GPL warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "MIT grant": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
+    "MIT disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."
+    ),
+    "BSD third clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "BSD disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "ISC disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE."
+    ),
+    "zlib text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+        "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+        "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+        "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "BSL-1.0 grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and "
+        "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software "
+        "is furnished to do so"
+    ),
 }
 
 _MARK = np.zeros(256, bool)
@@ -124,26 +216,41 @@ def retrieved(values: np.ndarray, templates: Templates, bands: int = BANDS) -> d
     return {i: np.unique(np.concatenate(h)[:, None] + np.array([-2, -1, 0])) * (1 << (max(len(templates.sets[i]), 1).bit_length() - 1)) for i, h in found.items()}
 
 
+def best_share(values: np.ndarray, wanted: np.ndarray, width: int) -> float:
+    """The greatest share of the wanted (sorted, distinct) that any `width` consecutive values hold."""
+    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+    places = np.flatnonzero(wanted[at] == values)
+    held: dict[int, int] = {}
+    best = first = 0
+    marks = at[places].tolist()
+    for i, (place, mark) in enumerate(zip(places.tolist(), marks)):
+        held[mark] = held.get(mark, 0) + 1
+        while places[first] <= place - width:
+            held[marks[first]] -= 1
+            if not held[marks[first]]:
+                del held[marks[first]]
+            first += 1
+        best = max(best, len(held))
+    return best / len(wanted)
+
+
 def find(chunk: Chunk, templates: Templates, threshold: float = CONTAINMENT) -> dict[int, list[tuple[int, float]]]:
     """Row in the chunk -> (template, containment) of the verified templates."""
     values, bounds = shingles(chunk)
     words = np.diff(license_words(chunk).words[2])
-    out: dict[int, dict[int, float]] = {}
+    out: dict[int, list[tuple[int, float]]] = {}
     if not len(values):
         return {}
-    for i, starts in retrieved(values, templates).items():
+    for i, starts in sorted(retrieved(values, templates).items()):
         wanted = templates.sets[i]
-        size = 1 << (max(len(wanted), 1).bit_length() - 1)
-        for start in starts.tolist():
-            low, high = max(0, start), min(len(values), start + 3 * size)
-            first, last = np.searchsorted(bounds, [low, high - 1], "right") - 1
-            for doc in range(int(first), int(last) + 1):
-                a, b = max(low, int(bounds[doc])), min(high, int(bounds[doc + 1]))
-                if a < b and words[doc] >= WIDTH:
-                    share = len(np.intersect1d(values[a:b], wanted)) / len(wanted)
-                    if share >= threshold and share > out.setdefault(doc, {}).get(i, 0.0):
-                        out[doc][i] = share
-    return {doc: sorted(x.items()) for doc, x in out.items() if x}
+        width = 3 << (max(len(wanted), 1).bit_length() - 1)
+        first, last = (np.searchsorted(bounds, x, "right") - 1 for x in (np.clip(starts, 0, len(values) - 1), np.clip(starts + width - 1, 0, len(values) - 1)))
+        touched = np.unique(np.concatenate([first, last, *(np.arange(a, b) for a, b in zip(first.tolist(), last.tolist()) if b > a + 1)]))
+        for doc in touched[words[touched] >= WIDTH].tolist():
+            share = best_share(values[bounds[doc] : bounds[doc + 1]], wanted, width)
+            if share >= threshold:
+                out.setdefault(doc, []).append((i, share))
+    return out
 
 
 def license_hits(docs: DataFrame, key: str = "doc_id", templates: Mapping[str, str] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:

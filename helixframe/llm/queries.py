@@ -74,4 +74,17 @@ k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.r = e.a)
 SELECT l.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM l LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS component_id FROM r GROUP BY id) c ON c.id = l.doc_id"""
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
+_SUBSTRING_SQL = r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM w),
+r AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f WHERE again),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, run),
+i AS (SELECT doc_id, a, b, sum(CAST(coalesce(a > reach, true) AS INT)) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u)),
+s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM i GROUP BY doc_id, island),
+g AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, -1, 0 FROM d)),
+t AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone FROM s GROUP BY doc_id)
+SELECT d.doc_id, any_value(length(h) // 2) AS n_bytes, any_value(CAST(coalesce(gone, 0) AS BIGINT)) AS n_removed, any_value(coalesce(n, 0)) AS n_spans,
+sha256(unhex(coalesce(string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a), ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) JOIN g USING (doc_id) GROUP BY d.doc_id"""
+
+ORACLES: dict[str, str] = {"op7_substring_dedup": _SUBSTRING_SQL, "op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}

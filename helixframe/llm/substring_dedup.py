@@ -39,6 +39,7 @@ REACH = LENGTH - GRAM
 CHUNK = 1 << 20
 FLUSH = 200_000
 EDGE_FLUSH = 10_000
+PARTITION_BYTES = 1 << 25
 MOST_CONTEXTS = 8
 NULL_ID = -(1 << 63)
 _SECOND = byte_values(91)
@@ -494,7 +495,8 @@ def substring_removal(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256, one row per row of docs."""
     spark = docs.sparkSession
     source = texts(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), "text"), "doc")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     steps = written(grouped(parsed(source, 8 * width), width), "marks")
     of_kind = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("payload")))
     per_doc = steps.groupBy("doc", "tag").agg(of_kind(MARKS).alias("marks"), of_kind(EDGES).alias("edges"))

@@ -384,6 +384,44 @@ def test_licenses(spark, data, empty):
     assert license_scan.license_hits(empty).count() == 0
 
 
+def brute_licenses(text, threshold):
+    """Greatest share of each template's shingles in any window of its class' width, by sets of words."""
+    def shingles(t):
+        chunk = kernel.Chunk(0, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        w = WORD.findall(license_scan.license_words(chunk).data.tobytes().decode())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    out = {}
+    mine = shingles(text)
+    for name, template in license_scan.TEMPLATES.items():
+        wanted = set(shingles(template))
+        width = 3 << (len(wanted).bit_length() - 1)
+        share = max((len(wanted & set(mine[i : i + width])) for i in range(max(1, len(mine) - width + 1))), default=0) / len(wanted)
+        if share >= threshold:
+            out[name] = share
+    return out
+
+
+def test_licenses_equal_exact_containment(spark):
+    """Damaged, scattered and doubled templates at containments around the threshold: every hit and its share."""
+    draw = random.Random(19)
+    filler = lambda n: " ".join("".join(draw.choices("qwertz", k=5)) for _ in range(n))
+    found = []
+    for template in license_scan.TEMPLATES.values():
+        for _ in range(6):
+            words = template.split()
+            for _ in range(draw.randint(0, max(1, len(words) // 40))):
+                words[draw.randrange(len(words))] = draw.choice(["", "changed", "one two"])
+            cut = draw.randrange(len(words))
+            text = " ".join([filler(draw.randint(0, 60)), *words[:cut], filler(draw.choice([0, 0, 3])), *words[cut:], filler(draw.randint(0, 60))])
+            found.append((len(found), text))
+    docs = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.license_hits(docs).collect()}
+    want = {(i, name): share for i, t in found for name, share in brute_licenses(t, 0.8).items()}
+    assert got == pytest.approx(want)
+    assert 0 < sum(share < 1 for share in want.values())
+
+
 # --- 6, decontamination
 
 
