@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..storage import written as cut_lineage
 
 
@@ -69,16 +70,16 @@ def representative(grouped: DataFrame) -> DataFrame:
 
 
 def label_components(components: DataFrame, prefix: str = "LD_") -> DataFrame:
-    """Labels numbered by the order of the components' least nodes; the number of components sorts in one task."""
-    roots = components.select("component").distinct()
-    numbered = roots.withColumn("label", F.concat(F.lit(prefix), F.row_number().over(Window.orderBy("component"))))
-    return components.join(numbered, "component").select("id", "label")
+    """Labels numbered by the order of the components' least nodes."""
+    roots = numbered(components.select("component").distinct(), ["component"])
+    return components.join(roots, "component").select("id", F.concat(F.lit(prefix), "number").alias("label"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4, most_links: int = 5_000_000) -> DataFrame:
     """(id, grp): dense components whole, sparse ones split by deterministic modularity moves.
 
-    One component is one task, so this is for components of bounded size; grp is the least member.
+    A component is split in one task and must have at most `most_links` links, or it raises; grp is the
+    least member.
     """
     comp = components_with_nodes(nodes, edges)
     dense = density(comp, edges).select("component", F.coalesce(F.col("density") >= least_density, F.lit(True)).alias("whole"))
@@ -89,6 +90,8 @@ def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4)
     def split(key: tuple, part):
         import pandas as pd
 
+        if len(part) > most_links:
+            raise ValueError(f"component {key[0]} has more than {most_links} links")
         near: dict[int, set[int]] = {}
         for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
             near.setdefault(a, set()).add(b)
@@ -125,42 +128,46 @@ def longest_per_component(components: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("component", (-F.col("b.o")).alias("id"), F.when(F.col("ref"), "_InRef").otherwise("_OutRef").alias("tag"))
 
 
-def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100, max_rounds: int = 50) -> DataFrame:
+def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100) -> DataFrame:
     """Genes left after dropping, per component and round, the last gene with under `least` own bases.
 
-    genes (id, len); regions (id, other, lo, hi): stretches of id identical to stretches of other.
+    genes (id, len); regions (id, other, lo, hi): stretches of id identical to stretches of other. A gene
+    only changes by its neighbours' going, and only genes of larger id go before it; so all low genes
+    without a low neighbour of larger id go at once, which leaves the same genes in fewer rounds.
     """
     from .intervals import union
 
     alive = genes
-    for _ in range(max_rounds):
+    while True:
         ids = alive.select("id")
         here = regions.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other")
         shared = union(here, ["id"]).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
         low = alive.join(shared, "id").filter(F.col("len") - F.col("b") < least).select("id")
         links = here.join(low, "id", "left_semi").join(low.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-        drop = cut_lineage(components_with_nodes(low, links).groupBy("component").agg(F.max("id").alias("id")).select("id"), "drop")
+        later = links.filter("dst > src").select(F.col("src").alias("id")).unionByName(links.filter("src > dst").select(F.col("dst").alias("id")))
+        drop = cut_lineage(low.join(later, "id", "left_anti").distinct(), "drop")
         if drop.isEmpty():
             return alive
         alive = cut_lineage(alive.join(drop, "id", "left_anti"), "alive")
-    raise RuntimeError("redundancy peel did not settle")
 
 
 def trim_segments(segments: DataFrame, links: DataFrame, drop: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """Contract the dropped segments: every predecessor linked to every successor, orientations kept.
 
     links (id1, dir1, id2, dir2). Each round contracts an independent set, the dropped segments that
-    have no dropped neighbour of smaller id, which leaves the same links as one at a time.
+    have no dropped neighbour of smaller priority, which leaves the same links as one at a time. The
+    priorities are hashes drawn anew each round, so rounds grow with the logarithm of a run's length.
     """
     names = ["id1", "dir1", "id2", "dir2"]
     left = drop.select("id").distinct()
     links = cut_lineage(links.select(names).distinct(), "links")
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         if left.isEmpty():
             return segments.join(drop.select("id"), "id", "left_anti"), links
         a, b = left.select(F.col("id").alias("id1")), left.select(F.col("id").alias("id2"))
         between = links.join(a, "id1", "left_semi").join(b, "id2", "left_semi").filter("id1 <> id2")
-        larger = between.select(F.greatest("id1", "id2").alias("id")).distinct()
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("id"))
+        larger = between.select(F.greatest(place("id1"), place("id2"))["id"].alias("id")).distinct()
         now = cut_lineage(left.join(larger, "id", "left_anti"), "now")
         gone1, gone2 = now.select(F.col("id").alias("id1")), now.select(F.col("id").alias("id2"))
         into = links.join(gone2, "id2", "left_semi").filter("id1 <> id2").select(F.col("id1").alias("u"), F.col("dir1").alias("du"), F.col("id2").alias("x"))

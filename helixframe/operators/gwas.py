@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.stats import average_rank, chi2_inv_1, norm_inv
-from .graph import connected_components, cut_lineage
+from ..functions.numbering import numbered
+from .graph import connected_components
 
+BLOCK = 256
+_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
 # The feature types that have a location.
 LOCATED = ("gene", "pseudogene", "transposable_element_gene", "blocked_reading_frame")
 
@@ -30,8 +35,7 @@ def cnv_locations(gff: DataFrame, extra: DataFrame, kinds: Sequence[str] = LOCAT
 
 def dictionary_encode(df: DataFrame, column: str) -> DataFrame:
     """code: 1 .. n in order of the distinct values, which are ranked apart from the rows."""
-    ids = df.select(column).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)).cast("long"))
-    return df.join(ids, column)
+    return df.join(numbered(df.select(column).distinct(), [column], "code"), column)
 
 
 def ped_rows(genotypes: DataFrame, variants: DataFrame) -> DataFrame:
@@ -62,11 +66,16 @@ def genomic_inflation(assoc: DataFrame, p: str = "p") -> DataFrame:
 
 def permute(pheno: DataFrame, permutations: int, seed: int, key: str = "strain", value: str = "value") -> DataFrame:
     """key, perm, value: values shuffled over keys in each permutation, from hashes alone."""
-    grid = pheno.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    shuffled = Window.partitionBy("perm").orderBy(F.xxhash64(key, "perm", F.lit(seed)), key)
-    a = grid.select(key, "perm", F.row_number().over(Window.partitionBy("perm").orderBy(key)).alias("r"))
-    b = grid.select("perm", value, F.row_number().over(shuffled).alias("r"))
-    return a.join(b, ["perm", "r"]).select(key, "perm", value)
+    every = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+    places = numbered(pheno.select(key), [key], "r").select(key, "r", every)
+    drawn = pheno.select(key, value, every).withColumn("h", F.xxhash64(key, "perm", F.lit(seed)))
+    binned = drawn.withColumn("b", F.shiftright("h", 64 - 8))  # ranges of the hash, so that no task sorts a whole permutation
+    counts = binned.groupBy("perm", "b").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("perm").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("perm", "b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("perm", "b").orderBy("h", key))
+    ranked = binned.withColumn("own", own).join(starts, ["perm", "b"]).select("perm", value, (F.col("own") + F.col("start")).alias("r"))
+    return places.join(ranked, ["perm", "r"]).select(key, "perm", value)
 
 
 def batch_of(perm: Column, size: int = 101) -> Column:
@@ -94,9 +103,27 @@ def ld_pairs(dosage: DataFrame, window: int, least: float) -> DataFrame:
     left = sites.select("chrom", F.col("variant").alias("a"), F.col("pos").alias("pa"), F.explode(F.array(F.floor(F.col("pos") / window), F.floor(F.col("pos") / window) + 1)).alias("bin"))
     right = sites.select("chrom", F.col("variant").alias("b"), F.col("pos").alias("pb"), F.floor(F.col("pos") / window).alias("bin"))
     near = left.join(right, ["chrom", "bin"]).filter("pb - pa between 0 and " + str(window)).filter("pa < pb or a < b").select("a", "b")
-    x = dosage.select(F.col("variant").alias("a"), "sample", F.col("dose").alias("x"))
-    y = dosage.select(F.col("variant").alias("b"), "sample", F.col("dose").alias("y"))
-    sums = near.join(x, "a").join(y, ["b", "sample"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    doses = dosage.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("sample", F.col("dose").cast("long").alias("dose")))).alias("d"))
+    x, y = (doses.select(F.col("variant").alias(v), F.col("d").alias(d)) for v, d in (("a", "x"), ("b", "y")))
+
+    def correlate(batches):
+        for batch in batches:
+            sides = []
+            for name in ("x", "y"):
+                column = batch.column(batch.schema.get_field_index(name))
+                cells, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
+                sides.append((np.array(cells.field("sample")), np.array(cells.field("dose")), np.concatenate([[0], np.cumsum(sizes)])))
+            (s1, d1, o1), (s2, d2, o2) = sides
+            out = np.zeros((batch.num_rows, 6), np.int64)
+            for i in range(batch.num_rows):
+                _, p, q = np.intersect1d(s1[o1[i] : o1[i + 1]], s2[o2[i] : o2[i + 1]], assume_unique=True, return_indices=True)
+                u, w = d1[o1[i] : o1[i + 1]][p], d2[o2[i] : o2[i + 1]][q]
+                out[i] = len(u), u.sum(), w.sum(), (u * w).sum(), (u * u).sum(), (w * w).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in out.T)], names=["a", "b", *_SUMS])
+
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
+    joined = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    sums = joined.mapInArrow(correlate, f"a {kinds['a']}, b {kinds['b']}, " + ", ".join(f"{n} long" for n in _SUMS))
     one = F.lit(1).cast("double")
     cov = one * F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     var = (one * F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (one * F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
@@ -108,8 +135,8 @@ def ld_groups(assoc: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFra
     ids = assoc.select("snp", F.col(order).alias("id"))
     edges = pairs.join(ids.select(F.col("snp").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("snp").alias("b"), F.col("id").alias("dst")), "b")
     comp = ids.join(connected_components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    roots = comp.select("component").distinct().withColumn("label", F.concat(F.lit("LD_"), F.row_number().over(Window.orderBy("component"))))
-    return comp.join(roots, "component").select("snp", "label")
+    roots = numbered(comp.select("component").distinct(), ["component"])
+    return comp.join(roots, "component").select("snp", F.concat(F.lit("LD_"), "number").alias("label"))
 
 
 def mask_genotypes(calls: DataFrame, depth: int = 10, quality: int = 20) -> DataFrame:
@@ -155,7 +182,12 @@ def common(tags: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def ld_prune(pairs: DataFrame, sites: DataFrame) -> DataFrame:
-    """variant, kept: in order of place, a variant goes if linked to a kept earlier one. A chromosome is a task."""
+    """variant, kept: in order of place, a variant goes if linked to a kept earlier one.
+
+    Only variants that links connect bear on each other, so a component of links is a task, and a
+    variant without links is kept without any.
+    """
+
     def prune(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
         for a, b in zip(right["a"], right["b"]):
@@ -168,8 +200,11 @@ def ld_prune(pairs: DataFrame, sites: DataFrame) -> DataFrame:
                 kept.add(v)
         return pd.DataFrame({"variant": ordered, "kept": [v in kept for v in ordered]})
 
-    where = sites.select(F.col("variant").alias("a"), F.col("chrom").alias("of_chrom"))
-    return sites.groupBy("chrom").cogroup(pairs.join(where, "a").groupBy("of_chrom")).applyInPandas(prune, "variant long, kept boolean")
+    comp = connected_components(pairs, "a", "b").withColumnRenamed("id", "variant")
+    linked = sites.select("variant", "pos").join(comp, "variant")
+    links = pairs.select("a", "b").join(comp.select(F.col("variant").alias("a"), F.col("component").alias("of")), "a")
+    pruned = linked.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(prune, "variant long, kept boolean")
+    return pruned.unionByName(sites.join(comp, "variant", "left_anti").select("variant", F.lit(True).alias("kept")))
 
 
 def merge_types(**matrices: DataFrame) -> DataFrame:
@@ -244,51 +279,96 @@ def heritability_pivot(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def model_grid(phenotypes: DataFrame, kinships: DataFrame) -> DataFrame:
-    return phenotypes.crossJoin(F.broadcast(kinships))
+    return phenotypes.crossJoin(kinships)
 
 
-def kinship(dosage: DataFrame, power: float = -0.25) -> DataFrame:
-    """(a, b, k): mean over variants of products of centred doses, scaled by (2f(1-f)) ** power each."""
-    freq = dosage.groupBy("variant").agg((F.avg("dose") / 2).alias("f")).filter("f > 0 and f < 1")
-    scaled = dosage.join(freq, "variant").select("variant", "sample", ((F.col("dose") - 2 * F.col("f")) * F.pow(2 * F.col("f") * (1 - F.col("f")), F.lit(power))).alias("z"))
-    left, right = scaled.select("variant", F.col("sample").alias("a"), F.col("z").alias("x")), scaled.select("variant", F.col("sample").alias("b"), F.col("z").alias("y"))
-    return left.join(right, "variant").filter("a <= b").groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("k"))
-
+def kinship(dosage: DataFrame, power: float = -0.25, kept: DataFrame | None = None) -> DataFrame:
+    """(a, b, k): mean over variants of products of centred doses, each scaled by (2f(1-f)) ** (power / 2).
 
-def neighbour_joining(distances: DataFrame, most: int = 2_000) -> list[tuple[int, int, float, float]]:
-    """Joins of the neighbour-joining tree from (a, b, d); for a bounded number of samples, on the driver."""
+    A product then carries (2f(1-f)) ** power; power -1 gives standardised doses. kept (variant) is the
+    thinned set, if any. Doses meet in blocks of BLOCK samples, so a variant makes a row for each pair of
+    blocks, not for each pair of samples, and a task adds up matrices.
+    """
+    if kept is not None:
+        dosage = dosage.join(kept.select("variant").distinct(), "variant", "left_semi")
+    freq = dosage.groupBy("variant").agg((F.avg("dose") / 2).alias("f")).filter("f > 0 and f < 1")
+    z = (F.col("dose") - 2 * F.col("f")) * F.pow(2 * F.col("f") * (1 - F.col("f")), F.lit(power / 2))
+    order = numbered(dosage.select("sample").distinct(), ["sample"], "place").withColumn("place", F.col("place") - 1)
+    cells = F.collect_list(F.struct((F.col("place") % BLOCK).cast("int").alias("at"), F.col("z").alias("z")))
+    scaled = dosage.join(freq, "variant").select("variant", "sample", z.alias("z")).join(order, "sample")
+    blocks = scaled.groupBy("variant", F.floor(F.col("place") / BLOCK).alias("block")).agg(cells.alias("cells"))
+    one, two = (blocks.select("variant", F.col("block").alias(b), F.col("cells").alias(c)) for b, c in (("p", "x"), ("q", "y")))
+    pairs = one.join(two, "variant").filter("p <= q").select("p", "q", "x", "y")
+
+    def add(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                cells, owner = column.flatten(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+                dense, there = np.zeros((len(column), BLOCK)), np.zeros((len(column), BLOCK))
+                at = np.array(cells.field("at"))
+                dense[owner, at], there[owner, at] = np.array(cells.field("z")), 1
+                sides.append((dense, there))
+            for name in sorted(set(names)):
+                rows = [i for i, n in enumerate(names) if n == name]
+                (x, u), (y, v) = ((d[rows], t[rows]) for d, t in sides)
+                sums[name] = sums.get(name, 0) + np.stack([x.T @ y, u.T @ v])
+        for (p, q), (total, n) in sums.items():
+            i, j = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(p * BLOCK + i), pa.array(q * BLOCK + j), pa.array(total[i, j]), pa.array(n[i, j])], names=["i", "j", "s", "n"])
+
+    added = pairs.mapInArrow(add, "i long, j long, s double, n double").filter("i <= j").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("k"))
+    left, right = (order.select(F.col("place").alias(i), F.col("sample").alias(s)) for i, s in (("i", "a"), ("j", "b")))
+    return added.join(left, "i").join(right, "j").select("a", "b", "k")
+
+
+def neighbour_joining(distances: DataFrame, most: int = 2_000, weighted: bool = True) -> list[tuple[int, int, float, float]]:
+    """Joins of the neighbour-joining tree from (a, b, d); for a bounded number of samples, on the driver.
+
+    Each row joins two nodes under a new one, numbered on from the largest id, with the lengths of their
+    branches; the last row is the one branch between the two nodes that are left, with length 0 on the
+    other side. Weighted joins (BIONJ) mix the two rows of distances by their variances, which start as
+    the distances themselves; otherwise by halves.
+    """
     rows = distances.limit(most * most + 1).collect()
-    if len(rows) > most * most:
+    ids = sorted({r.a for r in rows} | {r.b for r in rows})
+    if len(ids) > most or len(rows) > most * most:
         raise ValueError(f"more than {most} samples")
-    d: dict[int, dict[int, float]] = {}
+    d = np.zeros((len(ids), len(ids)))
+    at = {s: i for i, s in enumerate(ids)}
     for r in rows:
-        d.setdefault(r.a, {})[r.b] = r.d
-        d.setdefault(r.b, {})[r.a] = r.d
-    out, new = [], max(d, default=0) + 1
-    while len(d) > 2:
-        n = len(d)
-        total = {i: sum(v for j, v in d[i].items() if j != i) for i in d}
-        i, j = min(((i, j) for i in d for j in d if i < j), key=lambda p: ((n - 2) * d[p[0]][p[1]] - total[p[0]] - total[p[1]], p))
-        half = d[i][j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
-        out.append((i, j, half, d[i][j] - half))
-        row = {k: (d[i][k] + d[j][k] - d[i][j]) / 2 for k in d if k not in (i, j)}
-        for k in (i, j):
-            del d[k]
-        for k in d:
-            d[k] = {m: v for m, v in d[k].items() if m not in (i, j)} | {new: row[k]}
-        d[new] = row
+        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.d if r.a != r.b else 0.0
+    variance = d.copy()
+    out, new = [], max(ids, default=0) + 1
+    while len(ids) > 2:
+        n = len(ids)
+        total = d.sum(0)
+        score = (n - 2) * d - total - total[:, None]
+        score[np.tril_indices(n)] = np.inf
+        i, j = np.unravel_index(int(np.argmin(score)), score.shape)
+        half = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
+        out.append((ids[i], ids[j], float(half), float(d[i, j] - half)))
+        rest = np.setdiff1d(np.arange(n), [i, j])
+        share = 0.5
+        if weighted and variance[i, j] > 0:
+            share = float(np.clip(0.5 + (variance[j, rest] - variance[i, rest]).sum() / (2 * (n - 2) * variance[i, j]), 0, 1))
+        row = share * (d[i, rest] - half) + (1 - share) * (d[j, rest] - (d[i, j] - half))
+        spread = share * variance[i, rest] + (1 - share) * variance[j, rest] - share * (1 - share) * variance[i, j]
+        d, variance = (np.block([[m[np.ix_(rest, rest)], r[:, None]], [r[None], np.zeros((1, 1))]]) for m, r in ((d, row), (variance, spread)))
+        ids = [ids[k] for k in rest] + [new]
         new += 1
+    if len(ids) == 2:
+        out.append((ids[0], ids[1], float(d[0, 1]), 0.0))
     return out
 
 
-
 def principal_components(similarity: DataFrame, n: int = 4, most: int = 3_000) -> DataFrame:
     """sample, pc1 .. pcn from a symmetric (a, b, k) similarity of a bounded number of samples.
 
     The matrix is centred and decomposed on the driver; each vector's largest entry is positive.
     """
-    import numpy as np
-
     rows = similarity.limit(most * most + 1).collect()
     ids = sorted({r.a for r in rows} | {r.b for r in rows})
     if len(ids) > most:

@@ -2,8 +2,8 @@
 
 A set of intervals is any number of rows per key. Canonical sets are disjoint, joined where they
 touch, and come from `union`. Everything is a window or an aggregate over the keys, or an equi-join
-on the keys with a residual range, so Catalyst plans it; `binned_overlaps` adds position bins to the
-equi-key for keys with very many rows.
+on the keys and position bins with a residual range, so Catalyst plans it and a key with very many rows,
+such as a chromosome, is dealt over its bins.
 """
 
 from __future__ import annotations
@@ -78,13 +78,13 @@ def complement(genome: DataFrame, regions: DataFrame, keys: Keys = ("id",)) -> D
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame:
-    """Pairs of rows of a and b that overlap; b's columns get the prefix b_. Equi-join and residual range."""
+    """Pairs of rows of a and b that overlap; b's columns get the prefix b_. For keys with few rows each."""
     other = b.select([F.col(c).alias(c if c in keys else f"b_{c}") for c in b.columns])
     return a.join(other, list(keys)).filter(overlaps(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi")))
 
 
 def binned_overlaps(a: DataFrame, b: DataFrame, keys: Keys = ("id",), width: int = 10_000) -> DataFrame:
-    """The same pairs through position bins: for keys with many rows. Each pair comes from one bin."""
+    """The same pairs through position bins, for keys of any number of rows. Each pair comes from one bin."""
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))
     left = checked(a).withColumn("_bin", bins("lo", "hi"))
     right = checked(b).select([F.col(c).alias(c if c in keys else f"b_{c}") for c in b.columns]).withColumn("_bin", bins("b_lo", "b_hi"))
@@ -92,7 +92,7 @@ def binned_overlaps(a: DataFrame, b: DataFrame, keys: Keys = ("id",), width: int
     return pairs.filter(F.col("_bin") == F.floor(F.greatest("lo", "b_lo") / width)).drop("_bin")
 
 
-def set_overlap_length(a: DataFrame, b: DataFrame, keys: Keys = ("id",), binned: bool = False) -> DataFrame:
+def set_overlap_length(a: DataFrame, b: DataFrame, keys: Keys = ("id",), binned: bool = True) -> DataFrame:
     """Bases that two sets share, per key of a (0 where they share none)."""
     pairs = (binned_overlaps if binned else overlapping)(union(a, keys), union(b, keys), keys)
     shared = pairs.groupBy(*keys).agg(F.sum(overlap_length(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi"))).alias("overlap"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 # Clades from the weakest to the strongest evidence (later ones win), and gene types.
 CLADES = ("Virus", "Bacteria", "Archaea", "Eukaryote", "Fungi", "genus", "sister species", "species")
 ABSENT = "*"
@@ -37,7 +39,7 @@ def group_pairs(groups: DataFrame) -> DataFrame:
 def presence(members: DataFrame, haplotypes: DataFrame) -> DataFrame:
     """grp, haplotype, cell for every group and haplotype: members joined by commas, * if none."""
     cells = members.groupBy("grp", "haplotype").agg(F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("cell"))
-    grid = members.select("grp").distinct().crossJoin(F.broadcast(haplotypes.select("haplotype").distinct()))
+    grid = members.select("grp").distinct().crossJoin(haplotypes.select("haplotype").distinct())
     return grid.join(cells, ["grp", "haplotype"], "left").withColumn("cell", F.coalesce("cell", F.lit(ABSENT)))
 
 
@@ -74,8 +76,8 @@ def chromosome_number(name: Column, other: int = 17) -> Column:
 
 
 def assign_gene_ids(genes: DataFrame) -> DataFrame:
-    order = Window.orderBy("number", "start", "gene")
-    return genes.withColumn("gene_id", F.format_string("YX%05d", F.row_number().over(order)))
+    rows = numbered(genes, ["number", "start", "gene"], "_n")
+    return rows.select(*genes.columns, F.format_string("YX%05d", "_n").alias("gene_id"))
 
 
 def relabel(genes: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -122,7 +124,7 @@ def genes_present(copies: DataFrame) -> DataFrame:
 def clade_flags(hits: DataFrame, taxa: DataFrame) -> DataFrame:
     """One row per hit (id, pident) with the clades of its ;-joined taxids."""
     ids = hits.select("id", "pident", F.explode(F.split("taxids", ";")).alias("t")).withColumn("taxid", F.col("t").cast("int"))
-    return ids.join(F.broadcast(taxa), "taxid", "left").groupBy("id", "pident").agg(F.collect_set("clade").alias("clades"))
+    return ids.join(taxa, "taxid", "left").groupBy("id", "pident").agg(F.collect_set("clade").alias("clades"))
 
 
 def origin_call(flags: DataFrame, sister_identity: float = 93) -> DataFrame:
@@ -199,7 +201,7 @@ def redundant_flag(genes: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def round_robin(df: DataFrame, order: str, parts: int = 16) -> DataFrame:
-    return df.withColumn("part", ((F.row_number().over(Window.orderBy(order)) - 1) % parts + 1).cast("long"))
+    return numbered(df, [order], "_n").select(*df.columns, ((F.col("_n") - 1) % parts + 1).cast("long").alias("part"))
 
 
 def taxid_map(files: DataFrame, replaced: DataFrame, taxa: DataFrame) -> DataFrame:

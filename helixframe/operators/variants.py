@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .graph import components_with_nodes, cut_lineage
 
 SPAN_TYPES = ("DEL", "DUP", "CONTR", "INV")
@@ -114,7 +115,7 @@ def of_types(svs: DataFrame, kinds: Sequence[str]) -> DataFrame:
 def support_vector(df: DataFrame, strains: DataFrame, column: str = "supp_vec") -> DataFrame:
     """One row per variant and strain with 0/1, from a string of flags in strain order (ord from 0)."""
     flags = df.select("id", F.posexplode(F.split(F.col(column), "")).alias("ord", "present")).filter("present <> ''")
-    return flags.join(F.broadcast(strains), "ord").select("id", "strain", F.col("present").cast("int").alias("present"))
+    return flags.join(strains, "ord").select("id", "strain", F.col("present").cast("int").alias("present"))
 
 
 def confirm_singletons(support: DataFrame, best: DataFrame, second_suffix: str = "_2") -> DataFrame:
@@ -156,26 +157,48 @@ def translocation_length(tra: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def link_translocations(tra: DataFrame, distance: int) -> DataFrame:
-    """Pairs (src < dst) of one chromosome pair with both breakpoints nearer than distance: a binned band join."""
-    binned = tra.withColumn("bin", F.floor(F.col("pos") / distance))
-    right = binned.select("chrom", "chrom2", F.col("bin").alias("bin"), F.col("id").alias("dst"), F.col("pos").alias("q1"), F.col("pos2").alias("q2"))
-    left = binned.select("chrom", "chrom2", F.col("id").alias("src"), "pos", "pos2", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    """Pairs (src < dst) of one chromosome pair with both breakpoints nearer than distance: a band join binned on both."""
+    return _near(tra, distance).filter("src < dst").select("src", "dst")
+
+
+def _near(tra: DataFrame, distance: int) -> DataFrame:
+    """Ordered pairs (src, dst) with both breakpoints nearer than distance, and whether they share a cell of the grid."""
+    binned = tra.select("chrom", "chrom2", "id", "pos", "pos2", F.floor(F.col("pos") / distance).alias("bin"), F.floor(F.col("pos2") / distance).alias("bin2"))
+    right = binned.select("chrom", "chrom2", "bin", "bin2", F.col("id").alias("dst"), F.col("pos").alias("q1"), F.col("pos2").alias("q2"))
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    left = binned.withColumnsRenamed({"bin": "own", "bin2": "own2", "id": "src"}).withColumn("bin", around("own")).withColumn("bin2", around("own2"))
     near = (F.abs(F.col("pos") - F.col("q1")) < distance) & (F.abs(F.col("pos2") - F.col("q2")) < distance)
-    return left.join(right, ["chrom", "chrom2", "bin"]).filter((F.col("src") < F.col("dst")) & near).select("src", "dst")
+    same = (F.col("bin") == F.col("own")) & (F.col("bin2") == F.col("own2"))
+    return left.join(right, ["chrom", "chrom2", "bin", "bin2"]).filter(near).select("src", "dst", same.alias("same_cell"))
 
 
-def merge_translocations(tra: DataFrame, distance: int) -> DataFrame:
-    """One row per component: rounded means (half even), sample deviations, members and their number."""
-    comp = components_with_nodes(tra.select("id"), cut_lineage(link_translocations(tra, distance), "tra"))
-    rows = tra.join(comp, "id").groupBy("component")
+def merge_translocations(tra: DataFrame, distance: int, strains: DataFrame | None = None) -> DataFrame:
+    """One row per component: rounded means (half even), sample deviations, members and their number.
+
+    With strains (strain, ord from 0) and a strain of each translocation, also supp_vec: a 0 or 1 for
+    every strain, in their order. Translocations in one cell of a grid as wide as the distance are all
+    near each other, so there a star stands for all pairs.
+    """
+    cell = ["chrom", "chrom2", F.floor(F.col("pos") / distance), F.floor(F.col("pos2") / distance)]
+    stars = tra.select("id", F.min("id").over(Window.partitionBy(*cell)).alias("dst")).filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    across = _near(tra, distance).filter("src < dst and not same_cell").select("src", "dst")
+    comp = components_with_nodes(tra.select("id"), cut_lineage(stars.unionByName(across), "tra"))
+    members = tra.join(comp, "id")
+    rows = members.groupBy("component")
     mean = lambda c: F.rint(F.avg(c)).cast("long").alias(c)
-    return rows.agg(F.min("chrom").alias("chrom"), mean("pos"), F.min("chrom2").alias("chrom2"), mean("pos2"), mean("length"), F.stddev_samp("pos").alias("std1"), F.stddev_samp("pos2").alias("std2"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+    merged = rows.agg(F.min("chrom").alias("chrom"), mean("pos"), F.min("chrom2").alias("chrom2"), mean("pos2"), mean("length"), F.stddev_samp("pos").alias("std1"), F.stddev_samp("pos2").alias("std2"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+    if strains is None:
+        return merged
+    held = members.join(strains, "strain").groupBy("component").agg(F.collect_set("ord").alias("_held"))
+    size = strains.agg(F.max("ord").alias("_last"))
+    flags = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long")), lambda i: F.when(F.array_contains("_held", i), "1").otherwise("0"))
+    return merged.join(held, "component", "left").crossJoin(F.broadcast(size)).withColumn("_held", F.coalesce("_held", F.array().cast("array<bigint>"))).withColumn("supp_vec", F.array_join(flags, "")).drop("_held", "_last")
 
 
 def genomic_number(df: DataFrame, tie: str) -> DataFrame:
     """Running number in order of chromosome number and position."""
     number = F.regexp_extract("chrom", r"(\d+)$", 1).cast("int")
-    return df.withColumn("number", F.row_number().over(Window.orderBy(number, "pos", tie)).cast("long"))
+    return numbered(df, [number, "pos", tie])
 
 
 def impact_regions(svs: DataFrame, margin: int) -> DataFrame:

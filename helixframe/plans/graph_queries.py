@@ -222,9 +222,13 @@ def _(v):
 
 
 @query("tra_merge", LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT src AS a, dst AS b FROM lk UNION SELECT dst, src FROM lk), w AS (SELECT id, id AS r FROM o UNION SELECT w.id, e.b FROM w JOIN e ON w.r = e.a), c AS (SELECT id, min(r) AS component FROM w GROUP BY id)
-SELECT component, min(chrom) AS chrom, CAST(round_even(avg(pos), 0) AS BIGINT) AS pos, CAST(round_even(avg(pos2), 0) AS BIGINT) AS pos2, CAST(round_even(avg(length), 0) AS BIGINT) AS length, round(stddev_samp(pos), 6) AS std1, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS ids, count(*) AS n FROM o JOIN c USING (id) GROUP BY component""")
+SELECT component, min(chrom) AS chrom, CAST(round_even(avg(pos), 0) AS BIGINT) AS pos, CAST(round_even(avg(pos2), 0) AS BIGINT) AS pos2, CAST(round_even(avg(length), 0) AS BIGINT) AS length, round(stddev_samp(pos), 6) AS std1, string_agg(CAST(id AS STRING), ',' ORDER BY id) AS ids, count(*) AS n,
+concat_ws('', """ + ", ".join(f"CASE WHEN bool_or(id % 8 = {i}) THEN '1' ELSE '0' END" for i in range(8)) + """) AS supp_vec FROM o JOIN c USING (id) GROUP BY component""")
 def _(v):
-    return vr.merge_translocations(tra(v), 6_000).select("component", "chrom", "pos", "pos2", "length", F.round("std1", 6).alias("std1"), "ids", "n")
+    strains = v.region.sparkSession.range(8).select(F.concat(F.lit("st"), "id").alias("strain"), F.col("id").alias("ord"))
+    found = tra(v).withColumn("strain", F.concat(F.lit("st"), F.col("id") % 8))
+    merged = vr.merge_translocations(found, 6_000, strains)
+    return merged.select("component", "chrom", "pos", "pos2", "length", F.round("std1", 6).alias("std1"), "ids", "n", "supp_vec")
 
 
 @query("sv_genomic_sort_number", "SELECT event_id, row_number() OVER (ORDER BY CAST(substring(chrom, 11) AS INT), pos, event_id) AS number FROM {sv}")
@@ -259,10 +263,18 @@ def _(v):
     return v.part.select("p_partkey", vr.variant_type(ref, F.col("p_brand")).alias("kind"))
 
 
-@query("haplotype_greedy_cover")
+COVER = """WITH RECURSIVE pr AS (SELECT DISTINCT CAST(substring(chrom, 11) AS INT) AS ord, chrom AS haplotype, event_id % 997 AS variant FROM {sv}),
+h AS (SELECT haplotype, ord, list(variant) AS vs FROM pr GROUP BY ALL),
+s AS (SELECT CAST(0 AS BIGINT) AS step, CAST('' AS VARCHAR) AS haplotype, CAST(0 AS BIGINT) AS gained, CAST([] AS BIGINT[]) AS done
+UNION ALL SELECT step + 1, x.haplotype, x.g, list_distinct(list_concat(done, x.vs)) FROM (SELECT s.step, s.done, h.haplotype, h.vs, CAST(len(list_filter(h.vs, lambda v: NOT list_contains(s.done, v))) AS BIGINT) AS g,
+row_number() OVER (ORDER BY CASE WHEN h.ord <= 4 AND len(list_filter(h.vs, lambda v: NOT list_contains(s.done, v))) > 0 THEN 1 ELSE 0 END DESC, len(list_filter(h.vs, lambda v: NOT list_contains(s.done, v))) DESC, h.ord) AS rn FROM s CROSS JOIN h) x WHERE x.rn = 1 AND x.g > 0 AND x.step < 500)
+SELECT step, haplotype, gained FROM s WHERE step > 0"""
+
+
+@query("haplotype_greedy_cover", COVER)
 def _(v):
     presence = v.sv.selectExpr("chrom AS haplotype", "CAST(substring(chrom, 11) AS INT) AS ord", "event_id % 997 AS variant").distinct()
-    return vr.greedy_cover(presence, presence.filter("ord <= 4").select("haplotype"), 10)
+    return vr.greedy_cover(presence, presence.filter("ord <= 4").select("haplotype"))
 
 
 @query("sv_te_tag", "SELECT event_id, CASE WHEN event_id IN (SELECT p_partkey FROM {part} WHERE p_size > 25) THEN concat(event_id, '_TyRelated') ELSE CAST(event_id AS STRING) END AS id FROM {events}")

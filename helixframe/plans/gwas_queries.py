@@ -133,7 +133,16 @@ def _(v):
     return gw.common(gw.site_tags(calls(v)), 0.2).select("site", "maf")
 
 
-@query("ld_prune")
+PRUNE = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, si AS (SELECT p_partkey AS variant, p_partkey % 16 + 1 AS chrom, row_number() OVER (PARTITION BY p_partkey % 16 ORDER BY p_partkey) AS r FROM {part}),
+nbr AS (SELECT x AS variant, list(y) AS near FROM (SELECT a AS x, b AS y FROM lp UNION SELECT b, a FROM lp) GROUP BY x),
+o AS (SELECT si.*, coalesce(near, []) AS near FROM si LEFT JOIN nbr USING (variant)),
+k AS (SELECT chrom, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM o GROUP BY chrom
+UNION ALL SELECT k.chrom, o.r, CASE WHEN list_has_any(k.kept, o.near) THEN k.kept ELSE list_append(k.kept, o.variant) END FROM k JOIN o ON o.chrom = k.chrom AND o.r = k.r + 1),
+e AS (SELECT chrom, unnest(arg_max(kept, r)) AS variant FROM k GROUP BY chrom)
+SELECT variant, variant IN (SELECT variant FROM e) AS kept FROM o"""
+
+
+@query("ld_prune", PRUNE)
 def _(v):
     return gw.ld_prune(pairs(v), v.part.selectExpr("p_partkey AS variant", "p_partkey % 16 + 1 AS chrom", "p_partkey * 100 AS pos"))
 
@@ -202,7 +211,7 @@ def _(v):
     return gw.model_grid(v.customer.selectExpr("c_mktsegment AS pheno").distinct(), v.region.selectExpr("r_name AS kinship"))
 
 
-@query("kinship", DOSE + ", f AS (SELECT variant, avg(dose) / 2 AS f FROM ds GROUP BY variant HAVING avg(dose) / 2 > 0 AND avg(dose) / 2 < 1), z AS (SELECT variant, sample, (dose - 2 * f) * pow(2 * f * (1 - f), -0.25) AS z FROM ds JOIN f USING (variant)) SELECT a.sample AS a, b.sample AS b, round(avg(a.z * b.z), 9) AS k FROM z a JOIN z b ON a.variant = b.variant AND a.sample <= b.sample GROUP BY ALL")
+@query("kinship", DOSE + ", f AS (SELECT variant, avg(dose) / 2 AS f FROM ds GROUP BY variant HAVING avg(dose) / 2 > 0 AND avg(dose) / 2 < 1), z AS (SELECT variant, sample, (dose - 2 * f) * pow(2 * f * (1 - f), -0.125) AS z FROM ds JOIN f USING (variant)) SELECT a.sample AS a, b.sample AS b, round(avg(a.z * b.z), 9) AS k FROM z a JOIN z b ON a.variant = b.variant AND a.sample <= b.sample GROUP BY ALL")
 def _(v):
     return gw.kinship(dosage(v)).withColumn("k", F.round("k", 9))
 

@@ -40,7 +40,7 @@ def _(v):
 
 @query("ivl_overlap_len", "SELECT a.id, a.gene, CAST(sum(greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo))) AS BIGINT) AS overlap FROM {gene} a JOIN {ivl} b ON a.id = b.id AND b.lo < a.hi AND a.lo < b.hi GROUP BY a.id, a.gene")
 def _(v):
-    pairs = iv.overlapping(v.gene, v.ivl)
+    pairs = iv.binned_overlaps(v.gene, v.ivl)
     return pairs.groupBy("id", "gene").agg(F.sum(iv.overlap_length(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi"))).alias("overlap"))
 
 
@@ -54,7 +54,7 @@ def _(v):
 
 @query("ivl_binned_overlap_len", _SHARED + " SELECT w.id, coalesce(overlap, 0) AS overlap FROM w LEFT JOIN s ON w.id = s.id")
 def _(v):
-    return iv.set_overlap_length(v.gene, v.ivl, binned=True)
+    return iv.set_overlap_length(v.gene, v.ivl)
 
 
 @query("ivl_coverage_pct", _SHARED + " SELECT w.id, coalesce(overlap, 0) AS overlap, length, coalesce(overlap, 0) * CAST(100 AS DOUBLE) / length AS coverage FROM w LEFT JOIN s ON w.id = s.id")

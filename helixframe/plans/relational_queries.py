@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..operators.graph import cut_lineage
 from ..sources import readers
 from ..storage import fresh_path
@@ -32,8 +33,8 @@ def _(v):
 
 @query("rel_join_positional", "SELECT a.c_custkey, b.s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS r FROM {customer}) a JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS r FROM {supplier}) b USING (r)")
 def _(v):
-    numbered = lambda df, by: df.withColumn("r", F.row_number().over(Window.orderBy(by)))
-    return numbered(v.customer.select("c_custkey"), F.col("c_custkey").desc()).join(numbered(v.supplier.select("s_suppkey"), F.col("s_suppkey")), "r").drop("r")
+    customers = numbered(v.customer.select("c_custkey"), [-F.col("c_custkey")], "r")
+    return customers.join(numbered(v.supplier.select("s_suppkey"), ["s_suppkey"], "r"), "r").drop("r")
 
 
 @query("rel_semi_join", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F')")
