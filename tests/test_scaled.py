@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from helixframe.functions.numbering import numbered
-from helixframe.operators import graph, gwas
+from helixframe.operators import assembly, graph, gwas, variants
 
 
 def test_numbers_follow_the_order(spark):
@@ -142,3 +142,42 @@ def test_redundancy_peels_as_one_at_a_time(spark, seed):
         regions += [(a, b, lo, lo + draw.randint(1, 60)), (b, a, lo, lo + draw.randint(1, 60))]
     got = graph.redundancy_peel(spark.createDataFrame(genes, "id long, len long"), spark.createDataFrame(regions, "id long, other long, lo int, hi int"))
     assert {r.id for r in got.collect()} == peeled(genes, regions, 100)
+
+
+def test_cover_takes_the_best_haplotype_each_step(spark):
+    draw = random.Random(4)
+    presence = sorted({(f"h{h}", h, draw.randrange(30)) for h in range(12) for _ in range(6)})
+    good = {"h3", "h7", "h9"}
+    left, want = {}, []
+    for name, place, v in presence:
+        left.setdefault((place, name), set()).add(v)
+    while any(left.values()):
+        (place, name), held = min(((k, v) for k, v in left.items() if v), key=lambda x: (x[0][1] not in good, -len(x[1]), x[0][0]))
+        want.append((len(want) + 1, name, len(held)))
+        left = {k: v - held for k, v in left.items()}
+    rows = spark.createDataFrame(presence, "haplotype string, ord int, variant long")
+    got = variants.greedy_cover(rows, spark.createDataFrame([(h,) for h in good], "haplotype string"))
+    assert [tuple(r) for r in got.orderBy("step").collect()] == want
+
+
+def test_redundant_contigs_go_by_the_largest_share(spark):
+    draw = random.Random(5)
+    contigs = [(asm, f"c{i}", i, draw.randint(40, 90)) for asm in ("x", "y") for i in range(10)]
+    hits = []
+    for asm, name, _, size in contigs:
+        for _ in range(4):
+            lo = draw.choice([0, draw.randrange(size)])
+            hits.append((asm, name, f"c{draw.randrange(10)}", lo, draw.choice([size, draw.randint(lo + 1, size)])))
+    want = {}
+    for asm in ("x", "y"):
+        alive = {name: size for a, name, _, size in contigs if a == asm}
+        while alive:
+            held = {q: {b for a, n, o, lo, hi in hits if (a, n) == (asm, q) and o != q and o in alive for b in range(lo, hi)} for q in alive}
+            worst = max(alive, key=lambda q: len(held[q]) / alive[q])
+            if 100 * len(held[worst]) < 95 * alive[worst]:
+                break
+            del alive[worst]
+        want |= {(asm, f"c{i}"): f"c{i}" in alive for i in range(10)}
+    hit_rows = spark.createDataFrame(hits, "asm string, qry string, other string, lo long, hi long")
+    got = assembly.remove_redundant(hit_rows, spark.createDataFrame(contigs, "asm string, qry string, ord long, len long"))
+    assert {(r.asm, r.qry): r.kept for r in got.collect()} == want and len(set(want.values())) == 2
