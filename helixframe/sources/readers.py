@@ -119,3 +119,35 @@ def read_depth(spark: SparkSession, path: str, strain_pattern: str = r"^(.*?)\."
 def write_lines(df: DataFrame, column: str, path: str, order: list[str]) -> None:
     """One ordered text file, for small results that another tool reads."""
     df.repartitionByRange(1, *order).sortWithinPartitions(*order).select(column).write.text(path)
+
+
+def write_table(df: DataFrame, path: str, schema: str, order: list[str], by: str | None = None, null: str = "") -> None:
+    """The schema's columns, tab-separated, in ordered files; one folder for each value of `by`.
+
+    read_table reads it back with the same schema, and with `by` as one more column of it.
+    """
+    columns = [part.split()[0] for part in schema.split(", ")]
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in columns)).alias("value")
+    sort = [by, *order] if by else order
+    out = df.repartitionByRange(*sort).sortWithinPartitions(*sort).select(line, *([by] if by else [])).write
+    (out.partitionBy(by) if by else out).text(path)
+
+
+def write_gff(rows: DataFrame, path: str) -> None:
+    """GFF3 from seqid, source, type, lo, hi (0-based half-open), score, strand, phase and the attribute map."""
+    pairs = F.transform(F.array_sort(F.map_entries("attr")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit(""))))
+    places = {"start": F.col("lo") + 1, "stop": F.col("hi"), "attributes": F.when(F.size("attr") > 0, F.array_join(pairs, ";"))}
+    write_table(rows.withColumns(places), path, schemas.GFF, ["seqid", "start", "stop", "type", "attributes"], null=".")
+
+
+def write_hits(hits: DataFrame, path: str, schema: str = schemas.HITS_15) -> None:
+    """Hit tables, their lines in the order of ord."""
+    write_table(hits, path, schema, ["ord"])
+
+
+def write_coords(coords: DataFrame, path: str, by: str | None = "asm") -> None:
+    write_table(coords, path, schemas.COORDS, ["ref", "ref_start", "ref_end", "qry", "qry_start"], by)
+
+
+def write_depth(depth: DataFrame, path: str, by: str | None = "strain") -> None:
+    write_table(depth, path, schemas.DEPTH, ["gene", "pos"], by)

@@ -85,6 +85,16 @@ def _put(df: DataFrame, path: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, on whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _located(spark, path)
+    system.delete(target, True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    system, target = _located(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -2,7 +2,7 @@
 
 import os
 
-from helixframe.sources import readers
+from helixframe.sources import readers, schemas
 from helixframe.streaming import ingest
 
 
@@ -47,6 +47,26 @@ def test_gff_gfa_tables(spark, tmp_path):
     assert [tuple(r) for r in ld.collect()] == [("a", "b")]
 
 
+def test_tables_come_back_as_they_were_written(spark, tmp_path):
+    lines = "chr1\tx\tgene\t11\t20\t.\t+\t.\tID=a;Name=b\nchr2\tx\tgene\t1\t9\t3.5\t-\t0\tID=c\n"
+    gff = readers.read_gff(spark, put(tmp_path / "g", "a.gff", lines))
+    readers.write_gff(gff, f"{tmp_path}/gff")
+    assert "".join(sorted(r.value + "\n" for r in spark.read.text(f"{tmp_path}/gff").collect())) == lines
+    bare = spark.createDataFrame([("c", "x", "gene", 0, 3, None, "+", None, {})], "seqid string, source string, type string, lo long, hi long, score string, strand string, phase string, attr map<string,string>")
+    readers.write_gff(bare, f"{tmp_path}/bare")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/bare").collect()] == ["c\tx\tgene\t1\t3\t.\t+\t.\t."]
+    hits = readers.read_hits(spark, put(tmp_path / "h", "a.tsv", "q2\ts1\t99.5\t10\t0\t0\t1\t10\t5\t14\t1e-30\t50\t10\t20\t100\nq1\ts1\t90\t8\t1\t0\t1\t8\t5\t12\t\t40\t8\t20\t100\n"))
+    readers.write_hits(hits, f"{tmp_path}/hits")
+    assert [tuple(r) for r in readers.read_hits(spark, f"{tmp_path}/hits").orderBy("ord").drop("ord").collect()] == [tuple(r) for r in hits.orderBy("ord").drop("ord").collect()]
+    depth = spark.createDataFrame([(f"s{i % 3}", f"g{i % 5}", i, i * i) for i in range(60)], "strain string, gene string, pos long, depth long")
+    readers.write_depth(depth, f"{tmp_path}/depth")
+    back = readers.read_table(spark, f"{tmp_path}/depth", f"{schemas.DEPTH}, strain string")
+    assert sorted(map(tuple, back.select(depth.columns).collect())) == sorted(map(tuple, depth.collect()))
+    coords = spark.createDataFrame([("a1", 1, 5, 2, 6, 5, 5, 99.0, "r", "q")], f"asm string, {schemas.COORDS}")
+    readers.write_coords(coords, f"{tmp_path}/coords")
+    assert [tuple(r) for r in readers.read_table(spark, f"{tmp_path}/coords", f"{schemas.COORDS}, asm string").select(coords.columns).collect()] == [tuple(coords.first())]
+
+
 def test_streaming_depth(spark, tmp_path):
     put(tmp_path / "in", "st1.depth", "g1\t1\t5\ng1\t2\t7\n")
     totals = ingest.running_totals(ingest.stream_depth(spark, str(tmp_path / "in")))
