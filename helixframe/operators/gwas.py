@@ -159,16 +159,13 @@ def excess_het(ac: pd.Series, an: pd.Series, het: pd.Series) -> pd.Series:
 
     def one(minor: int, total: int, seen: int) -> float:
         minor = min(minor, total - minor)
-        n = total // 2
-        weights, w = {}, 1.0
-        h = minor % 2
-        weights[h] = w
-        while h + 2 <= minor:
-            rare, common = (minor - h) // 2, n - h - (minor - h) // 2
-            w *= 4.0 * rare * common / ((h + 2.0) * (h + 1.0))
-            h += 2
-            weights[h] = w
-        return sum(v for k, v in weights.items() if k >= seen) / sum(weights.values())
+        h = np.arange(minor % 2, minor + 1, 2)
+        rare = (minor - h[:-1]) / 2
+        common = total // 2 - h[:-1] - rare
+        steps = np.log(4 * rare * common) - np.log((h[:-1] + 2.0) * (h[:-1] + 1.0))
+        logs = np.concatenate([[0.0], np.cumsum(steps)])  # of weights that many samples take beyond any float
+        weights = np.exp(logs - logs.max())
+        return float(weights[h >= seen].sum() / weights.sum())
 
     return pd.Series([one(int(a), int(b), int(c)) for a, b, c in zip(ac, an, het)], dtype="float64")
 

@@ -122,7 +122,14 @@ def _(v):
     return gw.site_filters(gw.site_tags(calls(v)), 0.05).select("site")
 
 
-@query("geno_excess_het")
+EXCESS = CALLS + """, m AS (SELECT site, het, least(ac, an - ac) AS minor, an // 2 AS n FROM tags),
+k AS (SELECT site, het, minor, n, unnest(range(CAST(minor % 2 AS BIGINT), CAST(minor + 1 AS BIGINT), 2)) AS h FROM m),
+w AS (SELECT site, het, h, h * ln(2) - lgamma((minor - h) / 2 + 1) - lgamma(h + 1) - lgamma(n - (minor + h) / 2 + 1) AS lw FROM k),
+x AS (SELECT site, het, h, exp(lw - max(lw) OVER (PARTITION BY site)) AS e FROM w)
+SELECT site, round(coalesce(sum(e) FILTER (WHERE h >= het), 0) / sum(e), 9) AS p FROM x GROUP BY site"""
+
+
+@query("geno_excess_het", EXCESS)
 def _(v):
     tags = gw.site_tags(calls(v))
     return tags.select("site", F.round(gw.excess_het("ac", "an", "het"), 9).alias("p"))

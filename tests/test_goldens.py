@@ -1,6 +1,7 @@
 """Small goldens of the operators, derived by hand."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,15 @@ def test_multiallelic_round_trip(spark):
 def test_excess_heterozygosity(spark):
     got = spark.createDataFrame([(10, 20, 10)], "ac int, an int, het int").select(gwas.excess_het("ac", "an", "het").alias("p")).first().p
     assert got == pytest.approx(2**10 / math.comb(20, 10))
+
+
+@pytest.mark.parametrize("ac, an, het", [(0, 0, 0), (0, 20, 0), (20, 20, 0), (7, 20, 3), (13, 20, 3), (1, 2, 1), (4000, 8000, 2060), (3001, 8000, 1901), (90, 8000, 90)])
+def test_excess_heterozygosity_against_whole_numbers(spark, ac, an, het):
+    def ways(h):
+        return 2**h * math.factorial(n) // (math.factorial((minor - h) // 2) * math.factorial(h) * math.factorial(n - (minor + h) // 2))
+
+    n, minor = an // 2, min(ac, an - ac)
+    all_ = {h: ways(h) for h in range(minor % 2, minor + 1, 2)}
+    want = Fraction(sum(w for h, w in all_.items() if h >= het), sum(all_.values()))
+    got = spark.createDataFrame([(ac, an, het)], "ac int, an int, het int").select(gwas.excess_het("ac", "an", "het").alias("p")).first().p
+    assert got == pytest.approx(float(want), rel=1e-9)
