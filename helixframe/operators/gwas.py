@@ -97,8 +97,10 @@ def significant(assoc: DataFrame, limit: DataFrame) -> DataFrame:
 def ld_pairs(dosage: DataFrame, window: int, least: float) -> DataFrame:
     """(a, b, r2) of variants of one chromosome within window whose squared correlation reaches `least`.
 
-    dosage (variant, chrom, pos, sample, dose). The pairs come from position bins; correlations are sums.
+    dosage (variant, chrom, pos, sample, dose). The pairs come from position bins; correlations are sums
+    over the samples in which neither dose is missing (null).
     """
+    dosage = dosage.filter(F.col("dose").isNotNull())
     sites = dosage.select("variant", "chrom", "pos").distinct()
     left = sites.select("chrom", F.col("variant").alias("a"), F.col("pos").alias("pa"), F.explode(F.array(F.floor(F.col("pos") / window), F.floor(F.col("pos") / window) + 1)).alias("bin"))
     right = sites.select("chrom", F.col("variant").alias("b"), F.col("pos").alias("pb"), F.floor(F.col("pos") / window).alias("bin"))
@@ -284,8 +286,10 @@ def kinship(dosage: DataFrame, power: float = -0.25, kept: DataFrame | None = No
 
     A product then carries (2f(1-f)) ** power; power -1 gives standardised doses. kept (variant) is the
     thinned set, if any. Doses meet in blocks of BLOCK samples, so a variant makes a row for each pair of
-    blocks, not for each pair of samples, and a task adds up matrices.
+    blocks, not for each pair of samples, and a task adds up matrices. Missing (null) doses are left out:
+    a pair's mean is over the variants that both have.
     """
+    dosage = dosage.filter(F.col("dose").isNotNull())
     if kept is not None:
         dosage = dosage.join(kept.select("variant").distinct(), "variant", "left_semi")
     freq = dosage.groupBy("variant").agg((F.avg("dose") / 2).alias("f")).filter("f > 0 and f < 1")
@@ -364,9 +368,12 @@ def neighbour_joining(distances: DataFrame, most: int = 2_000, weighted: bool =
 def principal_components(similarity: DataFrame, n: int = 4, most: int = 3_000) -> DataFrame:
     """sample, pc1 .. pcn from a symmetric (a, b, k) similarity of a bounded number of samples.
 
-    The matrix is centred and decomposed on the driver; each vector's largest entry is positive.
+    The matrix is centred and decomposed on the driver; each vector's largest entry is positive. Without
+    samples there are no rows.
     """
     rows = similarity.limit(most * most + 1).collect()
+    if not rows:
+        return similarity.sparkSession.createDataFrame([], ", ".join(["sample long", *(f"pc{i + 1} double" for i in range(n))]))
     ids = sorted({r.a for r in rows} | {r.b for r in rows})
     if len(ids) > most:
         raise ValueError(f"more than {most} samples")

@@ -72,18 +72,21 @@ def window_assign(svs: DataFrame, grid: DataFrame, window: int, step: int) -> Da
 
 
 def theta_pi(assigned: DataFrame, genotypes: DataFrame, window: int) -> DataFrame:
-    """Sum over a window's sites of 1 - sum of squared allele frequencies, times n / (n - 1) / window."""
+    """Sum over a window's sites of 1 - sum of squared allele frequencies, times n / (n - 1) / window.
+
+    A site with a single allele called adds nothing.
+    """
     counts = genotypes.groupBy("variant", "allele").agg(F.count(F.lit(1)).alias("k"))
     sites = counts.groupBy("variant").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
     one = F.lit(1).cast("double")
-    site = (one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n") / (F.col("n") - 1) / window
-    return assigned.join(sites, "variant").groupBy("chrom", "start", "end").agg(F.sum(site).alias("value"))
+    site = F.try_divide((one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n"), F.col("n") - 1) / window
+    return assigned.join(sites, "variant").groupBy("chrom", "start", "end").agg(F.sum(F.coalesce(site, F.lit(0.0))).alias("value"))
 
 
 def theta_s(assigned: DataFrame, n: int, window: int) -> DataFrame:
-    """Segregating sites over the harmonic number of n - 1, per base of the window."""
+    """Segregating sites over the harmonic number of n - 1, per base of the window; null below two sequences."""
     harmonic = sum(1.0 / i for i in range(1, n))
-    return assigned.groupBy("chrom", "start", "end").agg((F.count(F.lit(1)) / F.lit(harmonic) / F.lit(window)).alias("value"))
+    return assigned.groupBy("chrom", "start", "end").agg((F.try_divide(F.count(F.lit(1)), F.lit(float(harmonic))) / F.lit(window)).alias("value"))
 
 
 def haplotype_counts(assigned: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -93,10 +96,10 @@ def haplotype_counts(assigned: DataFrame, genotypes: DataFrame) -> DataFrame:
 
 
 def gene_diversity(assigned: DataFrame, genotypes: DataFrame, grid: DataFrame) -> DataFrame:
-    """n / (n - 1) * (1 - sum of squared haplotype frequencies); windows without variants 0."""
+    """n / (n - 1) * (1 - sum of squared haplotype frequencies); windows without variants, or with one haplotype, 0."""
     sums = haplotype_counts(assigned, genotypes).groupBy("chrom", "start", "end").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
     one = F.lit(1).cast("double")
-    value = (one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n") / (F.col("n") - 1)
+    value = F.try_divide((one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n"), F.col("n") - 1)
     return grid.join(sums, ["chrom", "start", "end"], "left").select("chrom", "start", "end", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 

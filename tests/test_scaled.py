@@ -181,3 +181,34 @@ def test_redundant_contigs_go_by_the_largest_share(spark):
     hit_rows = spark.createDataFrame(hits, "asm string, qry string, other string, lo long, hi long")
     got = assembly.remove_redundant(hit_rows, spark.createDataFrame(contigs, "asm string, qry string, ord long, len long"))
     assert {(r.asm, r.qry): r.kept for r in got.collect()} == want and len(set(want.values())) == 2
+
+
+def test_missing_doses_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(gwas, "BLOCK", 4)
+    draw = random.Random(3)
+    dose = {(v, s): draw.choice([0, 1, 2, 2, None]) for v in range(1, 13) for s in range(1, 11)}
+    frame = spark.createDataFrame([(v, 1, v, s, d) for (v, s), d in dose.items()], "variant long, chrom long, pos long, sample long, dose long")
+    z = {}
+    for v in range(1, 13):
+        seen = {s: dose[v, s] for s in range(1, 11) if dose[v, s] is not None}
+        f = sum(seen.values()) / len(seen) / 2
+        z |= {(v, s): (d - 2 * f) * (2 * f * (1 - f)) ** -0.125 for s, d in seen.items()} if 0 < f < 1 else {}
+    for r in gwas.kinship(frame).collect():
+        both = [z[v, r.a] * z[v, r.b] for v in range(1, 13) if (v, r.a) in z and (v, r.b) in z]
+        assert r.k == pytest.approx(sum(both) / len(both))
+    pairs = {(r.a, r.b): r.r2 for r in gwas.ld_pairs(frame, 20, 0.0).collect()}
+    assert len(pairs) > 30
+    for (a, b), r2 in pairs.items():
+        x, y = zip(*((dose[a, s], dose[b, s]) for s in range(1, 11) if dose[a, s] is not None and dose[b, s] is not None))
+        assert r2 == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2, abs=1e-9)
+
+
+def test_lone_samples_have_no_diversity(spark):
+    windows = spark.createDataFrame([(1, "c", 0, 100), (2, "c", 0, 100)], "variant long, chrom string, start long, end long")
+    calls = spark.createDataFrame([(1, "s1", 0, "0"), (2, "s1", 0, "0"), (2, "s2", 0, "1")], "variant long, sample string, hap int, allele string")
+    assert [r.value for r in variants.theta_pi(windows, calls, 100).collect()] == [pytest.approx(0.01)]
+    grid = windows.select("chrom", "start", "end").distinct()
+    assert [r.value for r in variants.gene_diversity(windows, calls.filter("sample = 's1'"), grid).collect()] == [0.0]
+    assert [r.value for r in variants.theta_s(windows, 1, 100).collect()] == [None]
+    assert [r.value for r in variants.theta_s(windows, 3, 100).collect()] == [pytest.approx(2 / 1.5 / 100)]
+    assert gwas.principal_components(spark.createDataFrame([], "a long, b long, k double")).collect() == []
