@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op6_benchmark_decontamination
 from .jaccard_join import op2_ngram_jaccard_join
+from .lexical_search import op13_lexical_search
 from .license_scan import op5_license_scan
 from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
@@ -44,6 +45,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_lm_scoring,
+        op13_lexical_search,
     )
 }
 
@@ -87,4 +89,12 @@ SELECT d.doc_id, any_value(length(h) // 2) AS n_bytes, any_value(CAST(coalesce(g
 sha256(unhex(coalesce(string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a), ''))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id) JOIN g USING (doc_id) GROUP BY d.doc_id"""
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": _SUBSTRING_SQL, "op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
+_SEARCH_SQL = r"""WITH t AS (SELECT 0 AS side, doc_id AS id, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT 1, item_id, rid, text FROM (SELECT item_id, text, row_number() OVER () AS rid FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+w AS (SELECT side, id, rid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+c AS (SELECT side, id, rid, term, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT rid, sum(tf) AS n FROM c WHERE side = 0 GROUP BY rid), z AS (SELECT count(*) AS docs, sum(n) AS terms FROM n),
+d AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, z WHERE side = 0 GROUP BY term),
+m AS (SELECT rid, 50 + (50 * n * docs) // terms AS m FROM n, z),
+s AS (SELECT q.rid AS item, any_value(q.id) AS item_id, c.rid, any_value(c.id) AS doc_id, CAST(sum(d.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * m.m))) AS BIGINT) AS score FROM c q JOIN c ON q.side = 1 AND c.side = 0 AND q.term = c.term JOIN d ON d.term = q.term JOIN m ON m.rid = c.rid GROUP BY q.rid, c.rid)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op13_lexical_search": _SEARCH_SQL, "op7_substring_dedup": _SUBSTRING_SQL, "op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
