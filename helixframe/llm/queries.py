@@ -12,10 +12,12 @@ from .lexical_search import op13_lexical_search
 from .license_scan import op5_license_scan
 from .lm_scoring import op10_lm_scoring
 from .packing import op1_best_fit_packing
+from .personal_data import op12_personal_data
 from .quality_model import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secret_scan import BASE, RULES, op3_secret_scan
 from .shared import Scratch
+from .source_divergence import op11_source_divergence
 from .substring_dedup import op7_substring_dedup
 from .token_files import op4_token_files
 
@@ -45,6 +47,8 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_lm_scoring,
+        op11_source_divergence,
+        op12_personal_data,
         op13_lexical_search,
     )
 }
@@ -97,4 +101,16 @@ m AS (SELECT rid, 50 + (50 * n * docs) // terms AS m FROM n, z),
 s AS (SELECT q.rid AS item, any_value(q.id) AS item_id, c.rid, any_value(c.id) AS doc_id, CAST(sum(d.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * m.m))) AS BIGINT) AS score FROM c q JOIN c ON q.side = 1 AND c.side = 0 AND q.term = c.term JOIN d ON d.term = q.term JOIN m ON m.rid = c.rid GROUP BY q.rid, c.rid)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
 
-ORACLES: dict[str, str] = {"op13_lexical_search": _SEARCH_SQL, "op7_substring_dedup": _SUBSTRING_SQL, "op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
+_DIVERGENCE_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+h AS (SELECT g.lang, g.source, v.v, v.n AS n_lang, coalesce(s.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL) s USING (lang, source)),
+p AS (SELECT h.lang, h.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (h.n + 2 * h.v) AS p, 1 + (1000000000 * (k.total + 2)) // (h.n_lang + 2 * h.v) AS q FROM h JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES: dict[str, str] = {"op11_source_divergence": _DIVERGENCE_SQL, "op13_lexical_search": _SEARCH_SQL, "op7_substring_dedup": _SUBSTRING_SQL, "op2_ngram_jaccard_join": _JACCARD_SQL, "op3_secret_scan": _secret_sql()}
