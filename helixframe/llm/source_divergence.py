@@ -57,7 +57,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             one, two = (batch.column(i).dictionary_encode() for i in (0, 1))
             group = np.asarray(one.indices).astype(np.int64) * max(len(two.dictionary), 1) + np.asarray(two.indices)
-            for chunk in chunks(batch.column(2), 8 << 20):
+            order = np.argsort(group, kind="stable")  # a chunk then has few groups, and a term few rows
+            group = group[order]
+            for chunk in chunks(batch.column(2).take(pa.array(order)), 2 << 20):
                 terms, place, bounds = chunk_terms(chunk, _TERM)
                 if not len(place):
                     continue
