@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ def contigs_to_coverage(coords: DataFrame, contigs: DataFrame, chromosomes: Data
     own = _bases(_ref(coords, ["asm", "qry", "ref"]), ["asm", "qry", "ref"], "b").groupBy("asm", "qry").agg(F.sum("b").alias("own"))
     order = Window.partitionBy("asm").orderBy(F.col("own").desc(), F.col("ord").desc())
     ranked = contigs.select("asm", "qry", "ord").join(own, ["asm", "qry"], "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rank", F.row_number().over(order))
-    parts = union(_ref(coords, ["asm", "ref", "qry"]), ["asm", "ref", "qry"]).join(ranked.select("asm", "qry", "rank"), ["asm", "qry"])
+    parts = union(_ref(coords, ["asm", "ref", "qry"]), ["asm", "ref", "qry"], width=None).join(ranked.select("asm", "qry", "rank"), ["asm", "qry"])
     cuts = parts.select("asm", "ref", F.explode(F.array("lo", "hi")).alias("x")).distinct()
     segments = cuts.withColumn("y", F.lead("x").over(Window.partitionBy("asm", "ref").orderBy("x"))).filter("y is not null")
     pairs = binned_overlaps(segments.select("asm", "ref", F.col("x").alias("lo"), F.col("y").alias("hi")), parts.select("asm", "ref", "lo", "hi", "rank"), ["asm", "ref"], 2_000)
@@ -86,30 +88,45 @@ def nuclear_split(contigs: DataFrame, coords: DataFrame, min_len: int, min_align
 def remove_redundant(hits: DataFrame, contigs: DataFrame, percent: float = 95) -> DataFrame:
     """asm, qry, kept: drop the contig most covered by the others while that is at least `percent`.
 
-    Hits are (asm, qry, other, lo, hi) on qry. Greedy and order dependent, so one assembly is one
-    task: the sweep of a contig's elementary segments counts the others that still cover each.
+    Hits are (asm, qry, other, lo, hi) on qry. Greedy and order dependent, so one assembly is one task. A
+    contig is cut where a hit begins or ends, and each piece counts the hits of living contigs on it; a
+    contig that goes takes its hits from its neighbours' pieces, and shares are recomputed for these alone: a
+    share that has fallen is noticed when the queue brings it up.
     """
 
     def peel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        alive = dict.fromkeys(left.sort_values("ord")["qry"])
-        size = dict(zip(left["qry"], left["len"]))
-        ranges = {q: sorted(zip(g["lo"], g["hi"], g["other"])) for q, g in right.groupby("qry")}
-
-        def share(q: str) -> float:
-            total, end = 0, -1
-            for lo, hi, other in ranges.get(q, ()):
-                if other != q and other in alive and hi > end:
-                    total += hi - max(lo, end)
-                    end = hi
-            return 100.0 * total / size[q]
-
-        while alive:
-            shares = {q: share(q) for q in alive}
-            worst = max(alive, key=lambda q: shares[q])
-            if shares[worst] < percent:
+        left = left.sort_values("ord")
+        names, sizes = left["qry"].tolist(), left["len"].tolist()
+        place = {q: i for i, q in enumerate(names)}
+        right = right[right["other"].isin(place) & right["qry"].isin(place) & (right["other"] != right["qry"]) & (right["lo"] < right["hi"])]
+        on: list[list[tuple[int, int, int]]] = [[] for _ in names]  # of a contig: whom its hits cover, and which pieces
+        counts, lengths = [np.zeros(0, int)] * len(names), [np.zeros(0, int)] * len(names)
+        covered = [0] * len(names)
+        for q, part in right.groupby("qry", sort=False):
+            i = place[q]
+            cuts = np.unique(np.concatenate([part["lo"], part["hi"]]))
+            first, last = np.searchsorted(cuts, part["lo"]), np.searchsorted(cuts, part["hi"])
+            steps = np.bincount(first, minlength=len(cuts)) - np.bincount(last, minlength=len(cuts))
+            counts[i], lengths[i] = np.cumsum(steps)[:-1], np.diff(cuts)
+            covered[i] = int(lengths[i][counts[i] > 0].sum())
+            for other, a, b in zip(part["other"], first.tolist(), last.tolist()):
+                on[place[other]].append((i, a, b))
+        alive = [True] * len(names)
+        share = lambda i: 100.0 * covered[i] / sizes[i]
+        queue = [(-share(i), i) for i in range(len(names))]
+        heapq.heapify(queue)
+        while queue:
+            noted, worst = heapq.heappop(queue)
+            if -noted != share(worst):
+                heapq.heappush(queue, (-share(worst), worst))
+                continue
+            if -noted < percent:
                 break
-            del alive[worst]
-        return pd.DataFrame({"asm": key[0], "qry": left["qry"], "kept": left["qry"].isin(alive)})
+            alive[worst] = False
+            for i, a, b in on[worst]:
+                counts[i][a:b] -= 1
+                covered[i] -= int(lengths[i][a:b][counts[i][a:b] == 0].sum())
+        return pd.DataFrame({"asm": key[0], "qry": names, "kept": alive})
 
     left = contigs.select("asm", "qry", "ord", "len").groupBy("asm")
     return left.cogroup(hits.select("asm", "qry", "other", "lo", "hi").groupBy("asm")).applyInPandas(peel, "asm string, qry string, kept boolean")

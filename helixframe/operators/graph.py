@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbering import numbered
 from ..storage import written as cut_lineage
 
+LOCAL_LINKS = 1_000_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(id, component) for every endpoint; component is the smallest id it reaches.
@@ -75,50 +77,117 @@ def label_components(components: DataFrame, prefix: str = "LD_") -> DataFrame:
     return components.join(roots, "component").select("id", F.concat(F.lit(prefix), "number").alias("label"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4, most_links: int = 5_000_000) -> DataFrame:
-    """(id, grp): dense components whole, sparse ones split by deterministic modularity moves.
+def communities(nodes: DataFrame, edges: DataFrame, least_density: float = 0.4, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(id, grp): dense components whole, sparse ones split into communities of high modularity; grp is the least member.
 
-    A component is split in one task and must have at most `most_links` links, or it raises; grp is the
-    least member.
+    Levels of local moves and of aggregation (Louvain). A component of up to `local_links` links is split in
+    one task; of a larger one, rounds of moves on the whole graph make communities whose graph, a node
+    each, is smaller, until it is small enough. Every step is deterministic.
     """
     comp = components_with_nodes(nodes, edges)
     dense = density(comp, edges).select("component", F.coalesce(F.col("density") >= least_density, F.lit(True)).alias("whole"))
     marked = comp.join(dense, "component")
     whole = marked.filter("whole").select("id", F.col("component").alias("grp"))
-    rest = simple_edges(edges).join(marked.filter("not whole").select(F.col("id").alias("src"), "component"), "src")
+    links = simple_edges(edges).join(marked.filter("not whole").select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", F.lit(1).cast("long").alias("w"))
+    home, links = coarsened(cut_lineage(links, "links"), local_links)
 
     def split(key: tuple, part):
         import pandas as pd
 
-        if len(part) > most_links:
-            raise ValueError(f"component {key[0]} has more than {most_links} links")
-        near: dict[int, set[int]] = {}
-        for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        total = 2 * len(part)
-        home = {v: v for v in near}
-        weight = {v: len(near[v]) for v in near}
-        moved = True
+        found = louvain(part["src"].tolist(), part["dst"].tolist(), part["w"].tolist())
+        return pd.DataFrame({"node": list(found), "grp": list(found.values())})
+
+    local = links.groupBy("component").applyInPandas(split, "node long, grp long")
+    split_ids = home.join(local, "node").select("id", "grp")
+    least = split_ids.groupBy("grp").agg(F.min("id").alias("least"))
+    return whole.unionByName(split_ids.join(least, "grp").select("id", F.col("least").alias("grp")))
+
+
+def louvain(src: list[int], dst: list[int], weight: list[int]) -> dict[int, int]:
+    """The community of each node of a weighted graph (each link once, src = dst for what a node holds inside).
+
+    Nodes move in order of their ids to the neighbouring community of the greatest gain (ties to the least
+    community) until none gains; then communities are nodes, and so on until nothing is joined. Gains are
+    compared as integers.
+    """
+    home = {v: v for v in sorted({*src, *dst})}
+    links: dict[tuple[int, int], int] = {}
+    for a, b, w in zip(src, dst, weight):
+        links[min(a, b), max(a, b)] = links.get((min(a, b), max(a, b)), 0) + w
+    total = 2 * sum(links.values())
+    while True:
+        near: dict[int, dict[int, int]] = {v: {} for v in sorted({v for pair in links for v in pair})}
+        strength = dict.fromkeys(near, 0)
+        for (a, b), w in links.items():
+            strength[a] += w
+            strength[b] += w
+            if a != b:
+                near[a][b] = near[b][a] = w
+        at, held = {v: v for v in near}, dict(strength)
+        changed, moved = False, True
         while moved:
             moved = False
-            for v in sorted(near):
-                weight[home[v]] -= len(near[v])
-                links: dict[int, int] = {}
-                for u in near[v]:
-                    links[home[u]] = links.get(home[u], 0) + 1
-                gain = {c: k - len(near[v]) * weight[c] / total for c, k in links.items()}
-                stay = gain.get(home[v], -len(near[v]) * weight[home[v]] / total)
-                best = min(gain, key=lambda c: (-gain[c], c))
-                if gain[best] > stay + 1e-12:
-                    home[v], moved = best, True
-                weight[home[v]] += len(near[v])
-        least: dict[int, int] = {}
-        for v in sorted(near):
-            least.setdefault(home[v], v)
-        return pd.DataFrame({"id": sorted(near), "grp": [least[home[v]] for v in sorted(near)]})
-
-    return whole.unionByName(rest.groupBy("component").applyInPandas(split, "id long, grp long"))
+            for v in near:
+                own, k = at[v], strength[v]
+                held[own] -= k
+                into: dict[int, int] = {own: 0}
+                for u, w in near[v].items():
+                    into[at[u]] = into.get(at[u], 0) + w
+                best = min(into, key=lambda c: (k * held[c] - total * into[c], c != own, c))
+                held[best] += k
+                if best != own:
+                    at[v], moved, changed = best, True, True
+        if not changed:
+            return home
+        home = {v: at[c] for v, c in home.items()}
+        merged: dict[tuple[int, int], int] = {}
+        for (a, b), w in links.items():
+            pair = min(at[a], at[b]), max(at[a], at[b])
+            merged[pair] = merged.get(pair, 0) + w
+        links = merged
+
+
+def coarsened(links: DataFrame, local_links: int, max_levels: int = 30, max_rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(id, node) and the links between nodes, after merging nodes of components with more than `local_links` links.
+
+    links (component, src, dst, w), each once. At each level, rounds of moves: a node that is first among its
+    neighbours by a hash drawn anew each round, so that no two neighbours move at once, goes to the neighbouring
+    community of the greatest gain. Then communities become nodes. A level that joins nothing ends it.
+    """
+    ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+    home = cut_lineage(ends.withColumn("node", F.col("id")), "home")
+    for level in range(max_levels):
+        large = links.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("m")).filter(F.col("n") > local_links)
+        large = cut_lineage(large.select("component", (2 * F.col("m")).alias("total")), "large")
+        if large.isEmpty():
+            break
+        here = links.join(large, "component")
+        both = here.select("component", "total", F.col("src").alias("v"), F.col("dst").alias("u"), "w").unionByName(here.select("component", "total", F.col("dst").alias("v"), F.col("src").alias("u"), "w"))
+        near = cut_lineage(both.filter("u <> v"), "near")
+        at = cut_lineage(both.groupBy("v", "component", "total").agg(F.sum("w").alias("k")).withColumn("c", F.col("v")), "at")
+        for turn in range(max_rounds):
+            rank = lambda c: F.xxhash64(c, F.lit(level), F.lit(turn))
+            beaten = near.filter((rank("u") < rank("v")) | ((rank("u") == rank("v")) & (F.col("u") < F.col("v")))).select("v").distinct()
+            movers = at.join(beaten, "v", "left_anti")
+            held = at.groupBy("c").agg(F.sum("k").alias("held"))
+            into = near.join(movers.select("v", "k", F.col("c").alias("own")), "v").join(at.select(F.col("v").alias("u"), "c"), "u").groupBy("v", "k", "own", "total", "c").agg(F.sum("w").alias("w"))
+            stay = movers.select("v", "k", F.col("c").alias("own"), "total", "c", F.lit(0).cast("long").alias("w"))
+            offers = into.unionByName(stay).groupBy("v", "k", "own", "total", "c").agg(F.sum("w").alias("w")).join(held, "c")
+            others = F.col("held") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
+            cost = F.col("k").cast("decimal(19,0)") * others.cast("decimal(19,0)") - F.col("total").cast("decimal(19,0)") * F.col("w").cast("decimal(19,0)")
+            best = offers.groupBy("v", "own").agg(F.min(F.struct(cost.alias("cost"), (F.col("c") != F.col("own")).alias("moves"), "c"))["c"].alias("to"))
+            moves = cut_lineage(best.filter(F.col("to") != F.col("own")).select("v", "to"), "moves")
+            if moves.isEmpty() and turn > 1:
+                break
+            at = cut_lineage(at.join(moves, "v", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "at")
+        if at.filter("c <> v").isEmpty():
+            break
+        moved = at.select("v", "c")
+        home = cut_lineage(home.join(moved, home["node"] == moved["v"], "left").select("id", F.coalesce("c", "node").alias("node")), "home")
+        named = links.join(moved.select(F.col("v").alias("src"), F.col("c").alias("a")), "src", "left").join(moved.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst", "left")
+        a, b = F.coalesce("a", "src"), F.coalesce("b", "dst")
+        links = cut_lineage(named.select("component", F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "w").groupBy("component", "src", "dst").agg(F.sum("w").alias("w")), "links")
+    return home, links
 
 
 def longest_per_component(components: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,7 +210,7 @@ def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100) -> D
     while True:
         ids = alive.select("id")
         here = regions.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other")
-        shared = union(here, ["id"]).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
+        shared = union(here, ["id"], width=None).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
         low = alive.join(shared, "id").filter(F.col("len") - F.col("b") < least).select("id")
         links = here.join(low, "id", "left_semi").join(low.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("id").alias("src"), F.col("other").alias("dst"))
         later = links.filter("dst > src").select(F.col("src").alias("id")).unionByName(links.filter("src > dst").select(F.col("dst").alias("id")))

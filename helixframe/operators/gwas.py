@@ -13,10 +13,12 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.stats import average_rank, chi2_inv_1, norm_inv
 from ..functions.numbering import numbered
+from ..storage import written
 from .graph import connected_components
+from .samples import dissimilarity, dose_planes, mean_products, principal_components, reml, sample_order  # noqa: F401
+from .trees import neighbour_joining  # noqa: F401
 
 BLOCK = 256
-_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
 # The feature types that have a location.
 LOCATED = ("gene", "pseudogene", "transposable_element_gene", "blocked_reading_frame")
 
@@ -94,42 +96,68 @@ def significant(assoc: DataFrame, limit: DataFrame) -> DataFrame:
     return assoc.crossJoin(F.broadcast(limit)).filter("p < threshold").drop("threshold")
 
 
-def ld_pairs(dosage: DataFrame, window: int, least: float) -> DataFrame:
+def ld_pairs(dosage: DataFrame, window: int, least: float, ploidy: int = 2) -> DataFrame:
     """(a, b, r2) of variants of one chromosome within window whose squared correlation reaches `least`.
 
-    dosage (variant, chrom, pos, sample, dose). The pairs come from position bins; correlations are sums
-    over the samples in which neither dose is missing (null).
+    dosage (variant, chrom, pos, sample, dose), doses 0 .. ploidy, null where missing; correlations are over
+    the samples in which neither dose is missing. A variant's doses are packed into bit planes once and go
+    to its own cell of `window` positions and, as a guest, to the one before, where every pair within
+    the window meets; sums of products are counts of shared bits.
     """
-    dosage = dosage.filter(F.col("dose").isNotNull())
-    sites = dosage.select("variant", "chrom", "pos").distinct()
-    left = sites.select("chrom", F.col("variant").alias("a"), F.col("pos").alias("pa"), F.explode(F.array(F.floor(F.col("pos") / window), F.floor(F.col("pos") / window) + 1)).alias("bin"))
-    right = sites.select("chrom", F.col("variant").alias("b"), F.col("pos").alias("pb"), F.floor(F.col("pos") / window).alias("bin"))
-    near = left.join(right, ["chrom", "bin"]).filter("pb - pa between 0 and " + str(window)).filter("pa < pb or a < b").select("a", "b")
-    doses = dosage.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("sample", F.col("dose").cast("long").alias("dose")))).alias("d"))
-    x, y = (doses.select(F.col("variant").alias(v), F.col("d").alias(d)) for v, d in (("a", "x"), ("b", "y")))
-
-    def correlate(batches):
+    bad = F.raise_error(F.concat(F.lit("a dose beyond the ploidy: "), F.col("dose").cast("string"))).cast("long")
+    called = dosage.filter(F.col("dose").isNotNull()).withColumn("dose", F.when(F.col("dose").between(0, ploidy), F.col("dose").cast("long")).otherwise(bad))
+    order = sample_order(dosage, "sample")
+    many = order.count()
+    cells = F.collect_list(F.struct(F.col("place").alias("at"), "dose"))
+    doses = called.join(order, "sample").groupBy("variant", "chrom", "pos").agg(cells.alias("cells"))
+    kind = dosage.schema["variant"].dataType.simpleString()
+
+    def planes(batches):
         for batch in batches:
-            sides = []
-            for name in ("x", "y"):
-                column = batch.column(batch.schema.get_field_index(name))
-                cells, sizes = column.flatten(), np.diff(column.offsets.to_numpy())
-                sides.append((np.array(cells.field("sample")), np.array(cells.field("dose")), np.concatenate([[0], np.cumsum(sizes)])))
-            (s1, d1, o1), (s2, d2, o2) = sides
-            out = np.zeros((batch.num_rows, 6), np.int64)
-            for i in range(batch.num_rows):
-                _, p, q = np.intersect1d(s1[o1[i] : o1[i + 1]], s2[o2[i] : o2[i + 1]], assume_unique=True, return_indices=True)
-                u, w = d1[o1[i] : o1[i + 1]][p], d2[o2[i] : o2[i + 1]][q]
-                out[i] = len(u), u.sum(), w.sum(), (u * w).sum(), (u * u).sum(), (w * w).sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in out.T)], names=["a", "b", *_SUMS])
-
-    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
-    joined = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    sums = joined.mapInArrow(correlate, f"a {kinds['a']}, b {kinds['b']}, " + ", ".join(f"{n} long" for n in _SUMS))
-    one = F.lit(1).cast("double")
-    cov = one * F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var = (one * F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (one * F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
-    return sums.withColumn("r2", F.when(var > 0, cov * cov / var)).filter(F.col("r2") >= least).select("a", "b", "r2")
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                column = part.column(3)
+                cells, owner = column.flatten(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+                dense = np.full((len(column), many), np.nan)
+                dense[owner, np.array(cells.field("at"))] = np.array(cells.field("dose"))
+                packed = np.moveaxis(dose_planes(dense, ploidy), 0, 1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in packed], pa.binary())], names=["variant", "chrom", "pos", "planes"])
+
+    chrom, pos = (dosage.schema[c].dataType.simpleString() for c in ("chrom", "pos"))
+    packed = doses.mapInArrow(planes, f"variant {kind}, chrom {chrom}, pos {pos}, planes binary")
+    home = F.expr(f"pos div {window}") if window > 0 else F.col("pos").cast("long")
+    dealt = packed.withColumn("home", home).withColumn("cell", F.explode(F.array(F.col("home"), F.col("home") - 1)))
+
+    def scan(group: pa.Table) -> pa.Table:
+        return _linked(group.sort_by([("pos", "ascending"), ("variant", "ascending")]), window, least, ploidy)
+
+    return dealt.groupBy("chrom", "cell").applyInArrow(scan, f"a {kind}, b {kind}, r2 double")
+
+
+def _linked(group: pa.Table, window: int, least: float, ploidy: int) -> pa.Table:
+    """Pairs of a cell: each of its own variants with those after it, guests of the next cell among them."""
+    pos = group.column("pos").to_numpy()
+    own = (group.column("home").to_numpy() == group.column("cell").to_numpy()).nonzero()[0]
+    raw = b"".join(x.as_py() for x in group.column("planes"))
+    bits = np.frombuffer(raw, np.uint64).reshape(len(pos), ploidy + 1, -1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in own.tolist():
+        end = int(np.searchsorted(pos, pos[i] + window, "right"))
+        if end > i + 1:
+            x, y = bits[i], bits[i + 1 : end]
+            both = x[0] & y[:, 0]
+            count = lambda b: np.bitwise_count(b).sum(-1).astype(np.float64)
+            n, levels = count(both), range(1, ploidy + 1)
+            sx, sy = (sum(count(p(k) & both) for k in levels) for p in (lambda k: x[k], lambda k: y[:, k]))
+            sxx, syy = (sum((2 * k - 1) * count(p(k) & both) for k in levels) for p in (lambda k: x[k], lambda k: y[:, k]))
+            sxy = sum(count(x[k] & y[:, m]) for k in levels for m in levels)
+            cov, var = n * sxy - sx * sy, (n * sxx - sx * sx) * (n * syy - sy * sy)
+            r2 = np.divide(cov * cov, var, out=np.full(len(n), -1.0), where=var > 0)
+            hit = np.flatnonzero((r2 >= least) & (var > 0))
+            found.append((np.full(len(hit), i), i + 1 + hit, r2[hit]))
+    a, b, r2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    names = group.column("variant")
+    return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "r2": pa.array(r2)})
 
 
 def ld_groups(assoc: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFrame:
@@ -180,30 +208,45 @@ def common(tags: DataFrame, least: float = 0.05) -> DataFrame:
     return tags.withColumn("maf", F.least("af", 1 - F.col("af"))).filter(F.col("maf") >= least)
 
 
-def ld_prune(pairs: DataFrame, sites: DataFrame) -> DataFrame:
+def ld_prune(pairs: DataFrame, sites: DataFrame, size: int = 1 << 16) -> DataFrame:
     """variant, kept: in order of place, a variant goes if linked to a kept earlier one.
 
-    Only variants that links connect bear on each other, so a component of links is a task, and a
-    variant without links is kept without any.
+    Places are dealt to ranges of `size`. In a round every range goes through its open variants from left to right: one
+    with a kept earlier neighbour goes, one whose earlier neighbours all went stays, and one that hangs on
+    an open variant of another range waits. What was settled is written and told to the next round, so a
+    range hands its state over its border; the first open range always settles, and links rarely reach so far
+    that more than a few rounds are needed.
     """
-
-    def prune(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(right["a"], right["b"]):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        kept: set = set()
-        ordered = left.sort_values(["pos", "variant"])["variant"].tolist()
-        for v in ordered:
-            if not any(u in kept for u in near.get(v, ())):
-                kept.add(v)
-        return pd.DataFrame({"variant": ordered, "kept": [v in kept for v in ordered]})
-
-    comp = connected_components(pairs, "a", "b").withColumnRenamed("id", "variant")
-    linked = sites.select("variant", "pos").join(comp, "variant")
-    links = pairs.select("a", "b").join(comp.select(F.col("variant").alias("a"), F.col("component").alias("of")), "a")
-    pruned = linked.groupBy("component").cogroup(links.groupBy("of")).applyInPandas(prune, "variant long, kept boolean")
-    return pruned.unionByName(sites.join(comp, "variant", "left_anti").select("variant", F.lit(True).alias("kept")))
+    order = numbered(sites.select("variant", "pos"), ["pos", "variant"], "place")
+    ends = pairs.select("a", "b").join(order.select(F.col("variant").alias("a"), F.col("place").alias("x")), "a").join(order.select(F.col("variant").alias("b"), F.col("place").alias("y")), "b")
+    links = ends.filter("x <> y").select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier")).distinct()
+    links = written(links.withColumn("part", F.expr(f"later div {size}")), "links")
+    free = written(links.select(F.col("earlier").alias("place")).distinct().join(links.select(F.col("later").alias("place")), "place", "left_anti").withColumn("kept", F.lit(True)), "settled")
+
+    def told(rows: DataFrame, news: DataFrame) -> DataFrame:
+        return rows.join(news.select(F.col("place").alias("earlier"), F.col("kept").alias("_news")), "earlier", "left").withColumn("kept", F.coalesce("kept", "_news")).drop("_news")
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        state: dict[int, bool | None] = {}
+        near: dict[int, list[tuple[int, bool | None]]] = {}
+        for later, earlier, kept in zip(part["later"].tolist(), part["earlier"].tolist(), part["kept"].tolist()):
+            near.setdefault(later, []).append((earlier, kept))
+        for place in sorted(near):
+            seen = [state.get(e) if k is None else k for e, k in near[place]]
+            state[place] = False if True in seen else None if None in seen else True
+        return pd.DataFrame({"place": list(state), "kept": pd.array(list(state.values()), dtype="boolean")})
+
+    open_ = told(links.withColumn("kept", F.lit(None).cast("boolean")), free)
+    settled = free
+    while True:
+        out = written(open_.select("part", "later", "earlier", "kept").groupBy("part").applyInPandas(settle, "place long, kept boolean"), "round")
+        news = out.filter("kept is not null")
+        settled = settled.unionByName(news)
+        if out.filter("kept is null").isEmpty():
+            break
+        left = open_.join(news.select(F.col("place").alias("later")), "later", "left_anti")
+        open_ = written(told(left, news), "open")
+    return order.join(settled, "place", "left").select("variant", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def merge_types(**matrices: DataFrame) -> DataFrame:
@@ -285,105 +328,12 @@ def kinship(dosage: DataFrame, power: float = -0.25, kept: DataFrame | None = No
     """(a, b, k): mean over variants of products of centred doses, each scaled by (2f(1-f)) ** (power / 2).
 
     A product then carries (2f(1-f)) ** power; power -1 gives standardised doses. kept (variant) is the
-    thinned set, if any. Doses meet in blocks of BLOCK samples, so a variant makes a row for each pair of
-    blocks, not for each pair of samples, and a task adds up matrices. Missing (null) doses are left out:
-    a pair's mean is over the variants that both have.
+    thinned set, if any. Missing (null) doses are left out: a pair's mean is over the variants that both have.
+    Doses meet in blocks of BLOCK samples (`samples.mean_products`).
     """
     dosage = dosage.filter(F.col("dose").isNotNull())
     if kept is not None:
         dosage = dosage.join(kept.select("variant").distinct(), "variant", "left_semi")
     freq = dosage.groupBy("variant").agg((F.avg("dose") / 2).alias("f")).filter("f > 0 and f < 1")
     z = (F.col("dose") - 2 * F.col("f")) * F.pow(2 * F.col("f") * (1 - F.col("f")), F.lit(power / 2))
-    order = numbered(dosage.select("sample").distinct(), ["sample"], "place").withColumn("place", F.col("place") - 1)
-    cells = F.collect_list(F.struct((F.col("place") % BLOCK).cast("int").alias("at"), F.col("z").alias("z")))
-    scaled = dosage.join(freq, "variant").select("variant", "sample", z.alias("z")).join(order, "sample")
-    blocks = scaled.groupBy("variant", F.floor(F.col("place") / BLOCK).alias("block")).agg(cells.alias("cells"))
-    one, two = (blocks.select("variant", F.col("block").alias(b), F.col("cells").alias(c)) for b, c in (("p", "x"), ("q", "y")))
-    pairs = one.join(two, "variant").filter("p <= q").select("p", "q", "x", "y")
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            sides = []
-            for column in (batch.column(2), batch.column(3)):
-                cells, owner = column.flatten(), np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-                dense, there = np.zeros((len(column), BLOCK)), np.zeros((len(column), BLOCK))
-                at = np.array(cells.field("at"))
-                dense[owner, at], there[owner, at] = np.array(cells.field("z")), 1
-                sides.append((dense, there))
-            for name in sorted(set(names)):
-                rows = [i for i, n in enumerate(names) if n == name]
-                (x, u), (y, v) = ((d[rows], t[rows]) for d, t in sides)
-                sums[name] = sums.get(name, 0) + np.stack([x.T @ y, u.T @ v])
-        for (p, q), (total, n) in sums.items():
-            i, j = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(p * BLOCK + i), pa.array(q * BLOCK + j), pa.array(total[i, j]), pa.array(n[i, j])], names=["i", "j", "s", "n"])
-
-    added = pairs.mapInArrow(add, "i long, j long, s double, n double").filter("i <= j").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("k"))
-    left, right = (order.select(F.col("place").alias(i), F.col("sample").alias(s)) for i, s in (("i", "a"), ("j", "b")))
-    return added.join(left, "i").join(right, "j").select("a", "b", "k")
-
-
-def neighbour_joining(distances: DataFrame, most: int = 2_000, weighted: bool = True) -> list[tuple[int, int, float, float]]:
-    """Joins of the neighbour-joining tree from (a, b, d); for a bounded number of samples, on the driver.
-
-    Each row joins two nodes under a new one, numbered on from the largest id, with the lengths of their
-    branches; the last row is the one branch between the two nodes that are left, with length 0 on the
-    other side. Weighted joins (BIONJ) mix the two rows of distances by their variances, which start as
-    the distances themselves; otherwise by halves.
-    """
-    rows = distances.limit(most * most + 1).collect()
-    ids = sorted({r.a for r in rows} | {r.b for r in rows})
-    if len(ids) > most or len(rows) > most * most:
-        raise ValueError(f"more than {most} samples")
-    d = np.zeros((len(ids), len(ids)))
-    at = {s: i for i, s in enumerate(ids)}
-    for r in rows:
-        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.d if r.a != r.b else 0.0
-    variance = d.copy()
-    out, new = [], max(ids, default=0) + 1
-    while len(ids) > 2:
-        n = len(ids)
-        total = d.sum(0)
-        score = (n - 2) * d - total - total[:, None]
-        score[np.tril_indices(n)] = np.inf
-        i, j = np.unravel_index(int(np.argmin(score)), score.shape)
-        half = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
-        out.append((ids[i], ids[j], float(half), float(d[i, j] - half)))
-        rest = np.setdiff1d(np.arange(n), [i, j])
-        share = 0.5
-        if weighted and variance[i, j] > 0:
-            share = float(np.clip(0.5 + (variance[j, rest] - variance[i, rest]).sum() / (2 * (n - 2) * variance[i, j]), 0, 1))
-        row = share * (d[i, rest] - half) + (1 - share) * (d[j, rest] - (d[i, j] - half))
-        spread = share * variance[i, rest] + (1 - share) * variance[j, rest] - share * (1 - share) * variance[i, j]
-        d, variance = (np.block([[m[np.ix_(rest, rest)], r[:, None]], [r[None], np.zeros((1, 1))]]) for m, r in ((d, row), (variance, spread)))
-        ids = [ids[k] for k in rest] + [new]
-        new += 1
-    if len(ids) == 2:
-        out.append((ids[0], ids[1], float(d[0, 1]), 0.0))
-    return out
-
-
-def principal_components(similarity: DataFrame, n: int = 4, most: int = 3_000) -> DataFrame:
-    """sample, pc1 .. pcn from a symmetric (a, b, k) similarity of a bounded number of samples.
-
-    The matrix is centred and decomposed on the driver; each vector's largest entry is positive. Without
-    samples there are no rows.
-    """
-    rows = similarity.limit(most * most + 1).collect()
-    if not rows:
-        return similarity.sparkSession.createDataFrame([], ", ".join(["sample long", *(f"pc{i + 1} double" for i in range(n))]))
-    ids = sorted({r.a for r in rows} | {r.b for r in rows})
-    if len(ids) > most:
-        raise ValueError(f"more than {most} samples")
-    at = {s: i for i, s in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.k
-    m = m - m.mean(0) - m.mean(1)[:, None] + m.mean()
-    _, vectors = np.linalg.eigh(m)
-    top = vectors[:, ::-1][:, :n]
-    top = top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
-    columns = ", ".join(f"pc{i + 1} double" for i in range(top.shape[1]))
-    return similarity.sparkSession.createDataFrame([(s, *map(float, row)) for s, row in zip(ids, top)], f"sample long, {columns}")
+    return mean_products(dosage.join(freq, "variant").select("variant", "sample", z.alias("value")), BLOCK)

@@ -13,7 +13,7 @@ PAIR = ["qseqid", "sseqid"]
 def _covered(hits: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Bases of the union of 1-based inclusive ranges, whichever way they run."""
     rows = hits.select(*keys, (F.least(start, end) - 1).alias("lo"), F.greatest(start, end).alias("hi"))
-    return union(rows, keys).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("bases"))
+    return union(rows, keys, width=None).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("bases"))
 
 
 def _first(column: str) -> Column:

@@ -1,19 +1,24 @@
 """Interval algebra on rows (key columns, lo, hi), half-open; void rows (lo = hi) contribute nothing.
 
 A set of intervals is any number of rows per key. Canonical sets are disjoint, joined where they
-touch, and come from `union`. Everything is a window or an aggregate over the keys, or an equi-join
-on the keys and position bins with a residual range, so Catalyst plans it and a key with very many rows,
-such as a chromosome, is dealt over its bins.
+touch, and come from `union`. Overlaps are an equi-join on the keys and position bins with a residual range.
+Sweeps go in two levels: each cell of WIDTH positions is swept by itself, one row a cell says what it
+hands on (its greatest end, its sums), a scan over a key's cells gives each the state it starts from, and
+the cells are stitched. Rows of one place are summed first, so no cell has over WIDTH rows, and
+a key with very many rows, such as a chromosome, is dealt over its cells; only a key's cells meet in one place.
+Null keys are a key of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Keys = Sequence[str]
+WIDTH = 1 << 16
 
 
 def checked(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -31,17 +36,62 @@ def overlap_length(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Co
     return F.greatest(F.lit(0), F.least(a_hi, b_hi) - F.greatest(a_lo, b_lo))
 
 
-def union(df: DataFrame, keys: Keys = ("id",), touching: bool = True, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Coalesce overlapping (and, if asked, touching) intervals of each key."""
+def in_cell(at: str, width: int) -> Column:
+    """The cell of a place; never falls as places rise."""
+    return F.expr(f"`{at}` div {width}").alias("_cell")
+
+
+def stitched(rows: DataFrame, states: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows with the columns of the state of their key and cell, null keys too."""
+    right = states.withColumnsRenamed({c: f"{c}_of" for c in on})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in on))
+    return rows.join(right, same).drop(*(f"{c}_of" for c in on))
+
+
+def _islands(rows: DataFrame, keys: Keys, touching: bool, lo: str, hi: str) -> DataFrame:
+    """Disjoint intervals of each key by one window."""
     order = Window.partitionBy(*keys).orderBy(lo, hi)
     reach = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col(lo) > F.col("_reach") if touching else F.col(lo) >= F.col("_reach")
-    islands = (
-        checked(df, lo, hi)
-        .withColumn("_reach", reach)
-        .withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+    gap = F.col("_reach").isNull() | _apart(F.col(lo), F.col("_reach"), touching)
+    numbered = rows.withColumn("_reach", reach).withColumn("_island", F.sum(gap.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
+def _apart(lo: Column, reach: Column, touching: bool) -> Column:
+    return lo > reach if touching else lo >= reach
+
+
+def union(df: DataFrame, keys: Keys = ("id",), touching: bool = True, lo: str = "lo", hi: str = "hi", width: int | None = WIDTH) -> DataFrame:
+    """Coalesce overlapping (and, if asked, touching) intervals of each key.
+
+    An island of a cell that what lies before reaches belongs to the last island that began before its cell. For
+    keys with few rows each, width None does it by one window.
+    """
+    if width is None:
+        return _islands(checked(df, lo, hi), keys, touching, lo, hi)
+    own = [*keys, "_cell"]
+    farthest = checked(df, lo, hi).groupBy(*keys, lo).agg(F.max(hi).alias(hi)).withColumn("_cell", in_cell(lo, width))
+    islands = _islands(farthest, own, touching, lo, hi)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = islands.groupBy(*own).agg(F.max(hi).alias("_end"), F.max(lo).alias("_last")).withColumn("_carry", F.max("_end").over(before))
+    begins = lambda at: F.col("_carry").isNull() | _apart(F.col(at), F.col("_carry"), touching)
+    states = cells.withColumn("_home", F.max(F.when(begins("_last"), F.col("_last"))).over(before)).select(*own, "_carry", "_home")
+    begun = F.when(begins(lo), F.col(lo)).otherwise(F.col("_home")).alias("_begun")
+    return stitched(islands, states, own).groupBy(*keys, begun).agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_begun")
+
+
+def running(events: DataFrame, keys: Keys, at: str, sums: Sequence[str], width: int = WIDTH) -> DataFrame:
+    """keys, at, the place `next` of the key's next event (null at the last), and each sum over all events up to here."""
+    own = [*keys, "_cell"]
+    net = events.groupBy(*keys, at).agg(*(F.sum(c).alias(c) for c in sums)).withColumn("_cell", in_cell(at, width))
+    order = Window.partitionBy(*own).orderBy(at)
+    inside = net.select(*own, at, F.lead(at).over(order).alias("_next"), *(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums))
+    cells = Window.partitionBy(*keys).orderBy("_cell")
+    before = cells.rowsBetween(Window.unboundedPreceding, -1)
+    totals = net.groupBy(*own).agg(F.min(at).alias("_first"), *(F.sum(c).alias(f"_{c}") for c in sums))
+    states = totals.select(*own, F.lead("_first").over(cells).alias("_after"), *(F.sum(f"_{c}").over(before).alias(f"_{c}") for c in sums))
+    carried = [(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums]
+    return stitched(inside, states, own).select(*keys, at, F.coalesce("_next", "_after").alias("next"), *carried)
 
 
 def add_sets(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame:
@@ -59,18 +109,15 @@ def length(df: DataFrame, keys: Keys = ("id",)) -> DataFrame:
     return union(df, keys).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("length"))
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, keys: Keys = ("id",), width: int = WIDTH) -> DataFrame:
     """A - B by a sweep over end points: segments where A covers and B doesn't, joined again."""
 
     def events(df: DataFrame, da: int, db: int) -> DataFrame:
         rows = checked(df).select(*keys, F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-        return rows.select(*keys, F.col("e.at").alias("at"), (F.col("e.d") * da).alias("da"), (F.col("e.d") * db).alias("db"))
+        return rows.select(*keys, F.col("e.at").alias("lo"), (F.col("e.d") * da).alias("in_a"), (F.col("e.d") * db).alias("in_b"))
 
-    net = events(a, 1, 0).unionByName(events(b, 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    swept = net.select(*keys, F.col("at").alias("lo"), F.lead("at").over(order).alias("hi"), F.sum("da").over(running).alias("in_a"), F.sum("db").over(running).alias("in_b"))
-    return union(swept.filter("in_a > 0 and in_b = 0 and hi is not null").select(*keys, "lo", "hi"), keys)
+    swept = running(events(a, 1, 0).unionByName(events(b, 0, 1)), keys, "lo", ["in_a", "in_b"], width).withColumnRenamed("next", "hi")
+    return union(swept.filter("in_a > 0 and in_b = 0 and hi is not null").select(*keys, "lo", "hi"), keys, width=width)
 
 
 def complement(genome: DataFrame, regions: DataFrame, keys: Keys = ("id",)) -> DataFrame:
@@ -106,10 +153,15 @@ def coverage_percent(a: DataFrame, b: DataFrame, keys: Keys = ("id",)) -> DataFr
     return set_overlap_length(a, b, keys).join(whole, list(keys)).select(*keys, "overlap", "length", F.when(F.col("length") > 0, share).otherwise(F.raise_error(F.lit("empty set")).cast("double")).alias("coverage"))
 
 
-def any_overlap(df: DataFrame, keys: Keys = ("id",)) -> DataFrame:
-    """Per key, whether two of its intervals overlap."""
-    order = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    return checked(df).withColumn("_reach", F.max("hi").over(order)).groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("lo") < F.col("_reach")), F.lit(False)).alias("overlaps"))
+def any_overlap(df: DataFrame, keys: Keys = ("id",), width: int = WIDTH) -> DataFrame:
+    """Per key, whether two of its intervals overlap: two of one start, or one that starts before the farthest end so far."""
+    own = [*keys, "_cell"]
+    places = checked(df).groupBy(*keys, "lo").agg(F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("_cell", in_cell("lo", width))
+    inside = Window.partitionBy(*own).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    met = (F.col("n") > 1) | F.coalesce(F.col("lo") < F.max("hi").over(inside), F.lit(False))
+    cells = places.withColumn("_met", met).groupBy(*own).agg(F.bool_or("_met").alias("_met"), F.min("lo").alias("_first"), F.max("hi").alias("_end"))
+    carry = F.max("_end").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    return cells.withColumn("_met", F.col("_met") | F.coalesce(F.col("_first") < carry, F.lit(False))).groupBy(*keys).agg(F.bool_or("_met").alias("overlaps"))
 
 
 def center(df: DataFrame, keys: Keys = ("id",)) -> DataFrame:

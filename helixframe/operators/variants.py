@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
 from .graph import components_with_nodes, cut_lineage
+from .intervals import binned_overlaps, overlap_length, running, union
 
+COVER_BLOCK = 1 << 12
 SPAN_TYPES = ("DEL", "DUP", "CONTR", "INV")
 
 
@@ -71,16 +76,94 @@ def window_assign(svs: DataFrame, grid: DataFrame, window: int, step: int) -> Da
     return joined.filter(inside1 | inside2 | around).select("variant", "chrom", "start", "end")
 
 
-def theta_pi(assigned: DataFrame, genotypes: DataFrame, window: int) -> DataFrame:
-    """Sum over a window's sites of 1 - sum of squared allele frequencies, times n / (n - 1) / window.
+def window_ranges(svs: DataFrame, chromosomes: DataFrame, window: int, step: int) -> DataFrame:
+    """variant, chrom and the runs lo .. hi (half-open) of numbers of the windows that `window_assign` gives a variant.
 
-    A site with a single allele called adds nothing.
+    One row or two a variant, however many windows they stand for: all windows that meet a variant within one
+    chromosome, those that hold a breakpoint of any other.
     """
+    part = lambda c, lo, hi: F.struct(F.col(c).alias("chrom"), F.col(lo).alias("a"), F.col(hi).alias("b"))
+    within = (F.col("type") != "TRA") & (F.col("chrom") == F.col("chrom2"))
+    parts = F.when(within, F.array(part("chrom", "pos", "pos2"))).otherwise(F.array(part("chrom", "pos", "pos"), part("chrom2", "pos2", "pos2")))
+    placed = svs.select("variant", F.explode(parts).alias("p")).select("variant", "p.*").join(chromosomes.select("chrom", "size"), "chrom").filter("a <= size")
+    most = F.floor((F.greatest(F.col("size") + step - window, F.lit(1)) - 1) / step)
+    first, last = F.greatest(F.ceil((F.col("a") - window) / step), F.lit(0)), F.least(F.floor(F.col("b") / step), most)
+    runs = placed.select("variant", "chrom", first.cast("long").alias("lo"), (last + 1).cast("long").alias("hi")).filter("lo < hi")
+    return union(runs, ("variant", "chrom"), width=None)
+
+
+def _steps(ranges: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """What each range adds where it begins and takes away where it ends."""
+    ends = F.array(F.struct(F.col("lo").alias("k"), F.lit(1).alias("sign")), F.struct(F.col("hi").alias("k"), F.lit(-1).alias("sign")))
+    return ranges.withColumn("_e", F.explode(ends)).select(*keys, "_e.k", *((value * F.col("_e.sign")).alias(name) for name, value in sums.items()))
+
+
+def _of_windows(runs: DataFrame, chromosomes: DataFrame, window: int, step: int) -> DataFrame:
+    """chrom, start, end, value of every window of the runs k .. next."""
+    each = runs.select("chrom", F.explode(F.sequence("k", F.col("next") - 1)).alias("k"), "value").join(chromosomes.select("chrom", "size"), "chrom")
+    start = F.col("k") * step
+    return each.select("chrom", start.alias("start"), F.least(start + window, "size").alias("end"), "value")
+
+
+def _site_values(genotypes: DataFrame) -> DataFrame:
+    """variant, site: (1 - sum of squared allele frequencies) * n / (n - 1), null if a single allele is called."""
     counts = genotypes.groupBy("variant", "allele").agg(F.count(F.lit(1)).alias("k"))
     sites = counts.groupBy("variant").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
     one = F.lit(1).cast("double")
-    site = F.try_divide((one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n"), F.col("n") - 1) / window
-    return assigned.join(sites, "variant").groupBy("chrom", "start", "end").agg(F.sum(F.coalesce(site, F.lit(0.0))).alias("value"))
+    return sites.select("variant", F.try_divide((one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n"), F.col("n") - 1).alias("site"))
+
+
+def sliding_theta_pi(svs: DataFrame, genotypes: DataFrame, chromosomes: DataFrame, window: int, step: int) -> DataFrame:
+    """theta_pi of every window with a variant: sites are added where their windows begin and taken away after them.
+
+    Sums are decimals, so what is taken away leaves nothing behind. No row is made for a variant's every window.
+    """
+    values = window_ranges(svs, chromosomes, window, step).join(_site_values(genotypes), "variant")
+    site = F.coalesce("site", F.lit(0.0)).cast("decimal(28,18)")
+    swept = running(_steps(values, ["chrom"], {"v": site, "n": F.lit(1)}), ("chrom",), "k", ["v", "n"])
+    return _of_windows(swept.filter("n > 0").withColumn("value", F.col("v").cast("double") / window), chromosomes, window, step)
+
+
+def sliding_theta_s(svs: DataFrame, n: int, chromosomes: DataFrame, window: int, step: int) -> DataFrame:
+    """theta_s of every window with a variant, by the same sums."""
+    harmonic = sum(1.0 / i for i in range(1, n))
+    swept = running(_steps(window_ranges(svs, chromosomes, window, step), ["chrom"], {"n": F.lit(1)}), ("chrom",), "k", ["n"])
+    value = F.try_divide(F.col("n"), F.lit(float(harmonic))) / F.lit(window)
+    return _of_windows(swept.filter("n > 0").withColumn("value", value), chromosomes, window, step)
+
+
+def sliding_gene_diversity(svs: DataFrame, genotypes: DataFrame, chromosomes: DataFrame, window: int, step: int) -> DataFrame:
+    """gene_diversity of every window of the grid, a haplotype being the set of its (variant, allele).
+
+    A haplotype's window is the difference of two prefix sums of hashes (96 bits, summed as integers that
+    can't overflow) along its chromosome. It only changes where a variant's windows begin or end, so
+    haplotypes are compared once for all windows between two such places: rows follow variants times
+    haplotypes, whatever the step. Every haplotype has a row, if of zeros, at each such place.
+    """
+    hashes = F.xxhash64("variant", "allele")
+    terms = {"a": F.shiftright(hashes, 32), "b": hashes.bitwiseAND(F.lit(0xFFFFFFFF)), "c": F.hash("variant", "allele").cast("long"), "n": F.lit(1).cast("long")}
+    held = window_ranges(svs, chromosomes, window, step).join(genotypes.select("variant", "sample", "hap", "allele"), "variant")
+    own = ["chrom", "sample", "hap"]
+    steps = cut_lineage(_steps(held, own, terms).groupBy(*own, "k").agg(*(F.sum(c).alias(c) for c in terms)), "steps")
+    zeros = steps.select("chrom", "k").distinct().join(steps.select(*own).distinct(), "chrom").select(*own, "k", *(F.lit(0).cast("long").alias(c) for c in terms))
+    states = running(steps.unionByName(zeros), own, "k", list(terms)).filter("n > 0")
+    kinds = states.groupBy("chrom", "k", "next", "a", "b", "c").agg(F.count(F.lit(1)).alias("m"))
+    sums = kinds.groupBy("chrom", "k", "next").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    one = F.lit(1).cast("double")
+    value = F.try_divide((one - one * F.col("q") / (F.col("n") * F.col("n"))) * F.col("n"), F.col("n") - 1)
+    found = _of_windows(sums.withColumn("value", value), chromosomes, window, step)
+    grid = window_grid(chromosomes, window, step)
+    return grid.join(found, ["chrom", "start", "end"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def theta_pi(assigned: DataFrame, genotypes: DataFrame, window: int) -> DataFrame:
+    """Sum over a window's sites of 1 - sum of squared allele frequencies, times n / (n - 1) / window.
+
+    A site with a single allele called adds nothing. For windows of any kind; a regular grid is swept by
+    `sliding_theta_pi`, which makes no row for each window of a variant.
+    """
+    site = F.col("site") / window
+    return assigned.join(_site_values(genotypes), "variant").groupBy("chrom", "start", "end").agg(F.sum(F.coalesce(site, F.lit(0.0))).alias("value"))
 
 
 def theta_s(assigned: DataFrame, n: int, window: int) -> DataFrame:
@@ -165,27 +248,65 @@ def link_translocations(tra: DataFrame, distance: int) -> DataFrame:
 
 
 def _near(tra: DataFrame, distance: int) -> DataFrame:
-    """Ordered pairs (src, dst) with both breakpoints nearer than distance, and whether they share a cell of the grid."""
+    """Ordered pairs (src, dst) with both breakpoints nearer than distance."""
     binned = tra.select("chrom", "chrom2", "id", "pos", "pos2", F.floor(F.col("pos") / distance).alias("bin"), F.floor(F.col("pos2") / distance).alias("bin2"))
     right = binned.select("chrom", "chrom2", "bin", "bin2", F.col("id").alias("dst"), F.col("pos").alias("q1"), F.col("pos2").alias("q2"))
     around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    left = binned.withColumnsRenamed({"bin": "own", "bin2": "own2", "id": "src"}).withColumn("bin", around("own")).withColumn("bin2", around("own2"))
+    left = binned.drop("bin", "bin2").withColumnRenamed("id", "src").withColumn("bin", F.floor(F.col("pos") / distance)).withColumn("bin2", F.floor(F.col("pos2") / distance))
+    left = left.withColumn("bin", around("bin")).withColumn("bin2", around("bin2"))
     near = (F.abs(F.col("pos") - F.col("q1")) < distance) & (F.abs(F.col("pos2") - F.col("q2")) < distance)
-    same = (F.col("bin") == F.col("own")) & (F.col("bin2") == F.col("own2"))
-    return left.join(right, ["chrom", "chrom2", "bin", "bin2"]).filter(near).select("src", "dst", same.alias("same_cell"))
+    return left.join(right, ["chrom", "chrom2", "bin", "bin2"]).filter(near).select("src", "dst")
+
+
+def spanning_links(tra: DataFrame, distance: int) -> DataFrame:
+    """Links (src, dst) with the components of `link_translocations`, a few for each row at most.
+
+    Cells of a grid as wide as the distance: whatever shares a cell is linked to its least id. Two cells side
+    by side are linked if the last of one and the first of the other are near, which one row a cell
+    tells. Of two cells at a corner, the rows are swept by their first place with the farthest second place
+    so far; of each place in a cell only its least and greatest second place take part, so a sweep has
+    at most 2 * distance rows however many translocations share a cell.
+    """
+    cell = ["chrom", "chrom2", "x", "y"]
+    rows = tra.select("chrom", "chrom2", "id", "pos", "pos2", F.expr(f"pos div {distance}").alias("x"), F.expr(f"pos2 div {distance}").alias("y"))
+    stars = rows.join(rows.groupBy(*cell).agg(F.min("id").alias("dst")), cell).filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    low, high = F.min(F.struct("pos2", "id")), F.max(F.struct("pos2", "id"))
+    places = cut_lineage(rows.groupBy(*cell, "pos").agg(low.alias("low"), high.alias("high")), "places")
+    ends = places.groupBy(*cell).agg(
+        F.min(F.struct("pos", F.col("low.id").alias("id"))).alias("left"), F.max(F.struct("pos", F.col("low.id").alias("id"))).alias("right"),
+        F.min("low").alias("bottom"), F.max("high").alias("top"),
+    )
+
+    def beside(dx: int, dy: int, mine: str, place: str, other: str) -> DataFrame:
+        far = ends.select("chrom", "chrom2", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col(other).alias("_far"))
+        met = ends.join(far, cell).filter(F.col("_far")[place] - F.col(mine)[place] < distance)
+        return met.select(F.col(f"{mine}.id").alias("src"), F.col("_far.id").alias("dst"))
+
+    def corner(dy: int) -> DataFrame:
+        """Links to the cell one to the right and one above (dy 1) or below (dy -1)."""
+        mine, theirs = ("high", "low") if dy > 0 else ("low", "high")
+        # heights are mirrored for the cell below, so that nearer is always higher
+        height = lambda c: F.col(c)["pos2"] * dy
+        left = places.select("chrom", "chrom2", "x", "y", F.col("pos").alias("at"), F.lit(1).alias("side"), height(mine).alias("h"), F.col(mine)["id"].alias("id"))
+        right = places.select("chrom", "chrom2", (F.col("x") - 1).alias("x"), (F.col("y") - dy).alias("y"), (F.col("pos") - distance).alias("at"), F.lit(0).alias("side"), height(theirs).alias("h"), F.col(theirs)["id"].alias("id"))
+        # a place of the left cell counts for a place of the right one that is less than the distance away
+        order = Window.partitionBy(*cell).orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+        strictly = F.max(F.when(F.col("side") == 1, F.struct("h", "id", "at"))).over(order)
+        swept = left.unionByName(right.withColumn("at", F.col("at") + 1)).withColumn("best", strictly)
+        near = swept.filter((F.col("side") == 0) & (F.col("h") - F.col("best.h") < distance))
+        return near.groupBy(*cell).agg(F.min(F.struct("id", "best")).alias("l")).select(F.col("l.best.id").alias("src"), F.col("l.id").alias("dst"))
+
+    across = beside(1, 0, "right", "pos", "left").unionByName(beside(0, 1, "top", "pos2", "bottom"))
+    return stars.unionByName(across).unionByName(corner(1)).unionByName(corner(-1))
 
 
 def merge_translocations(tra: DataFrame, distance: int, strains: DataFrame | None = None) -> DataFrame:
     """One row per component: rounded means (half even), sample deviations, members and their number.
 
     With strains (strain, ord from 0) and a strain of each translocation, also supp_vec: a 0 or 1 for
-    every strain, in their order. Translocations in one cell of a grid as wide as the distance are all
-    near each other, so there a star stands for all pairs.
+    every strain, in their order.
     """
-    cell = ["chrom", "chrom2", F.floor(F.col("pos") / distance), F.floor(F.col("pos2") / distance)]
-    stars = tra.select("id", F.min("id").over(Window.partitionBy(*cell)).alias("dst")).filter("id <> dst").select(F.col("id").alias("src"), "dst")
-    across = _near(tra, distance).filter("src < dst and not same_cell").select("src", "dst")
-    comp = components_with_nodes(tra.select("id"), cut_lineage(stars.unionByName(across), "tra"))
+    comp = components_with_nodes(tra.select("id"), cut_lineage(spanning_links(tra, distance), "tra"))
     members = tra.join(comp, "id")
     rows = members.groupBy("component")
     mean = lambda c: F.rint(F.avg(c)).cast("long").alias(c)
@@ -214,9 +335,7 @@ def impact_regions(svs: DataFrame, margin: int) -> DataFrame:
 
 def gene_pairs(svs: DataFrame, genes: DataFrame, margin: int) -> DataFrame:
     """variant, gene, overlap: share of a gene's bases in a variant's impact region, where there is any."""
-    from .intervals import binned_overlaps, overlap_length, union
-
-    regions = union(impact_regions(svs, margin), ["variant", "id"])
+    regions = union(impact_regions(svs, margin), ["variant", "id"], width=None)
     pairs = binned_overlaps(regions, genes.select("id", "gene", "lo", "hi"), ["id"], 20_000)
     bases = F.sum(overlap_length(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi")))
     return pairs.groupBy("variant", F.col("b_gene").alias("gene"), (F.col("b_hi") - F.col("b_lo")).alias("size")).agg(bases.alias("b")).select("variant", "gene", (F.lit(1).cast("double") * F.col("b") / F.col("size")).alias("overlap"))
@@ -232,24 +351,63 @@ def variant_type(ref: Column, alt: Column) -> Column:
     return F.when(a == b, "SNP").when((a < 50) & (b < 50), "INDEL").otherwise("SV")
 
 
-def greedy_cover(presence: DataFrame, high_quality: DataFrame, most: int = 500) -> DataFrame:
+def greedy_cover(presence: DataFrame, high_quality: DataFrame, most: int = 500, at_once: int = 32) -> DataFrame:
     """step, haplotype, gained: haplotypes by most uncovered variants, high quality first while they gain.
 
-    presence (haplotype, ord, variant). One pass over the uncovered rows and one small checkpoint a
-    step; stops when nothing is gained.
+    presence (haplotype, ord, variant). Variants are numbered and held as bitmaps of COVER_BLOCK bits, a row for each
+    haplotype and block, written once. What a haplotype would gain can only fall, so old gains are bounds: a
+    step counts anew for the `at_once` haplotypes of the greatest bounds until one beats all bounds that are
+    left. A step writes the bitmaps of what is covered and nothing else; the driver holds a number a haplotype.
     """
     spark = presence.sparkSession
-    left = cut_lineage(presence.join(high_quality.select("haplotype").distinct().withColumn("hq", F.lit(1)), "haplotype", "left").withColumn("hq", F.coalesce("hq", F.lit(0))), "cover")
+    places = numbered(presence.select("variant").distinct(), ["variant"], "place").withColumn("place", F.col("place") - 1)
+    held = presence.select("haplotype", "ord", "variant").distinct().join(places, "variant")
+    bits = held.groupBy("haplotype", F.floor(F.col("place") / COVER_BLOCK).alias("block")).agg(F.collect_list((F.col("place") % COVER_BLOCK).cast("int")).alias("at"))
+    kind = presence.schema["haplotype"].dataType.simpleString()
+
+    def packed(batches):
+        for batch in batches:
+            rows = []
+            for at in batch.column(2):
+                flags = np.zeros(COVER_BLOCK, bool)
+                flags[at.values.to_numpy()] = True
+                rows.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], names=["haplotype", "block", "bits"])
+
+    table = cut_lineage(bits.select("haplotype", "block", "at").mapInArrow(packed, f"haplotype {kind}, block long, bits binary"), "bitmaps")
+
+    def fresh(batches):
+        for batch in batches:
+            n = [int(np.bitwise_count(np.frombuffer(b, np.uint8) & ~np.frombuffer(c or bytes(COVER_BLOCK // 8), np.uint8)).sum()) for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["haplotype", "n"])
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        union = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([union.tobytes()], pa.binary())})
+
+    good = high_quality.select("haplotype").distinct().withColumn("hq", F.lit(True))
+    sizes = held.groupBy("haplotype", "ord").agg(F.count(F.lit(1)).alias("n")).join(good, "haplotype", "left").collect()  # a row a haplotype
+    rank = {r.haplotype: (0 if r.hq else 1, r.ord) for r in sizes}
+    entry = lambda name, n, step: (rank[name][0], -n, rank[name][1], name, step)
+    queue = [entry(r.haplotype, r.n, 0) for r in sizes]
+    heapify(queue)
+    covered: DataFrame | None = None
     steps: list[tuple[int, str, int]] = []
-    while len(steps) < most:
-        gains = left.groupBy("haplotype", "ord", "hq").agg(F.countDistinct("variant").alias("k"))
-        best = gains.orderBy(F.col("hq").desc(), F.col("k").desc(), "ord").limit(1).collect()
-        if not best or not best[0].k:
-            break
-        steps.append((len(steps) + 1, best[0].haplotype, best[0].k))
-        covered = left.filter(F.col("haplotype") == best[0].haplotype).select("variant").distinct()
-        left = cut_lineage(left.join(covered, "variant", "left_anti"), "cover")
-    return spark.createDataFrame(steps, "step long, haplotype string, gained long")
+    while queue and len(steps) < most:
+        if queue[0][4] == len(steps):
+            _, loss, _, chosen, _ = heappop(queue)
+            steps.append((len(steps) + 1, chosen, -loss))
+            own = table.filter(F.col("haplotype") == chosen).select("block", "bits")
+            covered = cut_lineage(own if covered is None else covered.unionByName(own).groupBy("block").applyInArrow(merge, "block long, bits binary"), "covered")
+            continue
+        stale = []
+        while queue and len(stale) < at_once and queue[0][4] != len(steps):
+            stale.append(heappop(queue)[3])
+        asked = table.filter(F.col("haplotype").isin(stale)).join(covered.withColumnRenamed("bits", "old"), "block", "left").select("haplotype", "bits", "old")
+        for r in asked.mapInArrow(fresh, f"haplotype {kind}, n long").groupBy("haplotype").agg(F.sum("n").alias("n")).collect():
+            if r.n:
+                heappush(queue, entry(r.haplotype, r.n, len(steps)))
+    return spark.createDataFrame(steps, f"step long, haplotype {kind}, gained long")
 
 
 def te_tag(df: DataFrame, related: DataFrame, column: str = "id") -> DataFrame:
@@ -263,14 +421,21 @@ def concat_sources(merged: DataFrame, translocations: DataFrame) -> DataFrame:
 
 
 def loh_windows(snps: DataFrame, chromosomes: DataFrame, bin_size: int = 1000, bins: int = 50, most: int = 10) -> DataFrame:
-    """chrom, start, end of sliding windows of `bins` bins with fewer than `most` heterozygous sites; ends clipped."""
+    """chrom, start, end of sliding windows of `bins` bins with fewer than `most` heterozygous sites; ends clipped.
+
+    Bins are summed in blocks of `block` bins, each with the first bins of the next, so a chromosome is
+    dealt over its blocks.
+    """
+    block = max(4096, 4 * bins)
     grid = chromosomes.select("chrom", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / bin_size).cast("long"))).alias("bin"))
     counts = snps.groupBy("chrom", F.floor(F.col("pos") / bin_size).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
-    frame = Window.partitionBy("chrom").orderBy("bin").rowsBetween(0, bins - 1)
-    dense = grid.join(counts, ["chrom", "bin"], "left").withColumn("s", F.sum(F.coalesce("k", F.lit(0))).over(frame))
+    home = F.floor(F.col("bin") / block)
+    shared = F.when((F.col("bin") % block < bins - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    frame = Window.partitionBy("chrom", "block").orderBy("bin").rowsBetween(0, bins - 1)
+    dense = grid.join(counts, ["chrom", "bin"], "left").withColumn("block", F.explode(shared)).withColumn("s", F.sum(F.coalesce("k", F.lit(0))).over(frame))
     start = F.col("bin") * bin_size
     whole = (F.col("bin") + bins <= F.ceil(F.col("size") / bin_size)) | (F.col("bin") == 0)
-    return dense.filter((F.col("s") < most) & whole).select("chrom", start.alias("start"), F.least(start + bins * bin_size, "size").alias("end"))
+    return dense.filter((F.col("block") == home) & (F.col("s") < most) & whole).select("chrom", start.alias("start"), F.least(start + bins * bin_size, "size").alias("end"))
 
 
 def allele_balance(counts: Column) -> Column:

@@ -109,8 +109,12 @@ def svs(v):
     return vr.second_breakpoint(unpacked).withColumnRenamed("event_id", "variant").drop("id", "n", "info")
 
 
+def sizes(v):
+    return v.sv.select("chrom").distinct().withColumn("size", F.lit(101_000))
+
+
 def grid(v):
-    return vr.window_grid(v.sv.select("chrom").distinct().withColumn("size", F.lit(101_000)), 10_000, 5_000)
+    return vr.window_grid(sizes(v), 10_000, 5_000)
 
 
 def assigned(v):
@@ -139,12 +143,12 @@ def _(v):
 
 @query("theta_pi", BP + ASSIGN + ", c AS (SELECT variant, allele, count(*) AS k FROM {gt} GROUP BY ALL), s AS (SELECT variant, sum(k) AS n, sum(k * k) AS q FROM c GROUP BY variant) SELECT chrom, start, stop, round(sum((1 - q / CAST(n * n AS DOUBLE)) * n / (n - 1) / 10000), 12) AS value FROM asg JOIN s USING (variant) GROUP BY chrom, start, stop")
 def _(v):
-    return vr.theta_pi(assigned(v), v.gt, 10_000).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
+    return vr.sliding_theta_pi(svs(v), v.gt, sizes(v), 10_000, 5_000).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
 
 
 @query("theta_s", BP + ASSIGN + " SELECT chrom, start, stop, round(count(*) / (SELECT sum(1 / CAST(i AS DOUBLE)) FROM range(1, 10) t(i)) / 10000, 12) AS value FROM asg GROUP BY chrom, start, stop")
 def _(v):
-    return vr.theta_s(assigned(v), 10, 10_000).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
+    return vr.sliding_theta_s(svs(v), 10, sizes(v), 10_000, 5_000).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
 
 
 HAPS = ", hs AS (SELECT chrom, start, stop, sample, hap, string_agg(allele, '' ORDER BY variant) AS h FROM (SELECT DISTINCT * FROM asg) a JOIN (SELECT variant, sample, hap, allele FROM {gt}) USING (variant) GROUP BY ALL), hc AS (SELECT chrom, start, stop, h, count(*) AS k FROM hs GROUP BY ALL)"
@@ -152,7 +156,7 @@ HAPS = ", hs AS (SELECT chrom, start, stop, sample, hap, string_agg(allele, '' O
 
 @query("gene_diversity", BP + ASSIGN + HAPS + ", q AS (SELECT chrom, start, stop, sum(k) AS n, sum(k * k) AS q FROM hc GROUP BY ALL) SELECT chrom, start, stop, round(coalesce((1 - q / CAST(n * n AS DOUBLE)) * n / (n - 1), 0), 12) AS value FROM grid LEFT JOIN q USING (chrom, start, stop)")
 def _(v):
-    return vr.gene_diversity(assigned(v), v.gt, grid(v)).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
+    return vr.sliding_gene_diversity(svs(v), v.gt, sizes(v), 10_000, 5_000).select("chrom", "start", F.col("end").alias("stop"), F.round("value", 12).alias("value"))
 
 
 @query("region_haplotypes", BP + """, r AS (SELECT variant FROM bp WHERE (chrom = 'chromosome3' OR chrom2 = 'chromosome3') AND (pos BETWEEN 20000 AND 60000 OR pos2 BETWEEN 20000 AND 60000 OR (chrom = chrom2 AND pos <= 20000 AND pos2 >= 60000))),

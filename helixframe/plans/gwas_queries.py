@@ -149,9 +149,13 @@ e AS (SELECT chrom, unnest(arg_max(kept, r)) AS variant FROM k GROUP BY chrom)
 SELECT variant, variant IN (SELECT variant FROM e) AS kept FROM o"""
 
 
+def sites(v):
+    return v.part.selectExpr("p_partkey AS variant", "p_partkey % 16 + 1 AS chrom", "p_partkey * 100 AS pos")
+
+
 @query("ld_prune", PRUNE)
 def _(v):
-    return gw.ld_prune(pairs(v), v.part.selectExpr("p_partkey AS variant", "p_partkey % 16 + 1 AS chrom", "p_partkey * 100 AS pos"))
+    return gw.ld_prune(pairs(v), sites(v))
 
 
 @query("geno_merge_types", "SELECT concat('SNP_', p_partkey) AS variant, p_size FROM {part} UNION ALL SELECT concat('SV_', p_partkey), p_size FROM {part} WHERE p_size > 10")
@@ -223,14 +227,54 @@ def _(v):
     return gw.kinship(dosage(v)).withColumn("k", F.round("k", 9))
 
 
+DISS = DOSE + ", dd AS (SELECT a.sample AS a, b.sample AS b, avg(abs(a.dose - b.dose)) / 2 AS d FROM ds a JOIN ds b ON a.variant = b.variant AND a.sample < b.sample GROUP BY ALL)"
+
+
+@query("dissimilarity", DISS + " SELECT a, b, round(d, 9) AS d FROM dd")
+def _(v):
+    return gw.dissimilarity(dosage(v)).withColumn("d", F.round("d", 9))
+
+
+def tree(v):
+    d = gw.dissimilarity(dosage(v))
+    return d.sparkSession, gw.neighbour_joining(d)
+
+
 @query("nj_tree")
 def _(v):
-    k = gw.kinship(dosage(v)).filter("a < b").selectExpr("a", "b", "1 - k AS d")
-    joins = gw.neighbour_joining(k)
-    return k.sparkSession.createDataFrame([(a, b, round(x, 9), round(y, 9)) for a, b, x, y in joins], "a long, b long, da double, db double")
+    spark, joins = tree(v)
+    return spark.createDataFrame([(a, b, round(x, 9), round(y, 9)) for a, b, x, y in joins], "a long, b long, da double, db double")
+
+
+@query("tree_newick")
+def _(v):
+    """The tree written as a Newick text and read again, a row for each node."""
+    from ..storage import fresh_path
+    from ..operators.trees import newick, read_newick, write_newick
+
+    spark, joins = tree(v)
+    path = fresh_path(spark, "newick")
+    write_newick(spark, [newick(joins, {r.n_nationkey: r.n_name for r in v.nation.collect()})], path)
+    return read_newick(spark, path).select("node", "parent", "name", F.round("length", 9).alias("length"))
 
 
 @query("pca")
 def _(v):
     parts = gw.principal_components(gw.kinship(dosage(v)), 4)
     return parts.select("sample", *(F.round(f"pc{i}", 6).alias(f"pc{i}") for i in range(1, 5)))
+
+
+@query("reml")
+def _(v):
+    """Variance of the nations' mean balances by the kinships of two classes of variants."""
+    doses = dosage(v)
+    kinships = {name: gw.kinship(doses.filter(f"variant % 3 {test} 0"), -1.0) for name, test in (("Her_SNPs", "="), ("Her_SVs", "<>"))}
+    phenotypes = v.customer.groupBy(F.col("c_nationkey").cast("long").alias("sample")).agg(F.avg("c_acctbal").alias("value"))
+    return gw.reml(kinships, phenotypes).select("name", F.round("share", 6).alias("share"))
+
+
+@query("kinship_pruned", PRUNE[: PRUNE.rindex("\nSELECT")] + ", kp AS (SELECT * FROM ds WHERE variant IN (SELECT variant FROM e)), f AS (SELECT variant, avg(dose) / 2 AS f FROM kp GROUP BY variant HAVING avg(dose) / 2 > 0 AND avg(dose) / 2 < 1), z AS (SELECT variant, sample, (dose - 2 * f) * pow(2 * f * (1 - f), -0.125) AS z FROM kp JOIN f USING (variant)) SELECT a.sample AS a, b.sample AS b, round(avg(a.z * b.z), 9) AS k FROM z a JOIN z b ON a.variant = b.variant AND a.sample <= b.sample GROUP BY ALL")
+def _(v):
+    """Kinship of the variants that pruning by linkage leaves."""
+    kept = gw.ld_prune(pairs(v), sites(v)).filter("kept")
+    return gw.kinship(dosage(v), kept=kept).withColumn("k", F.round("k", 9))

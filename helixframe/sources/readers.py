@@ -1,16 +1,21 @@
 """Readers and writers of genomic text files. Readers give 0-based half-open places in long form.
 
 All read through Spark's own text and CSV sources, so any file system that Spark knows will do, and
-gzip files are read as they are (one task each). In-band nulls (* . NA -) become null here only.
+gzip files are read as they are (one task each; `bgzf` cuts block-compressed ones). In-band nulls (* . NA -)
+become null here only. Writers give ordered files, one for each range of the order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequences import wrapped
 from . import schemas
+from .bgzf import SPLIT_BYTES, read_bgzf
 
 NULLS = ("*", ".", "NA", "-", "")
 
@@ -54,12 +59,14 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 80) -> None:
     wrapped(seqs, width).repartitionByRange("ord").sortWithinPartitions("ord").select("fasta").write.text(path)
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, blocks: bool = False, split: int = SPLIT_BYTES) -> DataFrame:
     """variant_id, chrom, pos (1-based), ref, alt, qual, filter, info, sample, gt: one row per sample.
 
-    Sample names come from each file's #CHROM line, so no wide frame is ever built.
+    Sample names come from each file's #CHROM line, so no wide frame is ever built. blocks: the files are
+    block-compressed, and each is read by as many tasks as it has parts of `split` bytes.
     """
-    lines = spark.read.text(path).withColumn("file", file_name()).filter(~F.col("value").startswith("##"))
+    lines = read_bgzf(spark, path, split) if blocks else spark.read.text(path).withColumn("file", file_name())
+    lines = lines.filter(~F.col("value").startswith("##"))
     names = lines.filter(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("names"))
     rows = lines.filter(~F.col("value").startswith("#")).withColumn("c", F.split("value", "\t")).join(F.broadcast(names), "file")  # one row for each file
     fixed = [F.col("c")[i].alias(n) for i, n in ((2, "variant_id"), (0, "chrom"), (3, "ref"), (4, "alt"), (5, "qual"), (6, "filter"), (7, "info"))]
@@ -69,16 +76,29 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vcf(genotypes: DataFrame, samples: list[str], path: str) -> None:
-    """Header and rows of a population VCF from the long form; the samples' columns in the given order."""
+    """A population VCF from the long form, the samples' columns in the given order.
+
+    One file for each range of places, each with the header, so that every file is a whole one.
+    """
     spark = genotypes.sparkSession
     cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "gt"))), lambda x: x["gt"]), "\t")
     order = spark.createDataFrame(list(enumerate(samples)), "k int, sample string")
     grid = genotypes.select("variant_id", "chrom", "pos", "ref", "alt", "info").distinct().crossJoin(F.broadcast(order))
     full = grid.join(genotypes.select("variant_id", "sample", "gt"), ["variant_id", "sample"], "left").withColumn("gt", F.coalesce("gt", F.lit(".|.")))
     lines = full.groupBy("chrom", "pos", "variant_id", "ref", "alt", "info").agg(cells.alias("cells"))
-    body = lines.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("."), "info", F.lit("GT"), "cells").alias("value"))
-    head = spark.createDataFrame([("", -1, "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(samples))], "chrom string, pos long, value string")
-    head.unionByName(body).repartitionByRange(1, "chrom", "pos").sortWithinPartitions("chrom", "pos").select("value").write.text(path)
+    body = lines.select("chrom", "pos", "variant_id", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "variant_id", "ref", "alt", F.lit("."), F.lit("."), "info", F.lit("GT"), "cells").alias("value"))
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(samples)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        schema = pa.schema([("value", pa.string())]) if first is None else first.schema
+        yield pa.RecordBatch.from_arrays([pa.array([head])], schema=schema)
+        if first is not None:
+            yield first
+            yield from batches
+
+    order = ["chrom", "pos", "variant_id", "value"]
+    body.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("value").mapInArrow(headed, "value string").write.text(path)
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +120,7 @@ def write_gfa(segments: DataFrame, links: DataFrame, path: str) -> None:
     head = segments.sparkSession.createDataFrame([(0, "H\tVN:Z:1.0")], "k int, value string")
     s = segments.select(F.lit(1).alias("k"), F.concat_ws("\t", F.lit("S"), "id", "seq").alias("value"))
     l = links.select(F.lit(2).alias("k"), F.concat_ws("\t", F.lit("L"), "id1", "dir1", "id2", "dir2", F.lit("0M")).alias("value"))
-    head.unionByName(s).unionByName(l).repartitionByRange(1, "k", "value").sortWithinPartitions("k", "value").select("value").write.text(path)
+    head.unionByName(s).unionByName(l).repartitionByRange("k", "value").sortWithinPartitions("k", "value").select("value").write.text(path)
 
 
 def read_hits(spark: SparkSession, path: str, schema: str = schemas.HITS_15) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Named stages, each written to its own folder: switches, settings, skipping, repeats and time limits.
+"""Named stages, each written to its own folder: switches, settings, skipping, repeats, time limits, a graph of needs.
 
 A stage whose table is complete is read, not run again, so a run that broke off goes on where it stopped.
+Stages that don't need each other can run at once, each in a scheduler pool of its own name.
 """
 
 from __future__ import annotations
@@ -8,9 +9,12 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Collection, Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from contextvars import copy_context
 from dataclasses import dataclass
 from string import Template
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from .storage import complete
@@ -25,6 +29,7 @@ class Stage:
     """make(spark, settings, tables so far by stage) gives the stage's table.
 
     attempts: how often it is made while it comes out empty or fails; seconds: the limit of one attempt.
+    needs: the stages that come before it, whose tables it sees; all that stand before it if not given.
     """
 
     name: str
@@ -32,6 +37,7 @@ class Stage:
     on: bool = True
     attempts: int = 1
     seconds: float | None = None
+    needs: Collection[str] | None = None
 
 
 def filled(settings: Mapping[str, str]) -> dict[str, str]:
@@ -45,23 +51,62 @@ def filled(settings: Mapping[str, str]) -> dict[str, str]:
     return out
 
 
-def run_stages(spark: SparkSession, stages: Sequence[Stage], root: str, settings: Mapping[str, str] | None = None, only: Collection[str] | None = None) -> dict[str, DataFrame]:
+def run_stages(
+    spark: SparkSession, stages: Sequence[Stage], root: str, settings: Mapping[str, str] | None = None, only: Collection[str] | None = None, at_once: int = 1
+) -> dict[str, DataFrame]:
     """Tables of the stages by name. `only` names the stages to run, in place of their own switches.
 
-    A stage that is switched off is left out unless its table is complete from an earlier run.
+    A stage that is switched off is left out unless its table is complete from an earlier run. Up to `at_once`
+    stages run together, in their order, each as soon as all that it needs have ended. If one fails, those
+    that need it, directly or not, are left out; the others are run to their end, and then the error is raised.
     """
-    unknown = set(only or ()) - {s.name for s in stages}
+    names = [s.name for s in stages]
+    unknown = set(only or ()) - set(names)
     if unknown:
         raise ValueError(f"no such stages: {sorted(unknown)}")
-    values, tables = filled(settings or {}), {}
-    for stage in stages:
+    needs = {s.name: set(names[:i] if s.needs is None else s.needs) for i, s in enumerate(stages)}
+    late = sorted(f"{s} needs {n}" for i, s in enumerate(names) for n in needs[s] - set(names[:i]))
+    if late:
+        raise ValueError(f"stages that are needed before they stand: {late}")
+    values, tables, failed = filled(settings or {}), {}, {}
+    ended: set[str] = set()
+    running: dict[Future, Stage] = {}
+    waiting = list(stages)
+
+    def run(stage: Stage, seen: Mapping[str, DataFrame]) -> DataFrame | None:
         path = f"{root}/{stage.name}"
         if not complete(spark, path):
             if not (stage.on if only is None else stage.name in only):
-                continue
-            _attempt(spark, stage, path, values, tables)
-        tables[stage.name] = spark.read.parquet(path)
-    return tables
+                return None
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", stage.name)
+            _attempt(spark, stage, path, values, seen)
+        return spark.read.parquet(path)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        while waiting or running:
+            lost = [s for s in waiting if needs[s.name] & set(failed)]
+            failed |= {s.name: None for s in lost}
+            waiting = [s for s in waiting if s not in lost]
+            for stage in [s for s in waiting if needs[s.name] <= ended][: at_once - len(running)]:
+                seen = {n: t for n, t in tables.items() if n in needs[stage.name]}
+                task = inheritable_thread_target(spark)(lambda stage=stage, seen=seen: run(stage, seen))
+                running[pool.submit(copy_context().run, task)] = stage
+                waiting.remove(stage)
+            for future in wait(running, return_when=FIRST_COMPLETED).done if running else ():
+                stage = running.pop(future)
+                error = future.exception()
+                if error is not None:
+                    failed[stage.name] = error
+                else:
+                    ended.add(stage.name)
+                    if future.result() is not None:
+                        tables[stage.name] = future.result()
+    errors = [e for e in failed.values() if e is not None]
+    if len(errors) == 1:
+        raise errors[0]
+    if errors:
+        raise ExceptionGroup("stages failed", errors)
+    return {n: tables[n] for n in names if n in tables}
 
 
 def _attempt(spark: SparkSession, stage: Stage, path: str, values: Mapping[str, str], tables: Mapping[str, DataFrame]) -> None:

@@ -1,8 +1,14 @@
 """Readers and writers: round trips and normalised places."""
 
+import gzip
 import os
+import random
+import struct
+import zlib
 
-from helixframe.sources import readers, schemas
+import pytest
+
+from helixframe.sources import bgzf, readers, schemas
 from helixframe.streaming import ingest
 
 
@@ -73,3 +79,61 @@ def test_streaming_depth(spark, tmp_path):
     q = totals.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("totals").collect()] == [("st1", "g1", 12, 2)]
+
+
+def blocked(text, sizes):
+    """Bytes of a block-compressed file: text cut into members of the given sizes, in turn, and the empty last one."""
+    out, at, i = [], 0, 0
+    while at < len(text) or not out:
+        part = text[at : at + sizes[i % len(sizes)]]
+        at, i = at + len(part), i + 1
+        out.append(part)
+    packed = []
+    for part in [*out, b""]:
+        press = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = press.compress(part) + press.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+        packed.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(packed)
+
+
+@pytest.mark.parametrize("split", [1, 40, 200, 10**9])
+def test_blocks_give_each_line_once(spark, tmp_path, split):
+    """Parts smaller than a block, blocks that end at line breaks, a line over many blocks, no last line break."""
+    draw = random.Random(split)
+    found = ["", "a", "", *("x" * draw.randint(0, 40) for _ in range(40)), "long " * 300, "é", "", "end"]
+    text = "\n".join(found).encode()
+    for name, sizes in (("a", [7, 23, 1]), ("b", [30_000]), ("c", [len(text.split(b"long")[0])])):
+        (tmp_path / f"{name}.gz").write_bytes(blocked(text, sizes))
+    (tmp_path / "d.gz").write_bytes(blocked(b"one\r\ntwo\n", [4]))
+    (tmp_path / "e.gz").write_bytes(gzip.compress(text) + gzip.compress(b"\nmore"))
+    (tmp_path / "f.gz").write_bytes(blocked(b"", [4]))
+    rows = {}
+    for r in bgzf.read_bgzf(spark, str(tmp_path), split).collect():
+        rows.setdefault(r.file, []).append(r.value)
+    want = {"a.gz": found, "b.gz": found, "c.gz": found, "d.gz": ["one", "two"], "e.gz": [*found, "more"]}
+    assert {k: sorted(v) for k, v in rows.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_block_compressed_calls(spark, tmp_path):
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n"
+    text = head + "".join(f"c{i % 3}\t{i}\tv{i}\tA\tT\t.\tPASS\tN={i}\tGT\t0|{i % 2}\t1|1:9\n" for i in range(500))
+    plain = put(tmp_path / "p", "a.vcf", text)
+    (tmp_path / "a.vcf.gz").write_bytes(blocked(text.encode(), [700]))
+    calls = readers.read_vcf(spark, f"file://{tmp_path}/a.vcf.gz", blocks=True, split=1000)
+    assert sorted(map(tuple, calls.collect()), key=str) == sorted(map(tuple, readers.read_vcf(spark, plain).collect()), key=str)
+    assert bgzf.read_bgzf(spark, f"{tmp_path}/a.vcf.gz", 1000).rdd.getNumPartitions() > 5
+    with pytest.raises(Exception, match="none.gz"):
+        bgzf.read_bgzf(spark, f"{tmp_path}/none.gz").collect()
+
+
+def test_every_file_of_a_population_is_whole(spark, tmp_path):
+    calls = spark.range(400).selectExpr("concat('v', id) AS variant_id", "concat('c', id % 4) AS chrom", "id AS pos", "'A' AS ref", "'T' AS alt", "'.' AS info", "'S' AS sample", "'0|1' AS gt")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        readers.write_vcf(calls, ["S"], f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in os.listdir(tmp_path / "out") if f.startswith("part")]
+    assert len(files) > 1 and all((tmp_path / "out" / f).read_text().startswith("##fileformat") for f in files)
+    assert readers.read_vcf(spark, f"{tmp_path}/out").count() == 400
