@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
+from ..storage import written as cut_lineage
 
 # Clades from the weakest to the strongest evidence (later ones win), and gene types.
 CLADES = ("Virus", "Bacteria", "Archaea", "Eukaryote", "Fungi", "genus", "sister species", "species")
@@ -155,6 +156,28 @@ def no_hit_fill(called: DataFrame, catalogue: DataFrame) -> DataFrame:
     return called.select("id", "origin", "mechanism").unionByName(missing)
 
 
+def taxonomy_closure(parents: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """clade, taxid: a clade's root and all taxa below it, from (taxid, parent) and (clade, taxid) of the roots.
+
+    Pointer doubling: after k rounds every taxon knows its ancestors up to 2 ** k above it, so rounds grow with the
+    logarithm of the depth. A taxon that is its own parent, or whose parent is unknown, is a top. Roots without
+    a row of their own still stand for themselves; a taxon listed under two parents is below both.
+    """
+    up = cut_lineage(parents.filter(F.col("taxid") != F.col("parent")).select("taxid", F.col("parent").alias("ancestor")).distinct(), "up")
+    size = up.count()
+    for _ in range(max_rounds):
+        further = up.join(up.select(F.col("taxid").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("taxid", F.col("above").alias("ancestor"))
+        up = cut_lineage(up.unionByName(further).filter("taxid <> ancestor").distinct(), "up")
+        now = up.count()
+        if now == size:
+            break
+        size = now
+    else:
+        raise RuntimeError(f"the taxonomy is deeper than 2 ** {max_rounds}")
+    below = roots.select("clade", F.col("taxid").alias("ancestor")).join(up, "ancestor").select("clade", "taxid")
+    return below.unionByName(roots.select("clade", "taxid")).distinct()
+
+
 def taxid_sets(taxa: DataFrame) -> DataFrame:
     return taxa.groupBy("clade").agg(F.array_sort(F.collect_set("taxid")).alias("taxids"))
 

@@ -42,12 +42,30 @@ def _(v):
     return stats.average_rank(v.pheno.filter("value is not null"), "value", ["cond"], "r").select("strain", "cond", "r")
 
 
-@query("rank_int")
+def quantile_sql(p: str) -> str:
+    """SQL of the normal quantile by the same public algorithm; tests/test_goldens.py holds its values against the standard library's."""
+    number = lambda c: f"{c!r}" + ("" if "e" in repr(c) else "e0")
+
+    def ratio(parts, x):
+        texts = []
+        for first, *rest in parts:
+            text = number(first)
+            for c in rest:
+                text = f"({text} * {x} + {number(c)})"
+            texts.append(text)
+        return f"({texts[0]} / {texts[1]})"
+
+    q, tail = f"({p} - 5e-1)", f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    outer = f"CASE WHEN {tail} <= 5 THEN {ratio(stats._NEAR, f'({tail} - 1.6e0)')} ELSE {ratio(stats._FAR, f'({tail} - 5e0)')} END"
+    return f"CASE WHEN {p} > 0 AND {p} < 1 THEN CASE WHEN abs({q}) <= 4.25e-1 THEN {q} * {ratio(stats._CENTRAL, f'(1.80625e-1 - {q} * {q})')} WHEN {q} < 0 THEN -({outer}) ELSE {outer} END END"
+
+
+@query("rank_int", AVG_RANK + ", n AS (SELECT cond, count(*) AS n FROM a GROUP BY cond), u AS (SELECT p.strain, p.cond, (r - 3.75e-1) / (n + 2.5e-1) AS u FROM {pheno} p LEFT JOIN a ON a.strain = p.strain AND a.cond = p.cond LEFT JOIN n ON n.cond = p.cond) SELECT strain, cond, round(" + quantile_sql("u") + ", 9) AS int FROM u")
 def _(v):
     return gw.rank_inverse_normal(v.pheno, ["cond"]).select("strain", "cond", F.round("int", 9).alias("int"))
 
 
-@query("genomic_inflation")
+@query("genomic_inflation", "WITH u AS (SELECT p / 2 AS u FROM {assoc} WHERE p IS NOT NULL), z AS (SELECT " + quantile_sql("u") + " AS z FROM u) SELECT median(z * z) / 4.54936423119572e-1 AS lambda FROM z")
 def _(v):
     return gw.genomic_inflation(v.assoc)
 

@@ -157,6 +157,15 @@ def _(v):
     return pg.taxid_sets(v.taxon).select("clade", F.array_join(F.col("taxids").cast("array<string>"), ",").alias("taxids"))
 
 
+TREE = "tx AS (SELECT p_partkey AS taxid, p_partkey // 3 AS parent FROM {part}), rt AS (SELECT concat('clade', p_size % 4) AS clade, p_partkey AS taxid FROM {part} WHERE p_partkey % 40 = 7)"
+
+
+@query("taxonomy_closure", "WITH RECURSIVE " + TREE + ", d AS (SELECT clade, taxid FROM rt UNION SELECT d.clade, tx.taxid FROM d JOIN tx ON tx.parent = d.taxid AND tx.parent <> tx.taxid) SELECT DISTINCT clade, taxid FROM d")
+def _(v):
+    parents = v.part.selectExpr("p_partkey AS taxid", "p_partkey div 3 AS parent")
+    return pg.taxonomy_closure(parents, v.part.filter("p_partkey % 40 = 7").selectExpr("concat('clade', p_size % 4) AS clade", "p_partkey AS taxid"))
+
+
 TITLES = "WITH t AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'Hypothetical protein' ELSE p_name END AS title, p_brand AS species, 60 + p_size AS pident, concat('acc', p_size) AS accession FROM {part} WHERE p_size % 5 <> 0), inf AS (SELECT * FROM t WHERE NOT regexp_matches(lower(title), 'hypothetical|uncharacterized') OR species = 'Brand#2'), en AS (SELECT concat('acc', n_nationkey) AS accession, n_name AS description FROM {nation}), fl AS (SELECT id, concat_ws(' ', CASE WHEN pident >= 80 THEN 'Highly similar to' ELSE 'Similar to' END, coalesce(description, title), concat('(', CASE WHEN description IS NULL THEN 'RefSeq' ELSE 'Uniprot' END, ':', accession, ')')) AS function FROM inf LEFT JOIN en USING (accession))"
 
 

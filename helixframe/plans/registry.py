@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import Scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 VIEWS: dict[str, str | tuple[str, str]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,11 +61,18 @@ def duck_sql(body: str) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
 
 
+def tidy(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows. If tables were written on the way, so are the rows, and those tables are deleted."""
+    with Scratch(spark) as scratch:
+        df = make()
+        return scratch.hand_out(df, name) if scratch.paths or scratch.tables else df
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of Views under a name, with the body of its SQL check."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: tidy(spark, name, lambda: f(Views(spark, sf_dir)))
         if sql:
             ORACLES[name] = duck_sql(sql)
         return f

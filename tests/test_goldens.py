@@ -107,6 +107,15 @@ def test_norm_inv(spark):
     assert got[0].z == pytest.approx(1.959963985) and got[1].z is None and got[2].z is None
 
 
+def test_norm_inv_over_the_whole_range(spark):
+    from statistics import NormalDist
+
+    places = [10.0**-k for k in range(1, 300, 7)] + [i / 997 for i in range(1, 997)] + [1 - 10.0**-k for k in range(1, 16)]
+    got = spark.createDataFrame([(p,) for p in places], "p double").select("p", stats.norm_inv("p").alias("z")).collect()
+    assert all(r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-13, abs=1e-15) for r in got) and len(got) == len(places)
+
+
+
 def test_density(spark):
     path = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")

@@ -473,3 +473,64 @@ def test_the_first_error_waits_for_the_others(spark, tmp_path):
     with pytest.raises(KeyError):
         run_stages(spark, [Stage("broken", broken, needs=()), Stage("late", late, needs=())], str(tmp_path), at_once=2)
     assert spark.read.parquet(f"{tmp_path}/late").count() == 1
+
+
+# --- variance components
+
+
+def restricted_likelihood(y, fixed, parts, variances):
+    v = sum(s * k for s, k in zip(variances, [*parts, np.eye(len(y))]))
+    inverse = np.linalg.inv(v)
+    inner = fixed.T @ inverse @ fixed
+    p = inverse - inverse @ fixed @ np.linalg.solve(inner, fixed.T @ inverse)
+    return -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(inner)[1] + y @ p @ y)
+
+
+def simulated(n, seed):
+    draw = np.random.default_rng(seed)
+    parts = []
+    for m in (2 * n, 3 * n):
+        z = draw.standard_normal((n, m))
+        z[: n // 3] += draw.standard_normal(m) * 0.8
+        parts.append(z @ z.T / m)
+    y = sum(np.linalg.cholesky(k + 1e-9 * np.eye(n)) @ draw.standard_normal(n) * s for k, s in zip(parts, (1.5, 0.7))) + draw.standard_normal(n)
+    age = draw.standard_normal(n)
+    return parts, y + 2 * age + 5, age
+
+
+def as_tables(spark, parts, y, age):
+    n = len(y)
+    rows = [[(f"s{i:03}", f"s{j:03}", float(k[i, j])) for i in range(n) for j in range(i, n)] for k in parts]
+    kinships = {name: spark.createDataFrame(r, "a string, b string, k double") for name, r in zip(("snp", "sv"), rows)}
+    values = [(f"s{i:03}", float(v)) for i, v in enumerate(y)] + [("s999", 3.0), ("unknown", None)]
+    return kinships, spark.createDataFrame(values, "sample string, value double"), spark.createDataFrame([(f"s{i:03}", float(a)) for i, a in enumerate(age)] + [("s999", 0.0)], "sample string, age double")
+
+
+def test_variances_are_at_the_top_of_the_likelihood(spark):
+    parts, y, age = simulated(90, 3)
+    found = {r.name: (r.variance, r.share) for r in samples.reml(*as_tables(spark, parts, y, age), width=32).collect()}
+    assert list(found) == ["snp", "sv", "residual"] and abs(sum(s for _, s in found.values()) - 1) < 1e-9
+    variances, fixed = np.array([v for v, _ in found.values()]), np.stack([np.ones(90), age], 1)
+    best = restricted_likelihood(y, fixed, parts, variances)
+    for i in range(3):
+        for factor in (0.97, 1.03):
+            other = variances.copy()
+            other[i] *= factor
+            assert restricted_likelihood(y, fixed, parts, other) < best or variances[i] <= 1e-6 * y.var()
+    weight = [*(np.trace(k) / 90 for k in parts), 1.0]
+    assert np.allclose([s for _, s in found.values()], variances * weight / (variances * weight).sum())
+
+
+def test_traces_over_random_signs_come_close(spark):
+    parts, y, age = simulated(80, 5)
+    tables = as_tables(spark, parts, y, age)
+    exact, drawn = ({r.name: r.share for r in samples.reml(*tables, probes=p, tolerance=1e-4, width=40).collect()} for p in (512, 79))
+    assert all(abs(exact[k] - drawn[k]) < 0.05 for k in exact)
+
+
+def test_conjugate_gradients_solve_all_sides():
+    draw = np.random.default_rng(2)
+    m = draw.standard_normal((60, 60))
+    m = m @ m.T + 5 * np.eye(60)
+    right = np.hstack([draw.standard_normal((60, 4)), np.zeros((60, 1))])
+    assert np.allclose(samples.conjugate_gradients(lambda x: m @ x, right), np.linalg.solve(m, right))
