@@ -197,27 +197,55 @@ def longest_per_component(components: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("component", (-F.col("b.o")).alias("id"), F.when(F.col("ref"), "_InRef").otherwise("_OutRef").alias("tag"))
 
 
-def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100) -> DataFrame:
+def redundancy_peel(genes: DataFrame, regions: DataFrame, least: int = 100, size: int = 1 << 14) -> DataFrame:
     """Genes left after dropping, per component and round, the last gene with under `least` own bases.
 
     genes (id, len); regions (id, other, lo, hi): stretches of id identical to stretches of other. A gene
-    only changes by its neighbours' going, and only genes of larger id go before it; so all low genes
-    without a low neighbour of larger id go at once, which leaves the same genes in fewer rounds.
+    gains own bases by its neighbours' going, and only genes of larger id go before it; so genes are judged from
+    the last to the first, each by those of its neighbours that are still there, and one with enough own
+    bases at the start, or without any neighbour left, stays. Low genes are dealt to ranges of `size`; in a round each range judges whatever its
+    neighbours in other ranges, judged or not, can't change, and the first open range is always settled.
     """
     from .intervals import union
 
-    alive = genes
+    ids = genes.select("id")
+    here = regions.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other and lo < hi").select("id", "other", "lo", "hi")
+    shared = union(here, ["id"], width=None).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
+    low = numbered(genes.join(shared, "id").filter(F.col("len") - F.col("b") < least).select("id", "len"), [-F.col("id")], "place")
+    low = cut_lineage(low.withColumn("part", F.expr(f"place div {size}")), "low")
+    fates = low.select(F.col("id").alias("other"), F.lit(True).alias("other_low"))
+    rows = here.join(low.select("id", "len", "part"), "id").join(fates, "other", "left").withColumn("gone", F.when(F.col("other_low").isNull() | (F.col("other") < F.col("id")), F.lit(False)))
+    open_ = cut_lineage(rows.drop("other_low"), "open")
+
+    def judge(part):
+        import pandas as pd
+
+        fate: dict[int, bool | None] = {}
+        for gene, own in sorted(part.groupby("id"), key=lambda g: -g[0]):
+            spans = sorted(zip(own["lo"].tolist(), own["hi"].tolist(), own["other"].tolist(), own["gone"].tolist()))
+            bases = []
+            for unknown_goes in (True, False):
+                total, end = 0, None
+                for lo, hi, other, gone in spans:
+                    gone = fate.get(other) if gone is None else gone
+                    if not (unknown_goes if gone is None else gone):
+                        total += max(0, hi - (lo if end is None else max(lo, end)))
+                        end = hi if end is None else max(end, hi)
+                bases.append(own["len"].iloc[0] - total if total else float("inf"))  # without a neighbour left a gene stays
+            fate[gene] = True if bases[0] < least else False if bases[1] >= least else None
+        return pd.DataFrame({"id": list(fate), "gone": pd.array(list(fate.values()), dtype="boolean")})
+
+    dropped = None
     while True:
-        ids = alive.select("id")
-        here = regions.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("other")), "other", "left_semi").filter("id <> other")
-        shared = union(here, ["id"], width=None).groupBy("id").agg(F.sum(F.col("hi") - F.col("lo")).alias("b"))
-        low = alive.join(shared, "id").filter(F.col("len") - F.col("b") < least).select("id")
-        links = here.join(low, "id", "left_semi").join(low.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-        later = links.filter("dst > src").select(F.col("src").alias("id")).unionByName(links.filter("src > dst").select(F.col("dst").alias("id")))
-        drop = cut_lineage(low.join(later, "id", "left_anti").distinct(), "drop")
-        if drop.isEmpty():
-            return alive
-        alive = cut_lineage(alive.join(drop, "id", "left_anti"), "alive")
+        out = cut_lineage(open_.groupBy("part").applyInPandas(judge, "id long, gone boolean"), "round")
+        news = out.filter("gone is not null")
+        lost = news.filter("gone").select("id")
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        if out.filter("gone is null").isEmpty():
+            return genes.join(dropped, "id", "left_anti")
+        told = news.select(F.col("id").alias("other"), F.col("gone").alias("_news"))
+        left = open_.join(news.select("id"), "id", "left_anti").join(told, "other", "left")
+        open_ = cut_lineage(left.withColumn("gone", F.coalesce("gone", "_news")).drop("_news"), "open")
 
 
 def trim_segments(segments: DataFrame, links: DataFrame, drop: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:

@@ -534,3 +534,20 @@ def test_conjugate_gradients_solve_all_sides():
     m = m @ m.T + 5 * np.eye(60)
     right = np.hstack([draw.standard_normal((60, 4)), np.zeros((60, 1))])
     assert np.allclose(samples.conjugate_gradients(lambda x: m @ x, right), np.linalg.solve(m, right))
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_genes_are_judged_over_borders_as_one_at_a_time(spark, size):
+    """Runs of neighbours with rising and falling ids, and links at random, in ranges of a few genes."""
+    from test_scaled import peeled
+
+    draw = random.Random(size)
+    genes = [(i, draw.randint(60, 160)) for i in range(30)]
+    links = [(i, i + 1) for i in range(12)] + [tuple(draw.sample(range(30), 2)) for _ in range(30)]
+    regions = []
+    for a, b in links:
+        lo = draw.randint(0, 40)
+        regions += [(a, b, lo, lo + draw.randint(20, 90)), (b, a, lo, lo + draw.randint(20, 90))]
+    got = graph.redundancy_peel(spark.createDataFrame(genes, "id long, len long"), spark.createDataFrame(regions, "id long, other long, lo int, hi int"), 100, size)
+    want = peeled(genes, regions, 100)
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < 30
