@@ -45,17 +45,18 @@ NULL_ID = -(1 << 63)
 _SECOND = byte_values(91)
 _SECOND_POWERS = Powers(0xD1342543DE82EF95)
 RANGES = ((0, 20), (20, 40), (40, REACH + 1))  # of the trigger's distance from a string's start
-_RAW = {"h": 6, "f": 8, "g": 8, "c": 4, "k0": 2, "k1": 2, "k2": 2, "tag": 2}
-_TRIGGER = np.dtype([("h", "<u8"), ("c", "<u4"), ("k0", "<u2"), ("k1", "<u2"), ("k2", "<u2"), ("doc", "<i8"), ("tag", "<i2"), ("t", "<i4"), ("before", "u1"), ("least", "u1"), ("many", "?")])
+_RAW = {"h": 6, "f": 8, "g": 8, "c": 4, "k0": 2, "k1": 2, "k2": 2, "tag": 8}
+_TRIGGER = np.dtype([("h", "<u8"), ("c", "<u4"), ("k0", "<u2"), ("k1", "<u2"), ("k2", "<u2"), ("doc", "<i8"), ("tag", "<i8"), ("t", "<i4"), ("before", "u1"), ("least", "u1"), ("many", "?")])
 _EDGE = np.dtype([("t", "<i4"), ("before", "<i4"), ("least", "<i4")])
-_WINDOW = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("tag", "<i2"), ("p", "<i4")])
+_WINDOW = np.dtype([("f", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("p", "<i4")])
 MARKS, EDGES, PACKED = 0, 1, 2
 _STEP = "kind int, part int, doc long, tag long, payload binary"
 
 
 def row_tags(chunk: Chunk) -> np.ndarray:
-    """A hash of each text, to tell rows apart that share a doc_id."""
-    return (mixed(span_hash(chunk.prefix, chunk.offsets[:-1], chunk.offsets[1:])) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+    """A 64-bit hash of each text, to tell rows apart that share a doc_id, as all null ids do."""
+    sizes = np.diff(chunk.offsets).astype(np.uint64)
+    return mixed(span_hash(chunk.prefix, chunk.offsets[:-1], chunk.offsets[1:]) + sizes).view(np.int64)
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -484,7 +485,7 @@ def packed_texts(source: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for chunk in chunks(batch.column(1), CHUNK):
-                tags = row_tags(chunk).astype(np.int64)
+                tags = row_tags(chunk)
                 raw = [squeeze(chunk.text(i)) for i in range(chunk.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(tags), pa.array(raw, pa.binary())], names=["doc", "tag", "packed"])
 
