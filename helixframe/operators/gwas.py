@@ -19,6 +19,7 @@ from .samples import dissimilarity, dose_planes, mean_products, principal_compon
 from .trees import neighbour_joining  # noqa: F401
 
 BLOCK = 256
+REACHES = 16
 # The feature types that have a location.
 LOCATED = ("gene", "pseudogene", "transposable_element_gene", "blocked_reading_frame")
 
@@ -101,8 +102,8 @@ def ld_pairs(dosage: DataFrame, window: int, least: float, ploidy: int = 2) -> D
 
     dosage (variant, chrom, pos, sample, dose), doses 0 .. ploidy, null where missing; correlations are over
     the samples in which neither dose is missing. A variant's doses are packed into bit planes once and go
-    to its own cell of `window` positions and, as a guest, to the one before, where every pair within
-    the window meets; sums of products are counts of shared bits.
+    to its own cell of REACHES windows and, if it lies within a window of the cell's beginning, as a guest
+    to the one before, where every pair within the window meets; sums of products are counts of shared bits.
     """
     bad = F.raise_error(F.concat(F.lit("a dose beyond the ploidy: "), F.col("dose").cast("string"))).cast("long")
     called = dosage.filter(F.col("dose").isNotNull()).withColumn("dose", F.when(F.col("dose").between(0, ploidy), F.col("dose").cast("long")).otherwise(bad))
@@ -125,8 +126,10 @@ def ld_pairs(dosage: DataFrame, window: int, least: float, ploidy: int = 2) -> D
 
     chrom, pos = (dosage.schema[c].dataType.simpleString() for c in ("chrom", "pos"))
     packed = doses.mapInArrow(planes, f"variant {kind}, chrom {chrom}, pos {pos}, planes binary")
-    home = F.expr(f"pos div {window}") if window > 0 else F.col("pos").cast("long")
-    dealt = packed.withColumn("home", home).withColumn("cell", F.explode(F.array(F.col("home"), F.col("home") - 1)))
+    width = max(1, REACHES * window)
+    home, within = F.expr(f"pos div {width}"), F.expr(f"pos % {width}") <= window
+    cells_of = F.when(within, F.array("home", F.col("home") - 1)).otherwise(F.array("home"))
+    dealt = packed.withColumn("home", home).withColumn("cell", F.explode(cells_of))
 
     def scan(group: pa.Table) -> pa.Table:
         return _linked(group.sort_by([("pos", "ascending"), ("variant", "ascending")]), window, least, ploidy)
