@@ -22,20 +22,29 @@ from helixframe.storage import Scratch
 
 
 LEAST_LEAK = 16  # an item of fewer characters, such as a lone word, is no sign of a leak
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches that go to Python and come back hold up to 8 MB, not Spark's 64, from here on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded(spark)
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the 4/5 Jaccard graph, of its least doc_id, and each text without shingles."""
+    bounded(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    bounded(spark)
     found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), least=LEAST_LEAK)
     return found.filter(F.size(found.columns[-1]) == 0).select(docs.columns)
 
