@@ -91,14 +91,16 @@ def remove_redundant(hits: DataFrame, contigs: DataFrame, percent: float = 95) -
     Hits are (asm, qry, other, lo, hi) on qry. Greedy and order dependent, so one assembly is one task. A
     contig is cut where a hit begins or ends, and each piece counts the hits of living contigs on it; a
     contig that goes takes its hits from its neighbours' pieces, and shares are recomputed for these alone: a
-    share that has fallen is noticed when the queue brings it up.
+    share that has fallen is noticed when the queue brings it up. Hits of one contig on another come and go
+    together, so they are first united, by all tasks: an assembly's task holds the contigs and what is left of
+    each pair of them, however many rows lie there.
     """
 
     def peel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("ord")
         names, sizes = left["qry"].tolist(), left["len"].tolist()
         place = {q: i for i, q in enumerate(names)}
-        right = right[right["other"].isin(place) & right["qry"].isin(place) & (right["other"] != right["qry"]) & (right["lo"] < right["hi"])]
+        right = right[right["other"].isin(place) & right["qry"].isin(place)]
         on: list[list[tuple[int, int, int]]] = [[] for _ in names]  # of a contig: whom its hits cover, and which pieces
         counts, lengths = [np.zeros(0, int)] * len(names), [np.zeros(0, int)] * len(names)
         covered = [0] * len(names)
@@ -128,8 +130,11 @@ def remove_redundant(hits: DataFrame, contigs: DataFrame, percent: float = 95) -
                 covered[i] -= int(lengths[i][a:b][counts[i][a:b] == 0].sum())
         return pd.DataFrame({"asm": key[0], "qry": names, "kept": alive})
 
+    real = hits.filter((F.col("other") != F.col("qry")) & (F.col("lo") < F.col("hi")))
+    keys = [F.col(c).alias(c) for c in ("asm", "qry", "other")]  # columns of their own, where contigs come from the same table
+    united = union(real.select(*keys, "lo", "hi"), ["asm", "qry", "other"])
     left = contigs.select("asm", "qry", "ord", "len").groupBy("asm")
-    return left.cogroup(hits.select("asm", "qry", "other", "lo", "hi").groupBy("asm")).applyInPandas(peel, "asm string, qry string, kept boolean")
+    return left.cogroup(united.groupBy("asm")).applyInPandas(peel, "asm string, qry string, kept boolean")
 
 
 def rename_contigs(coords: DataFrame, contigs: DataFrame, chromosomes: DataFrame, min_bases: int = 100_000, percent_ref: float = 20, percent_contig: float = 50, prefix: str = "") -> DataFrame:
