@@ -78,6 +78,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return _put(df, fresh_path(df.sparkSession, name))
 
 
+def rewritten(df: DataFrame, name: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """df written and read back, with its path; then the table at `before`, which it was made from, is deleted."""
+    path = fresh_path(df.sparkSession, name)
+    after = _put(df, path)
+    if before is not None:
+        scratch = _SCRATCH.get()
+        if scratch is not None and before in scratch.paths:
+            scratch.paths.remove(before)
+        remove(df.sparkSession, before)
+    return after, path
+
+
 def _put(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
