@@ -38,7 +38,7 @@ from .kernel import chunks, mixed
 from .shared import table, texts, written
 from .vocabulary import pack, pack_sorted, unpack, unpack_sorted
 
-UNIT_TOKENS = 1 << 21
+UNIT_TOKENS = 3 << 19
 RANGE_TOKENS = 1 << 20
 WORDS_SHARE = 8
 PRIOR = 100.0
