@@ -22,11 +22,11 @@ from helixframe.storage import Scratch
 
 
 LEAST_LEAK = 16  # an item of fewer characters, such as a lone word, is no sign of a leak
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Batches that go to Python and come back hold up to 8 MB, not Spark's 64, from here on in this session."""
+    """Batches that go to Python and come back hold up to 2 MB, not Spark's 64, from here on in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
