@@ -41,17 +41,19 @@ are ignored by the query and kept by the operator's filter form.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from .kernel import Chunk, chunks, mixed, span_hash
-from .shared import Scratch, dense_sum, rewritten, table, texts, written
+from .shared import Scratch, dense_sum, discarded, rewritten, table, texts, written
 from .vocabulary import pack, pack_sorted, summed, unpack, unpack_sorted
 
 ORDER = 5
@@ -61,7 +63,7 @@ MOST_GRAMS = 1 << 20
 FLUSH = 1 << 19
 BUCKET_CHARS = 1 << 24
 UNIT_CHARS = 1 << 22
-OPENED_CHARS = 1 << 19
+OPENED_CHARS = 1 << 20
 LOW = 2
 START = 0
 MIN_WORDS = 50
@@ -289,7 +291,7 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
     ends = np.cumsum(np.array(batch.column(batch.num_columns - 2)))
     first = 0
     while first < len(ends):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 20))))
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + OPENED_CHARS)))
         found = [unpack(x.as_py(), np.uint16) for x in batch.column(batch.num_columns - 1)[first:last]]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         yield slice(first, last), codes(np.concatenate(found), bounds), bounds
@@ -349,10 +351,28 @@ def summed_grams(rows: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tup
     return written(rows.mapInArrow(count, "bucket int, grams binary, counts binary").repartition(buckets, "bucket").mapInArrow(add, "grams binary, counts binary"), "grams")
 
 
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, distinct = factored(code)
+    return distinct, np.bincount(at, minlength=len(distinct))
+
+
 def _of_texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _, code, _ in _opened(batch):
-        at, distinct = factored(code)
-        yield distinct, np.bincount(at, minlength=len(distinct))
+        yield _counted(code)
+
+
+def _of_near_texts(shared: Broadcast, limits: dict) -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """As _of_texts, of the texts within CORE spreads under a model that is broadcast; lang comes first."""
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, code, bounds in _opened(batch):
+            size, languages = np.diff(bounds), batch.column(0)[part].to_pylist()
+            spans = np.array([span_of(limits, k, n, CORE, CORE) for k, n in zip(languages, size.tolist())])
+            means = mean_losses(shared.value.losses(code), bounds)
+            near = (spans[:, 0] <= means) & (means <= spans[:, 1])
+            yield _counted(code[np.repeat(near, size)])
+
+    return found
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -374,12 +394,12 @@ def tally(grams: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
     return np.cumsum(cells[:levels][::-1])[::-1], tuple(int(x) for x in cells[levels:])
 
 
-def gram_table(texts_: DataFrame) -> tuple[DataFrame, int]:
+def gram_table(texts_: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]] = _of_texts) -> tuple[DataFrame, int]:
     """All n-grams of the highest order with their counts, and the number of buckets that they are dealt to."""
-    texts_ = texts_.select("n_chars", "symbols")
+    texts_ = texts_.select(*(["lang"] if "lang" in texts_.columns else []), "n_chars", "symbols")
     total = texts_.agg(F.sum("n_chars")).first()[0] or 0
     buckets = max(int(texts_.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_CHARS))
-    return summed_grams(texts_, _of_texts, buckets), buckets
+    return summed_grams(texts_, found, buckets), buckets
 
 
 def most_frequent(grams: DataFrame, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -422,9 +442,8 @@ def trained(letters: np.ndarray, texts_: DataFrame) -> KneserNey:
     return joined_orders(letters, orders[::-1])
 
 
-def whole(letters: np.ndarray, texts_: DataFrame) -> KneserNey | Dealt:
-    """The model of all n-grams of the coded texts: to broadcast if it has up to MOST_GRAMS, else dealt. Both give the same losses."""
-    grams, buckets = gram_table(texts_)
+def whole(letters: np.ndarray, grams: DataFrame, buckets: int) -> KneserNey | Dealt:
+    """The model of all n-grams of the table: to broadcast if it has up to MOST_GRAMS, else dealt. Both give the same losses."""
     above, few = tally(grams)
     return fit(letters, *most_frequent(grams, above)) if above[0] <= MOST_GRAMS else dealt(letters, grams, buckets, few)
 
@@ -558,7 +577,7 @@ def span_of(limits: dict, language: str | None, n_chars: int, below: float, abov
     if language not in limits or not n_chars:
         return np.inf, -np.inf
     middle, under, over = limits[language]
-    return middle - below * max(under / n_chars**0.5, BAND_FLOOR), middle + above * max(over / n_chars**0.5, BAND_FLOOR)
+    return middle - below * max(under / math.sqrt(n_chars), BAND_FLOOR), middle + above * max(over / math.sqrt(n_chars), BAND_FLOOR)
 
 
 def with_band(rows: DataFrame, limits: dict, below: float, above: float) -> DataFrame:
@@ -644,11 +663,11 @@ def base_passed(found: dict[str, np.ndarray]) -> np.ndarray:
     return (found["n_words"] >= MIN_WORDS) & (100 * found["n_repeat_words"] <= MAX_REPEAT_PERCENT * found["n_words"])
 
 
-def scored(rows: DataFrame, model: KneserNey | Dealt) -> DataFrame:
+def scored(rows: DataFrame, model: Broadcast | Dealt) -> DataFrame:
     """Coded rows with log_ppl (null without text) instead of what they had, before n_chars and symbols."""
     if isinstance(model, Dealt):
         return scored_apart(rows, model)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = model
     names = [n for n in rows.columns if n not in ("log_ppl", "n_chars", "symbols")]
     rows = rows.select(*names, "n_chars", "symbols")
     schema = StructType([*rows.schema.fields[:-2], StructField("log_ppl", DoubleType()), *rows.schema.fields[-2:]])
@@ -688,29 +707,41 @@ def with_lang(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, *keys: str) -> tuple[KneserNey | Dealt, dict, DataFrame]:
-    """The model of the core, each language's median and spreads under it, and the rows, coded and scored.
+    """The model of the core, each language's median and spreads under it, and the rows, scored, without their symbols.
 
-    Each table of rows goes once the next one, with other scores, is written: two are there at most.
+    Symbols are written once: a model that is broadcast scores the core anew while its n-grams are counted. By one that is
+    dealt, rows move to be scored, so they are written with their scores, and what they were before goes.
     """
     docs = with_lang(docs)
     letters = alphabet(docs)
     rows, path = rewritten(coded(docs, letters, *keys).transform(with_base), "coded")
     clear = ~F.col("base_failed") & (SYMBOL_RATIO * F.col("n_symbols") <= F.col("n_words"))
-    core = rows.filter(clear)
-    for left in range(REFITS, -1, -1):
-        model = whole(letters, core)
-        rows, path = rewritten(scored(rows, model), "scored", path)
-        base = rows.filter(~F.col("base_failed"))
-        limits = language_limits(base)
-        if left:
-            core = with_band(rows.filter(clear), limits, CORE, CORE).filter(F.col("log_ppl").between(F.col("low"), F.col("high")))
-    return model, limits, rows
+    judged = lambda scores: language_limits(scores.filter(~F.col("base_failed")))
+    grams = gram_table(rows.filter(clear))
+    for _ in range(REFITS):
+        model = whole(letters, *grams)
+        if isinstance(model, Dealt):
+            rows, path = rewritten(scored(rows, model), "scored", path)
+            near = with_band(rows.filter(clear), judged(rows), CORE, CORE).filter(F.col("log_ppl").between(F.col("low"), F.col("high")))
+            grams = gram_table(near)
+        else:
+            shared = docs.sparkSession.sparkContext.broadcast(model)
+            passed = rows.filter(~F.col("base_failed")).select("lang", "base_failed", "n_chars", "symbols")
+            scores, at = rewritten(scored(passed, shared).drop("symbols"), "scores")
+            limits = judged(scores)
+            discarded(docs.sparkSession, at)
+            grams = gram_table(rows.filter(clear), _of_near_texts(shared, limits))
+            shared.unpersist()
+    model = whole(letters, *grams)
+    shared = model if isinstance(model, Dealt) else docs.sparkSession.sparkContext.broadcast(model)
+    rows, _ = rewritten(scored(rows, shared).drop("symbols"), "scored", path)
+    return model, judged(rows), rows
 
 
 def quality_rules(docs: DataFrame, *keys: str, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """Key columns, lang, counts, base_failed, log_ppl, the band (low, high) and kept, one row per row of docs."""
     _, limits, rows = judge(docs, *keys)
-    judged = with_band(rows, limits, below, above).drop("_unit", "n_chars", "symbols")
+    judged = with_band(rows, limits, below, above).drop("_unit", "n_chars")
     return judged.withColumn("kept", kept())
 
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, fresh_path, note_table, rewritten, written  # noqa: F401
+from ..storage import Scratch, discarded, fresh_path, note_table, rewritten, written  # noqa: F401
 
 BLOCK_CELLS = 1 << 16
 _BLOCK_SCHEMA = "block int, salt int, payload binary"

@@ -83,13 +83,18 @@ def rewritten(df: DataFrame, name: str, before: str | None = None) -> tuple[Data
     path = fresh_path(df.sparkSession, name)
     after = _put(df, path)
     if before is not None:
-        scratch = _SCRATCH.get()
-        if scratch is not None and before in scratch.paths:
-            scratch.paths.remove(before)
-        remove(df.sparkSession, before)
+        discarded(df.sparkSession, before)
     return after, path
 
 
+def discarded(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    scratch = _SCRATCH.get()
+    if scratch is not None and path in scratch.paths:
+        scratch.paths.remove(path)
+    remove(spark, path)
+
+
 def _put(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
