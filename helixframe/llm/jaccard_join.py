@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import connected_components
-from .kernel import Chunk, chunks, mixed, per_document_sets
+from .kernel import Chunk, mixed, per_document_sets
+from .kernel import chunks as cut_in_chunks
 from .shared import dense_sum, free_name, note_table, table, texts, written
 
 WIDTH = 5
+CHUNK_BYTES = 1 << 18  # a worker's arrays are some dozens of bytes for each of these
 TILE = 256
 FLUSH = 1 << 19
 HOT_LEVEL = 13
@@ -50,6 +52,10 @@ SALTS = 32
 _POSTED = "bucket int, payload binary"
 
 
+def chunks(column: pa.Array) -> Iterator[Chunk]:
+    return cut_in_chunks(column, CHUNK_BYTES)
+
+
 def sets_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     values, bounds = chunk.lower.shingles(WIDTH)
     return per_document_sets(values, bounds)

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, table, written
+from .shared import free_name, local_rows, table, written
 
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 16_384.0
@@ -166,7 +166,7 @@ def packed(docs: DataFrame, length: Column, *keys: str, lengths: Sequence[int] =
     histogram = {r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("_count").alias("n")).collect()}  # at most max(lengths) rows
     runs, _ = plan(histogram, lengths, attention)
     rows = [(r.length, a, b, r.start, r.bin, r.per_bin, r.offset, size) for r, a, b, size in runs]
-    lookup = spark.createDataFrame(rows, "_length long, _from long, _to long, _start long, _bin long, _per long, _offset long, bin_length int")
+    lookup = local_rows(spark, rows, "_length long, _from long, _to long, _start long, _bin long, _per long, _offset long, bin_length int")
     if len(rows) <= BROADCAST_RUNS:
         lookup = F.broadcast(lookup)
     running = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

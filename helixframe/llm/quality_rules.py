@@ -52,8 +52,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from .kernel import Chunk, chunks, mixed, span_hash
-from .shared import Scratch, dense_sum, discarded, rewritten, table, texts, written
+from .kernel import Chunk, mixed, span_hash
+from .kernel import chunks as cut_in_chunks
+from .shared import Scratch, dense_sum, discarded, local_rows, rewritten, table, texts, written
 from .vocabulary import pack, pack_sorted, summed, unpack, unpack_sorted
 
 ORDER = 5
@@ -63,7 +64,7 @@ MOST_GRAMS = 1 << 20
 FLUSH = 1 << 19
 BUCKET_CHARS = 1 << 24
 UNIT_CHARS = 1 << 22
-OPENED_CHARS = 1 << 20
+OPENED_CHARS = CHUNK_BYTES = 1 << 18  # a worker's arrays are some dozens of bytes for each of these
 LOW = 2
 START = 0
 MIN_WORDS = 50
@@ -87,6 +88,10 @@ _RUN = np.zeros(129, bool)
 _RUN[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
+def chunks(column: pa.Array) -> Iterator[Chunk]:
+    return cut_in_chunks(column, CHUNK_BYTES)
+
+
 def code_points(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points in order, a run of one ASCII mark or blank as one, and the documents' bounds in them."""
     data = chunk.data
@@ -114,7 +119,8 @@ def alphabet(docs: DataFrame, size: int = ALPHABET) -> np.ndarray:
 
     def update(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for chunk in chunks(batch.column(0)):
-            total += np.bincount(code_points(chunk)[0], minlength=_CODE_POINTS)
+            found = np.bincount(code_points(chunk)[0])
+            total[: len(found)] += found
 
     counts = dense_sum(texts(docs), _CODE_POINTS, update)
     seen = np.flatnonzero(counts)
@@ -145,10 +151,8 @@ def codes(found: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.ndarr
 
 def factored(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each code among the distinct ones, and those."""
-    import pandas as pd
-
-    at, distinct = pd.factorize(code)
-    return at, distinct
+    found = pa.array(code).dictionary_encode()  # pandas would cost each worker some 27 MB
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -583,7 +587,7 @@ def span_of(limits: dict, language: str | None, n_chars: int, below: float, abov
 def with_band(rows: DataFrame, limits: dict, below: float, above: float) -> DataFrame:
     """rows with low and high, the band of their language and length, null where there is none."""
     kind = rows.schema["lang"].dataType.simpleString()
-    known = rows.sparkSession.createDataFrame([(k, *v) for k, v in limits.items()], f"_lang {kind}, _middle double, _under double, _over double")
+    known = local_rows(rows.sparkSession, [(k, *v) for k, v in limits.items()], f"_lang {kind}, _middle double, _under double, _over double")
     joined = rows.join(known.hint("broadcast"), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # one row for each language
     reach = lambda side: F.when(F.col("n_chars") > 0, F.greatest(F.try_divide(side, F.sqrt("n_chars")), F.lit(BAND_FLOOR)))
     low, high = F.col("_middle") - below * reach("_under"), F.col("_middle") + above * reach("_over")
@@ -695,7 +699,7 @@ def language_limits(rows: DataFrame) -> dict:
     """Each language's median log perplexity, and its quartiles' distances below and above, of deviations times sqrt(n_chars)."""
     middles = {r["lang"]: r["q"][0] for r in quantiles(rows, "log_ppl", [0.5], "lang").collect()}  # one row for each language
     kind = rows.schema["lang"].dataType.simpleString()
-    known = rows.sparkSession.createDataFrame(list(middles.items()), f"_lang {kind}, _middle double")
+    known = local_rows(rows.sparkSession, list(middles.items()), f"_lang {kind}, _middle double")
     far = (F.col("log_ppl") - F.col("_middle")) * F.sqrt("n_chars")
     strayed = rows.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", far.alias("far"))
     spreads = quantiles(strayed, "far", [0.25, 0.75], "lang").collect()

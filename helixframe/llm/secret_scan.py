@@ -35,7 +35,7 @@ from re import _constants as C, _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_name, table, written
+from .shared import free_name, local_rows, table, written
 
 MOST_ALTERNATIVES = 64
 MOST_TERMS = 4
@@ -140,7 +140,7 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     """Text key and the kinds of the rules whose query its postings satisfy, from (key, trigram) rows."""
     spark = index.sparkSession
     rows = [(t, kind, n, len(q)) for kind, qs in queries.items() for n, q in enumerate(qs) for t in q]
-    terms = F.broadcast(spark.createDataFrame(rows, "trigram string, kind string, alternative int, terms int"))  # as large as the rules
+    terms = F.broadcast(local_rows(spark, rows, "trigram string, kind string, alternative int, terms int"))  # as large as the rules
     met = index.join(terms, "trigram").groupBy("_key", "kind", "alternative").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
     return met.filter("n = terms").groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))
 

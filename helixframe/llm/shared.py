@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..storage import Scratch, discarded, fresh_path, note_table, rewritten, written  # noqa: F401
 
@@ -93,6 +95,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's. They go as Arrow: a list of tuples would start Python workers on every executor."""
+    kinds = StructType.fromDDL(schema)
+    columns = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+    return spark.createDataFrame(pa.table(columns, names=kinds.names), kinds)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or the first of name_1, name_2, ... that no column of df has."""
     taken = {c.lower() for c in df.columns}
